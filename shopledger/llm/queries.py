@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, table
+from . import decontamination
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import default_vocabulary
 
@@ -20,9 +22,25 @@ def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir), default_vocabulary())
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (
+    op1_best_fit_packing,
+    op3_simple8b_tokens,
+    op4_simhash_near_dedup,
+    op5_winnowing_decontamination,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_simple8b_tokens)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_winnowing_decontamination": decontamination.ORACLE_SQL}
