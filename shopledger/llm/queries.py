@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from . import decontamination
 from .packing import pack_documents
+from .quality_classifier import quality_scores
+from .quality_rules import quality_verdicts
 from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import default_vocabulary
@@ -30,11 +32,21 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(documents(spark, sf_dir)).drop("uid")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 OPERATORS = (
     op1_best_fit_packing,
     op3_simple8b_tokens,
     op4_simhash_near_dedup,
     op5_winnowing_decontamination,
+    op9_quality_rules,
+    op10_quality_classifier,
 )
 
 
