@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, table
-from . import decontamination
+from . import decontamination, url_filters
+from .language_id import identify
 from .packing import pack_documents
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_files import token_file_digest
 from .tokens import default_vocabulary
@@ -32,6 +34,18 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op6_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
+def op7_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir)).drop("uid")
 
@@ -45,6 +59,9 @@ OPERATORS = (
     op3_simple8b_tokens,
     op4_simhash_near_dedup,
     op5_winnowing_decontamination,
+    op6_vector_sharding,
+    op7_url_automaton,
+    op8_hyperdimensional_language,
     op9_quality_rules,
     op10_quality_classifier,
 )
@@ -55,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_winnowing_decontamination": decontamination.ORACLE_SQL}
+    return {"op5_winnowing_decontamination": decontamination.ORACLE_SQL, "op7_url_automaton": url_filters.oracle_sql()}
