@@ -10,6 +10,7 @@ from .common import documents, table
 from . import decontamination, url_filters
 from .language_id import identify
 from .packing import pack_documents
+from .pii import replace_pii
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
 from .sharding import shard_documents
@@ -22,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), default_vocabulary())
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(documents(spark, sf_dir)).select("doc_id", "text", "n_entities", "kinds")
+
+
 def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir), default_vocabulary())
 
@@ -56,6 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_best_fit_packing,
+    op2_pii_surrogates,
     op3_simple8b_tokens,
     op4_simhash_near_dedup,
     op5_winnowing_decontamination,
