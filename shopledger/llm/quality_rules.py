@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without_ids
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
@@ -128,5 +128,4 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id's verdicts are all to keep; rows without a doc_id go."""
-    rejected = quality_verdicts(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.filter(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, materialise(quality_verdicts(docs).filter(~F.col("kept")).select("doc_id").distinct()))
