@@ -133,7 +133,10 @@ def match_round(pieces: DataFrame, gaps: DataFrame, parts: int) -> tuple[DataFra
     ).unionByName(
         pieces.select((-2 * F.col("length")).alias("key"), F.lit(False).alias("is_gap"), "uid", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("gap"), "length", F.xxhash64("uid").alias("tie"))
     )
-    swept = materialise(rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").mapInPandas(_sweep, SWEPT))
+    # a round within the bound of one partition needs no exchange at all
+    dealt = rows.repartitionByRange(parts, "key", "tie") if parts > 1 else rows.coalesce(1)
+    swept = materialise(dealt.sortWithinPartitions("key", "tie").mapInPandas(_sweep, SWEPT))
+    swept = swept if parts > 1 else swept.coalesce(1)
     by_part = swept.groupBy("part").agg(*[F.count(F.when(F.col("kind") == k, 1)) for k in (PIECE, GAP)]).orderBy("part").collect()
     placed = swept.filter(F.col("kind") == MATCHED).select("uid", "bin", "length")
     used = F.sum(F.when(F.col("kind") == MATCHED, F.col("length")).otherwise(0))
