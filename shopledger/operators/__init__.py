@@ -1 +1 @@
-
+"""Operators over the domain tables."""
