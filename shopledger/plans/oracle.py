@@ -110,12 +110,12 @@ SELECT coalesce(b.user_id, i.user_id) AS user_id, CASE WHEN b.user_id IS NULL OR
   CASE WHEN b.user_id IS NULL THEN i.event_id ELSE b.event_id END AS event_id, CASE WHEN b.user_id IS NULL OR b.ts <= i.ts THEN i.value ELSE b.value END AS value
 FROM b FULL JOIN i ON b.user_id = i.user_id""",
     "replace_window_ads": """
-SELECT day, platform, clicks + 0 AS clicks, impressions FROM f_ad_spend
+SELECT day, platform, CAST(clicks AS BIGINT) AS clicks, CAST(impressions AS BIGINT) AS impressions FROM f_ad_spend
 WHERE day BETWEEN DATE '1995-12-01' AND DATE '1996-04-01' AND NOT (day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND platform = 'NO')
-UNION ALL SELECT day, platform, clicks + 1, impressions FROM f_ad_spend WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND clicks % 2 = 0""",
+UNION ALL SELECT day, platform, CAST(clicks + 1 AS BIGINT), CAST(impressions AS BIGINT) FROM f_ad_spend WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND clicks % 2 = 0""",
     "pruned_events": "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'",
     "restated_ads": """
-SELECT day, platform, CASE WHEN day >= DATE '1998-06-01' THEN clicks * 2 ELSE clicks END AS clicks,
+SELECT day, platform, CAST(CASE WHEN day >= DATE '1998-06-01' THEN clicks * 2 ELSE clicks END AS BIGINT) AS clicks,
   CASE WHEN day >= DATE '1998-06-01' THEN DATE '1998-06-15' ELSE DATE '1990-01-01' END AS fetched_at FROM f_ad_spend""",
     "recipe_versions": """
 SELECT item_id, ingredient_id, version, CAST(qty AS DOUBLE) AS qty, CAST(active_from AS DATE) AS from_day,
