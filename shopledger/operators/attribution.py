@@ -43,10 +43,10 @@ def resolve_attribution(events: DataFrame, variants: DataFrame) -> DataFrame:
     ``variants``: source, content, channel, campaign, variant. Of several, the least variant counts.
     """
     one = latest(variants, ["source", "content"], [F.col("variant").asc()])
+    one = one.select(F.col("source").alias("_source"), F.col("content").alias("_content"), "channel", "campaign", "variant")
     blank = (F.coalesce("utm_source", F.lit("")) == "") | (F.coalesce("utm_content", F.lit("")) == "")
-    key = F.when(~blank, F.col("utm_source")).alias("source")
-    keyed = events.select("*", key, F.when(~blank, F.col("utm_content")).alias("content"))
-    return keyed.join(one, ["source", "content"], "left").drop("source", "content")
+    keyed = events.withColumns({"_source": F.when(~blank, F.col("utm_source")), "_content": F.when(~blank, F.col("utm_content"))})
+    return keyed.join(one, ["_source", "_content"], "left").drop("_source", "_content")
 
 
 def attribute_late(events: DataFrame, variants: DataFrame) -> DataFrame:
