@@ -39,7 +39,11 @@ _LEAK = {
 }
 _COUNTED = ("orders", "lineitem", "part", "supplier", "events", "pages", "documents")
 
+_KEY = b"a salt of the tests".ljust(64, b"\0")
+_INNER, _OUTER = (bytes(b ^ pad for b in _KEY).hex() for pad in (0x36, 0x5C))
+
 SQL = {
+    "pseudonyms": f"SELECT event_id, 'p_' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(user_id AS VARCHAR))))), 1, 32) AS visitor FROM events",
     "true_margin": """
 WITH cost AS (SELECT order_id, sum(qty * unit_cogs_at_time) AS cogs FROM f_order_line GROUP BY order_id),
 rows AS (
