@@ -129,3 +129,34 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id's verdicts are all to keep; rows without a doc_id go."""
     return without_ids(docs, materialise(quality_verdicts(docs).filter(~F.col("kept")).select("doc_id").distinct()))
+
+
+#: The contract and the method's verdict in SQL.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('h' || source, '') AS host, text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, s, array_to_string(w[s:s + 4], ' ') AS run FROM (SELECT r, w, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS s FROM d WHERE len(w) > 4)),
+rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (
+    SELECT r, unnest(range(s, s + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, run) AS k FROM win) WHERE k > 1) GROUP BY r),
+dup AS (
+  SELECT r, sum(k - 1) AS n FROM (
+    SELECT r, line, count(*) AS k FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY r),
+t AS (SELECT DISTINCT host, text FROM d),
+h AS (SELECT host, count(*) AS n FROM t GROUP BY host),
+l AS (
+  SELECT host, text, regexp_replace(array_to_string(x, ' '), '[0-9]+', '0', 'g') AS line, sum(len(x)) AS words FROM (
+    SELECT host, text, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS x FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM t))
+  WHERE len(x) > 0 GROUP BY ALL),
+c AS (SELECT l.host, line FROM l JOIN h ON h.host = l.host GROUP BY l.host, line, h.n HAVING count(*) > LINE_TEXTS AND count(*) > LINE_SHARE * h.n),
+lost AS (SELECT l.host, l.text, sum(words) AS n FROM l SEMI JOIN c ON l.host = c.host AND l.line = c.line GROUP BY ALL),
+f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(coalesce(d.text, '')) - length(regexp_replace(coalesce(d.text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(w) - coalesce(lost.n, 0) AS rest
+  FROM d LEFT JOIN rep ON rep.r = d.r LEFT JOIN dup ON dup.r = d.r LEFT JOIN lost ON lost.host = d.host AND lost.text = d.text)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND rest >= LEAST_WORDS AND rest >= LEAST_SHARE * n_words AS kept
+FROM f
+""".replace("LINE_TEXTS", str(LINE_TEXTS)).replace("LINE_SHARE", str(LINE_SHARE)).replace("LEAST_WORDS", str(LEAST_WORDS)).replace("LEAST_SHARE", str(LEAST_SHARE))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, quality_rules, url_filters
 from .common import documents, table
-from . import decontamination, url_filters
 from .language_id import identify
 from .packing import pack_documents
 from .pii import replace_pii
@@ -78,4 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_winnowing_decontamination": decontamination.ORACLE_SQL, "op7_url_automaton": url_filters.oracle_sql()}
+    return {
+        "op5_winnowing_decontamination": decontamination.ORACLE_SQL,
+        "op7_url_automaton": url_filters.oracle_sql(),
+        "op9_quality_rules": quality_rules.ORACLE_SQL,
+    }
