@@ -79,3 +79,20 @@ def shared_contents(links: DataFrame) -> DataFrame:
     """Contents that several links of a source use, with how many."""
     n = F.count("*").over(Window.partitionBy("source", "content"))
     return links.withColumn("n", n).filter("n > 1").select("source", "content", "link_id", "n")
+
+
+def normalize_links(links: DataFrame, posts: DataFrame, channels: DataFrame, campaigns: DataFrame, variants: DataFrame) -> dict[str, DataFrame]:
+    """The dimension tables after ``links`` (link_id, source, content, campaign, created_at, post_url), and the links.
+
+    Channels and campaigns are made where they are missing, a variant for each link whose content no
+    other variant owns; each link gets its post where its address names one. A second run with the
+    same links changes nothing.
+    """
+    named = links.withColumn("variant", F.concat(F.lit("link_"), F.col("link_id").cast("string")))
+    clashed = link_clashes(named, variants)
+    rank = F.row_number().over(Window.partitionBy("source", "content").orderBy("created_at", "link_id"))
+    first = clashed.filter(F.col("variant").isNotNull()).withColumn("_rank", rank)
+    fresh = first.filter("_rank = 1").select("source", "content", F.col("source").alias("channel"), "campaign", "variant")
+    grown = variants.unionByName(fresh.join(variants.select("source", "content"), ["source", "content"], "left_anti").select(*variants.columns))
+    settled = link_clashes(named, grown)
+    return {"channels": build_channels(links, channels), "campaigns": build_campaigns(links, campaigns), "variants": grown, "links": match_posts(settled, posts)}

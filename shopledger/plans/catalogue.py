@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
-from ..operators import alerts, attribution, margin, merge, privacy, quality, reports, social, web
+from ..operators import alerts, attribution, margin, merge, payloads, privacy, quality, reports, social, web
 from ..sources.views import Store, with_views
 from . import oracle
 
@@ -148,6 +148,30 @@ def exploded_lines(s: Store) -> DataFrame:
     return explode_lines(nested, "order_id").select("order_id", "position", F.col("line.item_id").alias("item_id"))
 
 
+def _landed(s: Store) -> DataFrame:
+    """Orders as their source sends them: one JSON payload each, with its items."""
+    cents_of = lambda c: (F.col(c) * 100).cast("long")
+    items = s.f_order_line.withColumns({"sku": F.concat(F.lit("part_"), F.col("item_id")), "unit_price_cents": cents_of("unit_price"), "quantity": F.col("qty").cast("int")})
+    nested = items.groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "sku", "unit_price_cents", "quantity"))).alias("items"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = s.f_orders.join(nested, "order_id")
+    body = F.struct(at("placed_at").alias("created_at"), at(F.coalesce("delivered_at", "placed_at")).alias("updated_at"), F.date_add("placed_at", 1).cast("string").alias("delivery_date"), "status", cents_of("gross").alias("subtotal_cents"), cents_of("discounts").alias("discount_cents"), "items")
+    return rows.select("external_id", F.to_json(body).alias("payload"))
+
+
+@query
+def landed_orders(s: Store) -> DataFrame:
+    orders, _ = payloads.normalize_orders(_landed(s), s.f_menu_item, s.f_recipe, s.f_ingredient)
+    money = ("gross", "discounts", "packaging_cost")
+    return orders.select("external_id", "status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("placed_at", "promised_at", "delivered_at")], *[F.col(c).cast("double").alias(c) for c in money])
+
+
+@query
+def landed_order_lines(s: Store) -> DataFrame:
+    _, lines = payloads.normalize_orders(_landed(s), s.f_menu_item, s.f_recipe, s.f_ingredient)
+    return lines.select("order_id", "line_no", "item_id", *[F.col(c).cast("double").alias(c) for c in ("qty", "unit_price", "unit_cogs_at_time")])
+
+
 # keyed writes
 
 

@@ -99,6 +99,17 @@ FROM f_orders o LEFT JOIN f_order_line l ON l.order_id = o.order_id GROUP BY o.o
     "exploded_lines": """
 SELECT l.order_id, CAST(row_number() OVER (PARTITION BY l.order_id ORDER BY l.line_no) AS INTEGER) AS position, l.item_id
 FROM f_order_line l SEMI JOIN f_orders o ON o.order_id = l.order_id""",
+    "landed_orders": """
+SELECT o.external_id, o.status, o.placed_at, ((CAST(o.placed_at AS DATE) + INTERVAL '1' DAY + INTERVAL '14' HOUR) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS promised_at,
+  o.delivered_at, CAST(o.gross AS DOUBLE) AS gross, CAST(o.discounts AS DOUBLE) AS discounts, CAST(0.5 AS DOUBLE) AS packaging_cost
+FROM f_orders o SEMI JOIN f_order_line l ON l.order_id = o.order_id""",
+    "landed_order_lines": """
+WITH n AS (SELECT *, CAST(row_number() OVER (PARTITION BY order_id ORDER BY line_no) AS INTEGER) AS place FROM f_order_line)
+SELECT o.external_id AS order_id, n.place AS line_no, n.item_id, CAST(n.qty AS DOUBLE) AS qty, CAST(n.unit_price AS DOUBLE) AS unit_price,
+  CAST(round(coalesce(sum(r.qty / r.yield_factor * i.current_price), 0), 4) AS DOUBLE) AS unit_cogs_at_time
+FROM n JOIN f_orders o ON o.order_id = n.order_id
+LEFT JOIN f_recipe r ON r.item_id = n.item_id AND o.placed_at >= r.active_from AND (r.active_to IS NULL OR o.placed_at < r.active_to)
+LEFT JOIN f_ingredient i ON i.ingredient_id = r.ingredient_id GROUP BY ALL""",
     "merge_insert_lines": """
 WITH r AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rk FROM lineitem WHERE l_orderkey % 4 < 2)

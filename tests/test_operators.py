@@ -304,6 +304,24 @@ def test_events(spark):
         payloads.normalize_events(spark.createDataFrame([row("4", "buy")], schema), names, variants)
 
 
+def test_links_twice(spark):
+    from shopledger.operators import attribution
+
+    rows = [(1, "ig", "bio", "spring", T, "https://www.instagram.com/p/9/?x=1"), (2, "ig", "bio", "spring", datetime(2026, 9, 2), None), (3, "fb", "ad", "autumn", T, "http://nowhere.example/p/9")]
+    links = spark.createDataFrame(rows, "link_id long, source string, content string, campaign string, created_at timestamp, post_url string")
+    posts = spark.createDataFrame([(7, "https://instagram.com/p/9")], "post_id long, permalink string")
+    channels = spark.createDataFrame([("ig", "Seeded")], "slug string, name string")
+    campaigns = spark.createDataFrame([], "slug string, started_at timestamp")
+    variants = spark.createDataFrame([], "source string, content string, channel string, campaign string, variant string")
+    once = attribution.normalize_links(links, posts, channels, campaigns, variants)
+    again = attribution.normalize_links(links, posts, once["channels"], once["campaigns"], once["variants"])
+    for name in once:
+        assert sorted(map(str, once[name].collect())) == sorted(map(str, again[name].collect()))
+    got = {r["link_id"]: r for r in once["links"].collect()}
+    assert [(got[k]["variant"], got[k]["clash"], got[k]["post_id"]) for k in (1, 2, 3)] == [("link_1", False, 7), (None, True, None), ("link_3", False, None)]
+    assert {r["slug"]: r["name"] for r in once["channels"].collect()} == {"ig": "Seeded", "fb": "Fb"}
+
+
 # sources and sinks
 
 
