@@ -21,7 +21,7 @@ from .common import materialise
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.005, 0.01
-SAMPLE_ROWS, WORKERS, ROUNDS = 16_000, 8, 4
+SAMPLE_ROWS, WORKERS, ROUNDS = 16_000, 4, 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _hashes: dict[str, int] = {}
 
@@ -41,7 +41,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """
     import xxhash
 
-    if len(_hashes) > 400_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     tokens = TOKEN.findall(text or "")
     words = np.empty(len(tokens), dtype=np.uint64)
@@ -88,8 +88,9 @@ def _worker(shared):
         index, z0, n0 = shared.value
         z[index], n[index] = z0, n0
         frame = frame.sort_values(["turn", "label"])
-        touched = np.unique(np.concatenate(list(frame["i"])))
-        learn(list(zip(frame["i"], frame["v"], frame["label"], strict=True)), z, n)
+        rows = [(*features(t), label) for t, label in zip(frame["text"], frame["label"], strict=True)]
+        touched = np.unique(np.concatenate([i for i, _, _ in rows]))
+        learn(rows, z, n)
         return pd.DataFrame({"i": touched, "z": z[touched], "n": n[touched]})
 
     return one
@@ -107,12 +108,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = labelled.filter(rank < int(share * 1_000_000)).select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(WORKERS)).cast("int").alias("worker"), F.xxhash64("doc_id", F.lit(6)).alias("turn"), "text", "label")
 
-    def as_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            pairs = [features(t) for t in f["text"]]
-            yield pd.DataFrame({"worker": f["worker"], "turn": f["turn"], "label": f["label"], "i": [p[0] for p in pairs], "v": [p[1] for p in pairs]})
-
-    sample = materialise(sample.mapInPandas(as_features, "worker int, turn long, label int, i array<long>, v array<double>"))
+    sample = materialise(sample)  # texts, not features: these are larger, and cross the shuffle in each round
     state = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)  # bounded by 2 ** BITS entries
