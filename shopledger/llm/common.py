@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and the five ASCII controls from tab to return.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
+DEFAULT_BATCH, TEXT_BATCH = "10000", "1000"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,12 +46,17 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers that see this folder import the package, wherever the driver was started."""
+    """Let Python workers that see this folder import the package, wherever the driver was started.
+
+    Rows here are whole texts, so the default count of rows in a batch is lowered.
+    """
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

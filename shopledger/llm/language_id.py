@@ -35,7 +35,7 @@ def letter_vector(code: int) -> np.ndarray:
     return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
 
 
-@lru_cache(maxsize=60_000)
+@lru_cache(maxsize=30_000)
 def triple_vector(triple: int) -> np.ndarray:
     a, b, c = (triple >> 42), (triple >> 21) & 0x1FFFFF, triple & 0x1FFFFF
     return np.roll(letter_vector(a), 2) * np.roll(letter_vector(b), 1) * letter_vector(c)

@@ -18,6 +18,8 @@ SELECTORS = (
     (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 ESCAPE = 15
+#: Blocks coded at once, for bounded memory.
+AT_ONCE = 512
 MAGIC = b"S8BTOK01"
 HEADER = struct.Struct("<8sQQQQQ")
 
@@ -126,7 +128,10 @@ class TokenFile:
     ids: np.ndarray
 
     def to_bytes(self, block: int = 1024) -> bytes:
-        words, offsets = encode(self.ids, block)
+        parts = [encode(self.ids[at : at + AT_ONCE * block], block) for at in range(0, len(self.ids), AT_ONCE * block)]
+        words = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, np.uint64)
+        first = np.cumsum([0, *[len(w) for w, _ in parts]]).astype(np.uint64)
+        offsets = np.concatenate([*[o[:-1] + f for (_, o), f in zip(parts, first, strict=False)], first[-1:]])
         head = HEADER.pack(MAGIC, len(self.doc_ids), len(self.ids), block, len(offsets), len(words))
         parts = (self.doc_ids.astype("<i8"), self.known.astype("u1"), self.lengths.astype("<i8"), offsets.astype("<u8"), words.astype("<u8"))
         return head + b"".join(p.tobytes() for p in parts)

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scratch_dir
 from .simple8b import TokenFile
-from .tokens import encoder
+from .tokens import encoder, release
 
 MANIFEST = "path string, part int, number int, n_docs long, n_ids long"
-DECODED = "part int, number int, place long, doc_id long, n_tokens long, ids_crc32 long, before long"
+DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -54,8 +54,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             )
 
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                some = batch.slice(at, 2000)
+            for at in range(0, len(batch), 1000):
+                some = batch.slice(at, 1000)
                 tokens, lengths = encoder(vocabulary).encode(some.column(1), end_id)
                 doc = some.column(0)
                 known = doc.is_valid().to_numpy(zero_copy_only=False)
@@ -64,6 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     yield flush()
         if held:
             yield flush()
+        release(vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -79,31 +80,25 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _store(folder)
         for frame in frames:
-            for path, part, number in zip(frame["path"], frame["part"], frame["number"], strict=True):
+            for path, first in zip(frame["path"], frame["first"], strict=True):
                 with store.open_input_file(path) as source:
                     file = TokenFile.from_bytes(source.read())
                 ids = file.ids.astype("<u4")
                 ends = np.cumsum(file.lengths)
                 sums = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, file.lengths, strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "part": np.int32(part), "number": np.int32(number), "place": np.arange(len(ends)),
-                        "doc_id": pd.array(np.where(file.known, file.doc_ids, 0), "Int64").copy() if file.known.all() else pd.array([int(d) if k else None for d, k in zip(file.doc_ids, file.known, strict=True)], "Int64"),
-                        "n_tokens": file.lengths, "ids_crc32": np.array(sums, dtype=np.int64), "before": ends - file.lengths,
-                    }
-                )
+                doc_ids = pd.array(file.doc_ids.tolist(), dtype="Int64")
+                doc_ids[~file.known] = pd.NA
+                yield pd.DataFrame({"doc_id": doc_ids, "start": first + ends - file.lengths, "n_tokens": file.lengths, "ids_crc32": np.array(sums, dtype=np.int64)})
 
+    # offsets are known before the files are opened, so no decoded row is joined
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", "part", "number", F.coalesce(before, F.lit(0)).alias("in_part"))
+    files = manifest.select("path", "part", F.coalesce(before, F.lit(0)).alias("in_part"))
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    spark = manifest.sparkSession
-    rows = manifest.select("path", "part", "number").repartition(max(4, 2 * spark.sparkContext.defaultParallelism), "path")
-    decoded = rows.mapInPandas(read, DECODED)
-    return decoded.join(files.drop("path"), ["part", "number"]).join(parts, "part").select(
-        "doc_id", (F.col("earlier") + F.col("in_part") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32"
-    )
+    parts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("earlier"))  # a row for each task that wrote
+    rows = files.join(parts, "part").select("path", (F.col("earlier") + F.col("in_part")).alias("first"))
+    spread = max(4, 2 * manifest.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(spread, "path").mapInPandas(read, DECODED)
 
 
 def token_file_digest(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:

@@ -32,20 +32,20 @@ AS_IS = "\x1f"
 class CachedEncoder:
     """Encodes texts to one flat array of ids.
 
-    ``max_pieces`` and ``max_chars`` bound the remembered pieces; beyond either the memory is
-    emptied, which costs time and changes no result.
+    Pieces of up to ``KEPT_CHARS`` are remembered from batch to batch, longer ones rarely come again;
+    beyond ``max_pieces`` the memory is emptied, which costs time and changes no result.
     """
 
     #: How byte-level vocabularies write a space; pieces that are encoded at once.
-    SPACE_BYTE, JOINED = "Ġ", 500
+    SPACE_BYTE, JOINED, KEPT_CHARS = "Ġ", 500, 9
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_chars: int = 48_000_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.max_pieces, self.max_chars = max_pieces, max_chars
+        self.max_pieces = max_pieces
         self.after_space = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.after_space[i] = token.startswith(self.SPACE_BYTE)
@@ -54,7 +54,7 @@ class CachedEncoder:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.flat, self.ends, self.chars = array("I"), array("q", [0]), 0
+        self.flat, self.ends = array("I"), array("q", [0])
 
     def _remember(self, piece: str, ids) -> None:
         self.codes[piece] = len(self.ends) - 1
@@ -77,7 +77,6 @@ class CachedEncoder:
                 joined.append(p)
         cores = {p[:-1] for p in ended}.difference(self.codes)
         joined += cores.difference(joined)
-        self.chars += sum(map(len, new))
         groups = [joined[i : i + self.JOINED] for i in range(0, len(joined), self.JOINED)]
         found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, found, strict=True):
@@ -103,16 +102,29 @@ class CachedEncoder:
             return [AS_IS + text]
         return [p[1:] if p[0] == " " and p[1:2] != "\n" else AS_IS + p for p in PIECE.findall(text)]
 
-    def _codes_of(self, pieces: pa.Array) -> np.ndarray:
-        own = pieces.dictionary_encode()
-        names = own.dictionary.to_pylist()
-        self._learn([p for p in names if p not in self.codes])
-        codes = np.fromiter(map(self.codes.__getitem__, names), dtype=np.int64, count=len(names))
-        return codes[own.indices.to_numpy(zero_copy_only=False)]
+    def _codes_of(self, *pieces: pa.Array) -> list[np.ndarray]:
+        """Codes of the pieces: those to keep are learned first, so that the others can be cut off."""
+        own = [p.dictionary_encode() for p in pieces]
+        names = [o.dictionary.to_pylist() for o in own]
+        new = {p for some in names for p in some if p not in self.codes}
+        self._learn([p for p in new if len(p) <= self.KEPT_CHARS])
+        self.kept = len(self.ends)
+        self.passing = [p for p in new if len(p) > self.KEPT_CHARS]
+        self._learn(self.passing)
+        codes = [np.fromiter(map(self.codes.__getitem__, some), dtype=np.int64, count=len(some)) for some in names]
+        return [c[o.indices.to_numpy(zero_copy_only=False)] for c, o in zip(codes, own, strict=True)]
+
+    def _cut_off(self) -> None:
+        for p in self.passing:
+            self.codes.pop(p, None)
+            if p[-1] in self.marks:  # a core that may have been learned with it
+                self.codes.pop(p[:-1], None)
+        del self.ends[self.kept :]
+        del self.flat[self.ends[-1] :]
 
     def encode(self, texts: pa.Array | list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, their count by text); ``end_id`` ends each text if given."""
-        if len(self.codes) > self.max_pieces or self.chars > self.max_chars:
+        if len(self.codes) > self.max_pieces:
             self._forget()
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, NOT_PLAIN).to_numpy(zero_copy_only=False)
@@ -120,7 +132,7 @@ class CachedEncoder:
         even = pc.binary_join_element_wise(pa.scalar(AS_IS, pa.large_string()), plain, pa.scalar("", pa.large_string()))
         lists = pc.split_pattern(even, " ")
         cut = [self._cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        codes = np.concatenate([self._codes_of(lists.flatten()), self._codes_of(pa.array([p for c in cut for p in c], pa.large_string()))])
+        codes = np.concatenate(self._codes_of(lists.flatten(), pa.array([p for c in cut for p in c], pa.large_string())))
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         counts[odd] = [len(c) for c in cut]
@@ -132,6 +144,7 @@ class CachedEncoder:
         lengths = ends[codes + 1] - ends[codes]
         ids = np.array(self.flat, dtype=np.uint32)[runs_to_index(ends[codes], lengths)]
         del ends
+        self._cut_off()
         sums = np.concatenate([[0], np.cumsum(lengths)])
         by_text = np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
         if end_id is None:
@@ -141,6 +154,12 @@ class CachedEncoder:
         return ended, by_text + 1
 
 
+def release(path: str) -> None:
+    """Give a worker's memory back at the end of a task; the next task of another stage needs it."""
+    encoder(path)._forget()
+    pa.default_memory_pool().release_unused()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> CachedEncoder:
     """This worker's encoder for a vocabulary file."""
