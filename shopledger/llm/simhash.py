@@ -228,6 +228,13 @@ def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return pairs.unionByName(stars), large.select(*keys)
 
 
+def _with_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with the column of both nodes, as ``column``_a and ``column``_b."""
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and keeper of each row: the least doc_id of its group of near-copies.
 
@@ -245,11 +252,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     finer = keyed.join(large, ["k", "value"], "left_semi").select("node", "k", "value", F.posexplode("anchors").alias("j", "other")).filter("j <> k")
     split, _ = _bucket_pairs(finer, ["k", "value", "j", "other"])
     pairs = materialise(direct.unionByName(split).distinct())
-    at = nodes.select("node", "fp", _coordinates(F.col("fp")).alias("at"), "sketch")
-    for side in "ab":
-        pairs = pairs.join(at.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in at.columns]), side)
-    apart = F.array_max(F.zip_with("at_a", "at_b", lambda x, y: F.abs(x - y)))
-    near = pairs.filter(apart <= SIMILAR_BITS).filter(distance(F.col("fp_a"), F.col("fp_b")) <= SIMILAR_BITS)
+    near = _with_sides(pairs, nodes, "fp")
+    apart = F.array_max(F.zip_with(_coordinates(F.col("fp_a")), _coordinates(F.col("fp_b")), lambda x, y: F.abs(x - y)))
+    near = near.filter(apart <= SIMILAR_BITS).filter(distance(F.col("fp_a"), F.col("fp_b")) <= SIMILAR_BITS)
+    near = _with_sides(materialise(near.select("a", "b")), nodes, "sketch")  # only survivors carry sketches through a shuffle
 
     def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -257,7 +263,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
             share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
             yield f.loc[share >= similarity, ["a", "b"]]
 
-    links = materialise(near.select("a", "b", "sketch_a", "sketch_b").mapInPandas(alike, "a long, b long"))
+    links = materialise(near.mapInPandas(alike, "a long, b long"))
     named = nodes.select("node", "first").join(components(links), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
     return rows.select("doc_id", "node").join(named.join(keepers, "root").select("node", "keeper"), "node").select("doc_id", "keeper")
