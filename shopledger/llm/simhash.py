@@ -183,11 +183,22 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
 #: made of a key's texts up to so many, and the bits within which fingerprints of texts of a
 #: Jaccard similarity of 0.8 stay (about 10 expected, with a deviation of 3).
 SKETCH, ANCHORS, PAIR_UP_TO, SIMILAR_BITS = 128, 8, 8, 22
+#: The sketch only discards: pairs whose estimate is five standard errors below the similarity.
+ERRORS = 5
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    parts = [np.unique(hashes) for hashes in shingle_hashes(text, size)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def profile(text: str | None, size: int) -> tuple[int, int, list[int], bytes]:
-    """(key of the shingle set, fingerprint, anchors, sketch) of a text; signed longs."""
+    """(key of the shingle set, fingerprint, anchors, sketch) of a text; signed longs.
+
+    The sketch keeps the low byte of each least hash: the high ones are near zero in long texts.
+    """
     counts, n = np.zeros(64, dtype=np.int64), 0
     least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
     distinct: list[np.ndarray] = []
@@ -203,7 +214,12 @@ def profile(text: str | None, size: int) -> tuple[int, int, list[int], bytes]:
     with np.errstate(over="ignore"):
         key = every.sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(every, initial=np.uint64(0)) * _FACTORS[0]) if len(every) else np.uint64(0)
     fp = np.uint64(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
-    return int(key.astype(np.int64)), int(fp.astype(np.int64)), least[:ANCHORS].astype(np.int64).tolist(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
+    return int(key.astype(np.int64)), int(fp.astype(np.int64)), least[:ANCHORS].astype(np.int64).tolist(), (least & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of the rows of two tables of sketches; bytes agree by chance in 1 of 256."""
+    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
 def _profiles(docs: DataFrame, size: int) -> DataFrame:
@@ -211,11 +227,25 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 some = batch.slice(at, 1000)
-                rows = [profile(t.as_py(), size) for t in some.column(1)]
+                rows = [profile(t.as_py(), size) for t in some.column(2)]
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "node", "fp", "anchors", "sketch"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "copy", "node", "fp", "anchors", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text").mapInArrow(of, "doc_id long, copy long, node long, fp long, anchors array<long>, sketch binary")
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and its distinct shingles of each row of ``nodes`` (node, copy), made anew from the texts."""
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, node long, fp long, anchors array<long>, sketch binary")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                some = batch.slice(at, 1000)
+                sets = [shingle_set(t.as_py(), size).view(np.int64) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("copy"), "text").join(nodes.select("node", "copy"), "copy").dropDuplicates(["node"])
+    return materialise(texts.select("node", "text").mapInArrow(of, "node long, shingles array<long>"))
 
 
 def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -235,6 +265,37 @@ def _with_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Fingerprints and sketches discard; the sets of what is left decide.
+    """
+    near = _with_sides(pairs, nodes, "fp")
+    apart = F.array_max(F.zip_with(_coordinates(F.col("fp_a")), _coordinates(F.col("fp_b")), lambda x, y: F.abs(x - y)))
+    near = near.filter(apart <= SIMILAR_BITS).filter(distance(F.col("fp_a"), F.col("fp_b")) <= SIMILAR_BITS)
+    near = _with_sides(materialise(near.select("a", "b")), nodes, "sketch")  # only survivors carry sketches through a shuffle
+    least = similarity - ERRORS * (similarity * (1 - similarity) / SKETCH) ** 0.5
+
+    def may_be(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a, b = (np.frombuffer(b"".join(f[c]), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+            yield f.loc[sketch_similarity(a, b) >= least, ["a", "b"]]
+
+    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    near = materialise(near.mapInPandas(may_be, "a long, b long"))
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = _shingle_sets(docs, nodes.join(wanted, "node", "left_semi"), size)
+    return materialise(_with_sides(near, sets, "shingles").mapInArrow(are, "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and keeper of each row: the least doc_id of its group of near-copies.
 
@@ -242,29 +303,18 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     permutations; a shingle that many texts share is split by the other seven, and where many share
     two, each is compared with the least of them. Pairs whose distances to any pivot differ by more
     than the bits that the similarity allows are discarded, the survivors verified on their
-    fingerprints and on a sketch of 128 permutations that estimates the Jaccard similarity.
+    fingerprints, on a sketch of 128 permutations and at last by the Jaccard similarity of their
+    shingle sets.
     """
     rows = materialise(_profiles(docs, size))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("copy").alias("copy"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes)
     keyed = nodes.filter("node <> 0").select("node", "anchors", F.posexplode("anchors").alias("k", "value"))
     direct, large = _bucket_pairs(keyed, ["k", "value"])
     finer = keyed.join(large, ["k", "value"], "left_semi").select("node", "k", "value", F.posexplode("anchors").alias("j", "other")).filter("j <> k")
     split, _ = _bucket_pairs(finer, ["k", "value", "j", "other"])
     pairs = materialise(direct.unionByName(split).distinct())
-    near = _with_sides(pairs, nodes, "fp")
-    apart = F.array_max(F.zip_with(_coordinates(F.col("fp_a")), _coordinates(F.col("fp_b")), lambda x, y: F.abs(x - y)))
-    near = near.filter(apart <= SIMILAR_BITS).filter(distance(F.col("fp_a"), F.col("fp_b")) <= SIMILAR_BITS)
-    near = _with_sides(materialise(near.select("a", "b")), nodes, "sketch")  # only survivors carry sketches through a shuffle
-
-    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            a, b = (np.frombuffer(b"".join(f[c]), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            yield f.loc[share >= similarity, ["a", "b"]]
-
-    links = materialise(near.mapInPandas(alike, "a long, b long"))
-    named = nodes.select("node", "first").join(components(links), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "first").join(components(_alike(pairs, nodes, docs, size, similarity)), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
     return rows.select("doc_id", "node").join(named.join(keepers, "root").select("node", "keeper"), "node").select("doc_id", "keeper")
 

@@ -231,6 +231,52 @@ def test_drop_near_duplicates(spark):
     assert kept == {*range(8), 46, 47}
 
 
+def _shingles(text, size=5):
+    words = text.split()
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def _similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def _groups_by_brute_force(texts, similarity=0.8):
+    sets = [_shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and _similarity(sets[i], sets[j]) >= similarity:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return least
+
+
+def _long(tag, n):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_similarity_of_long_texts(spark, n):
+    texts = []
+    for j in (0.3, 0.7, 0.85):
+        shared = round(2 * j * n / (1 + j))
+        common = _long(f"c{j}x", shared)
+        texts += [" ".join([*common, *_long(f"{side}{j}x", n - shared)]) for side in "ab"]
+        estimate = simhash.sketch_similarity(*(np.frombuffer(simhash.profile(t, 5)[3], dtype=np.uint8)[None] for t in texts[-2:]))
+        assert abs(estimate[0] - _similarity(*map(_shingles, texts[-2:]))) < 0.2
+    got = dict(simhash.similar_groups(table(spark, texts)).collect())
+    assert [got[i] for i in range(6)] == [0, 1, 2, 3, 4, 4]
+
+
+def test_similarity_is_exact_about_the_limit(spark):
+    texts = []
+    for k in range(20):
+        base, n = _long(f"p{k}x", 400), 30 + 3 * k
+        texts += [" ".join(base), " ".join([*base[: 400 - n], *_long(f"q{k}x", n)])]
+    got = dict(simhash.similar_groups(table(spark, texts)).collect())
+    assert [got[i] for i in range(len(texts))] == _groups_by_brute_force(texts)
+
+
 # decontamination
 
 
