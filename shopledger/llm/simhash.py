@@ -249,13 +249,25 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 
 def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b within small buckets, and of each member of a large one with its least; keys of the large)."""
+    """(pairs a < b within small buckets; keys and least node of the large)."""
     sizes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1"))
     small = rows.join(sizes.filter(F.col("n") <= PAIR_UP_TO).select(*keys), keys)
     pairs = small.select(*keys, F.col("node").alias("a")).join(small.select(*keys, F.col("node").alias("b")), keys).filter("a < b").select("a", "b")
-    large = sizes.filter(F.col("n") > PAIR_UP_TO)
-    stars = rows.join(large.select(*keys, "least"), keys).filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return pairs.unionByName(stars), large.select(*keys)
+    return pairs, sizes.filter(F.col("n") > PAIR_UP_TO).select(*keys, "least")
+
+
+def _prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node): each node's rarest shingles, so many that nodes as alike as ``similarity`` share one.
+
+    Of n shingles, at least similarity * n are common to such a pair, so of the n - ceil(similarity * n) + 1
+    that come first in one order of all shingles (rarest first) both have one in common.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("texts"))
+    ranked = each.join(held, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("all"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    keys = ranked.select("node", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("x"))
+    return keys.filter("x.texts > 1").select(F.col("x.shingle").alias("shingle"), "node")
 
 
 def _with_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
@@ -300,21 +312,39 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     """doc_id and keeper of each row: the least doc_id of its group of near-copies.
 
     Texts of one shingle set are one node. Candidates share the least shingle of one of eight
-    permutations; a shingle that many texts share is split by the other seven, and where many share
-    two, each is compared with the least of them. Pairs whose distances to any pivot differ by more
-    than the bits that the similarity allows are discarded, the survivors verified on their
-    fingerprints, on a sketch of 128 permutations and at last by the Jaccard similarity of their
-    shingle sets.
+    permutations. Nodes of a shingle that many share are keyed again by their rarest shingles, enough
+    of them that no pair of the similarity is lost; where many share one of these too, each is
+    compared with the least of them, and then with all that are not yet in its group. Pairs whose
+    distances to any pivot differ by more than the bits that the similarity allows are discarded, the
+    survivors verified on their fingerprints, on a sketch of 128 permutations and at last by the
+    Jaccard similarity of their shingle sets.
     """
     rows = materialise(_profiles(docs, size))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("copy").alias("copy"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
+    nodes = rows.groupBy("node").agg(*[f(c).alias(a) for f, c, a in ((F.min, "doc_id", "first"), (F.first, "copy", "copy"), (F.first, "fp", "fp"), (F.first, "anchors", "anchors"), (F.first, "sketch", "sketch"))])
     nodes = materialise(nodes)
-    keyed = nodes.filter("node <> 0").select("node", "anchors", F.posexplode("anchors").alias("k", "value"))
-    direct, large = _bucket_pairs(keyed, ["k", "value"])
-    finer = keyed.join(large, ["k", "value"], "left_semi").select("node", "k", "value", F.posexplode("anchors").alias("j", "other")).filter("j <> k")
-    split, _ = _bucket_pairs(finer, ["k", "value", "j", "other"])
-    pairs = materialise(direct.unionByName(split).distinct())
-    named = nodes.select("node", "first").join(components(_alike(pairs, nodes, docs, size, similarity)), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    keyed = nodes.filter("node <> 0").select("node", F.posexplode("anchors").alias("k", "value"))
+    pairs, large = _bucket_pairs(keyed, ["k", "value"])
+    crowded = materialise(keyed.join(large, ["k", "value"], "left_semi").select("node").distinct())
+    full = None
+    if crowded.limit(1).count():
+        sets = _shingle_sets(docs, nodes.join(crowded, "node", "left_semi"), size)
+        prefixes = materialise(_prefix_keys(sets, similarity))
+        rare, large = _bucket_pairs(prefixes, ["shingle"])
+        full = materialise(prefixes.join(large, "shingle"))
+        pairs = pairs.unionByName(rare).unionByName(full.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    pairs = materialise(pairs.distinct())
+    links = _alike(pairs, nodes, docs, size, similarity)
+    roots = components(links)
+    if full is not None:
+        rooted = full.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
+        apart = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
+        rooted = materialise(rooted.join(apart, "shingle", "left_semi"))
+        across = rooted.select("shingle", F.col("node").alias("a"), F.col("root").alias("x")).join(rooted.select("shingle", F.col("node").alias("b"), F.col("root").alias("y")), "shingle")
+        across = materialise(across.filter("a < b AND x <> y").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        if across.limit(1).count():
+            links = materialise(links.unionByName(_alike(across, nodes, docs, size, similarity)))
+            roots = components(links)
+    named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
     return rows.select("doc_id", "node").join(named.join(keepers, "root").select("node", "keeper"), "node").select("doc_id", "keeper")
 

@@ -277,6 +277,21 @@ def test_similarity_is_exact_about_the_limit(spark):
     assert [got[i] for i in range(len(texts))] == _groups_by_brute_force(texts)
 
 
+@pytest.mark.parametrize("own", [12, 18, 60])
+def test_close_pairs_in_a_family_of_one_template(spark, own):
+    """``own`` words of each text beside a template of 160: alike, nearly alike and unlike texts of one family."""
+    template, texts = _long("t", 160), []
+    for k in range(300):
+        words = _long(f"o{k}x", own)
+        texts.append(" ".join([*template, *words]))
+        if k % 10 == 0:
+            texts.append(" ".join([*template, *words[: own * 2 // 3], *_long(f"z{k}x", own - own * 2 // 3)]))
+    got = dict(simhash.similar_groups(table(spark, texts)).collect())
+    want = _groups_by_brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 0 < len(set(want)) < len(texts)
+
+
 # decontamination
 
 
