@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, without_ids
@@ -24,6 +24,8 @@ REPEAT_WINDOW = 5
 LINE_TEXTS, LINE_SHARE = 20, 0.08
 #: A document is depleted below both: words that remain, and their share of its words.
 LEAST_WORDS, LEAST_SHARE = 10, 0.3
+#: Texts with lines to cut go to all tasks up to so many; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -98,23 +100,28 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the five counts, base_failed and kept, with a row number ``uid`` of each row.
+def _host(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
 
-    A null text has no words and fails; a null host is a host of its own; repeated rows get
-    repeated results, and their text counts once; an empty table gives no rows.
-    """
-    rows = docs.select(
-        "text", F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias("host"), F.xxhash64("text").alias("copy")
-    )
-    profiled = materialise(rows.mapInArrow(_profile, f"uid long, doc_id long, host string, copy long, {BASE}, lines array<struct<line:long,n:long>>"))
+
+def _profiled(docs: DataFrame, host: str) -> DataFrame:
+    rows = docs.select("text", F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), _host(host).alias("host"), F.xxhash64("text").alias("copy"))
+    return materialise(rows.mapInArrow(_profile, f"uid long, doc_id long, host string, copy long, {BASE}, lines array<struct<line:long,n:long>>"))
+
+
+def _common(profiled: DataFrame) -> DataFrame:
+    """(host, line, texts) of the lines that are common in their host."""
     texts = profiled.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
     lines = texts.select("host", F.explode("lines").alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count("*").alias("texts"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("of"))
     # at most 1 / LINE_SHARE lines for each line of a host's texts are common
-    common = lines.filter(F.col("texts") > LINE_TEXTS).join(hosts, "host").filter(F.col("texts") > LINE_SHARE * F.col("of")).select("host", "line")
+    common = lines.filter(F.col("texts") > LINE_TEXTS).join(hosts, "host").filter(F.col("texts") > LINE_SHARE * F.col("of"))
+    return materialise(common.select("host", "line", "texts"))
+
+
+def _verdicts(profiled: DataFrame, common: DataFrame) -> DataFrame:
     lost = profiled.select("uid", "host", F.explode("lines").alias("x")).select("uid", "host", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
-    lost = lost.join(materialise(common), ["host", "line"]).groupBy("uid").agg(F.sum("n").alias("lost"))
+    lost = lost.join(common.select("host", "line"), ["host", "line"]).groupBy("uid").agg(F.sum("n").alias("lost"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
@@ -126,9 +133,67 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id's verdicts are all to keep; rows without a doc_id go."""
-    return without_ids(docs, materialise(quality_verdicts(docs).filter(~F.col("kept")).select("doc_id").distinct()))
+def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, the five counts, base_failed and kept, with a row number ``uid`` of each row.
+
+    A null text has no words and fails; a null host is a host of its own; repeated rows get
+    repeated results, and their text counts once; an empty table gives no rows.
+    """
+    profiled = _profiled(docs, host)
+    return _verdicts(profiled, _common(profiled))
+
+
+def cut_lines(text: str, common: set[int]) -> str:
+    """``text`` without the lines whose normal form's hash is in ``common``."""
+    import xxhash
+
+    normal = text.lower().encode("utf-8", "surrogatepass").split(b"\n")
+    key = lambda line: xxhash.xxh3_64_intdigest(re.sub(rb"[0-9]+", b"0", b" ".join(line.split()))) - (1 << 63)
+    return "\n".join(line for line, n in zip(text.split("\n"), normal, strict=True) if not n.strip() or key(n) not in common)
+
+
+def _cut(docs: DataFrame, profiled: DataFrame, common: DataFrame, host: str) -> DataFrame:
+    texts = profiled.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
+    held = texts.select("host", "copy", F.explode("lines.line").alias("line")).join(common.select("host", "line"), ["host", "line"])
+    held = materialise(held.groupBy(F.col("host").alias("_host"), F.col("copy").alias("_copy")).agg(F.collect_list("line").alias("_cut")))
+    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.withColumns({"_host": _host(host), "_copy": F.xxhash64("text")}).join(F.broadcast(held) if few else held, ["_host", "_copy"], "left")
+    columns = docs.columns
+    text_at, cut_at = columns.index("text"), len(columns)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(i) for i in range(cut_at)]
+            own = batch.column(cut_at).to_pylist()
+            new = [cut_lines(t, set(lines)) if lines else t for t, lines in zip(arrays[text_at].to_pylist(), own, strict=True)]
+            arrays[text_at] = pa.array(new, pa.string())
+            if "n_chars" in columns:
+                old = arrays[columns.index("n_chars")]
+                arrays[columns.index("n_chars")] = pa.array([len(t) if lines else n for t, lines, n in zip(new, own, old.to_pylist(), strict=True)], old.type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return rows.select(*[F.col(f"`{c}`") for c in columns], "_cut").mapInArrow(of, docs.schema)
+
+
+def without_common_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+    """``docs`` with the lines that are common in their host cut out of ``text``; ``n_chars`` follows.
+
+    Other lines keep their bytes and order; a null text stays; repeated rows stay repeated and count
+    once; an empty table stays empty.
+    """
+    profiled = _profiled(docs, host)
+    return _cut(docs, profiled, _common(profiled), host)
+
+
+def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of ``docs`` whose doc_id's verdicts are all to keep, without their host's common lines.
+
+    Rows without a doc_id go.
+    """
+    profiled = _profiled(docs, host)
+    common = _common(profiled)
+    rejected = materialise(_verdicts(profiled, common).filter(~F.col("kept")).select("doc_id").distinct())
+    return _cut(without_ids(docs, rejected), profiled, common, host)
 
 
 #: The contract and the method's verdict in SQL.

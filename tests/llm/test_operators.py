@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shopledger.llm import decontamination, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files, url_filters
 from shopledger.llm.common import importable, scratch_dir
@@ -455,6 +456,20 @@ def test_quality_verdicts(spark):
     assert quality_rules.keep_good(docs.drop("kept")).count() == sum(r["kept"] for r in got.values())
 
 
+def test_common_lines_are_cut(spark):
+    menu = "Home | Shop 24 | Contact us about the 7 newest offers of the week"
+    texts = [f"{prose(k, 30)}\n\n{menu.upper() if k % 2 else menu.replace('24', str(k))}\n {prose(k + 100, 20)} " for k in range(30)] + [menu, None, ""]
+    docs = table(spark, texts).withColumn("source", F.lit("one"))
+    want = {i: "\n".join(line for line in t.split("\n") if not line.lower().startswith("home |")) for i, t in enumerate(texts) if t}
+    got = {r["doc_id"]: r for r in quality_rules.without_common_lines(docs).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want | {31: None, 32: ""}
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
+    good = quality_rules.keep_good(docs)
+    assert good.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in good.collect()} == {i: want[i] for i in range(30)}
+    assert quality_rules.without_common_lines(docs.limit(0)).count() == 0
+
+
 def test_classifier(spark):
     importable(spark)
     texts = {i: prose(i, 40).replace(" ", " | " if i % 3 == 0 else " ") for i in range(240)} | {900: None, 901: "", 902: "x " * 20000}
