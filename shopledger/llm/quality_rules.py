@@ -20,12 +20,14 @@ from .common import materialise, without_ids
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
-#: A line is common in a host if more than both of its texts hold it.
+#: A line is common in a host if more than so many of its texts hold it; in the verdicts' SQL, more than both.
 LINE_TEXTS, LINE_SHARE = 20, 0.08
 #: A document is depleted below both: words that remain, and their share of its words.
 LEAST_WORDS, LEAST_SHARE = 10, 0.3
-#: Texts with lines to cut go to all tasks up to so many; beyond, the join shuffles.
+#: Common lines, and texts with lines to cut, go to all tasks up to so many; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Common lines in more texts than this are joined without a shuffle.
+HOT_TEXTS = 10_000
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -109,19 +111,41 @@ def _profiled(docs: DataFrame, host: str) -> DataFrame:
     return materialise(rows.mapInArrow(_profile, f"uid long, doc_id long, host string, copy long, {BASE}, lines array<struct<line:long,n:long>>"))
 
 
-def _common(profiled: DataFrame) -> DataFrame:
-    """(host, line, texts) of the lines that are common in their host."""
+def _common(profiled: DataFrame, share: float = 0.0) -> DataFrame:
+    """(host, line, texts) of the lines that are common in their host.
+
+    Over LINE_TEXTS of the host's distinct texts hold them and, for the digest of ``quality_verdicts``,
+    over ``share`` of these.
+    """
     texts = profiled.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
     lines = texts.select("host", F.explode("lines").alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count("*").alias("texts"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("of"))
-    # at most 1 / LINE_SHARE lines for each line of a host's texts are common
-    common = lines.filter(F.col("texts") > LINE_TEXTS).join(hosts, "host").filter(F.col("texts") > LINE_SHARE * F.col("of"))
+    common = lines.filter(F.col("texts") > LINE_TEXTS)
+    if share:
+        hosts = texts.groupBy("host").agg(F.count("*").alias("of"))
+        common = common.join(hosts, "host").filter(F.col("texts") > share * F.col("of"))
     return materialise(common.select("host", "line", "texts"))
 
 
+def _holding(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows of ``lines`` (host, line, ...) whose line is common.
+
+    A small common table goes to all tasks. Of a larger one, the lines that many texts hold do, if
+    these are few, so that none of them gathers its texts in one task; the others are shuffled.
+    """
+    small = lambda df: df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keys = common.select("host", "line")
+    if small(keys):
+        return lines.join(F.broadcast(keys), ["host", "line"])
+    hot = common.filter(F.col("texts") > HOT_TEXTS).select("host", "line")
+    if not small(hot):
+        return lines.join(keys, ["host", "line"])
+    cold = lines.join(F.broadcast(hot), ["host", "line"], "left_anti").join(keys, ["host", "line"])
+    return lines.join(F.broadcast(hot), ["host", "line"]).unionByName(cold)
+
+
 def _verdicts(profiled: DataFrame, common: DataFrame) -> DataFrame:
     lost = profiled.select("uid", "host", F.explode("lines").alias("x")).select("uid", "host", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
-    lost = lost.join(common.select("host", "line"), ["host", "line"]).groupBy("uid").agg(F.sum("n").alias("lost"))
+    lost = _holding(lost, common).groupBy("uid").agg(F.sum("n").alias("lost"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
@@ -137,10 +161,11 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed and kept, with a row number ``uid`` of each row.
 
     A null text has no words and fails; a null host is a host of its own; repeated rows get
-    repeated results, and their text counts once; an empty table gives no rows.
+    repeated results, and their text counts once; an empty table gives no rows. As in its SQL, a line
+    is common here only above LINE_SHARE of its host's texts too, which what cuts lines does not ask.
     """
     profiled = _profiled(docs, host)
-    return _verdicts(profiled, _common(profiled))
+    return _verdicts(profiled, _common(profiled, LINE_SHARE))
 
 
 def cut_lines(text: str, common: set[int]) -> str:
@@ -154,7 +179,7 @@ def cut_lines(text: str, common: set[int]) -> str:
 
 def _cut(docs: DataFrame, profiled: DataFrame, common: DataFrame, host: str) -> DataFrame:
     texts = profiled.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
-    held = texts.select("host", "copy", F.explode("lines.line").alias("line")).join(common.select("host", "line"), ["host", "line"])
+    held = _holding(texts.select("host", "copy", F.explode("lines.line").alias("line")), common)
     held = materialise(held.groupBy(F.col("host").alias("_host"), F.col("copy").alias("_copy")).agg(F.collect_list("line").alias("_cut")))
     few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.withColumns({"_host": _host(host), "_copy": F.xxhash64("text")}).join(F.broadcast(held) if few else held, ["_host", "_copy"], "left")

@@ -456,6 +456,17 @@ def test_quality_verdicts(spark):
     assert quality_rules.keep_good(docs.drop("kept")).count() == sum(r["kept"] for r in got.values())
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1, 100_000])
+def test_lines_are_common_in_large_hosts_too(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(quality_rules, "HOT_TEXTS", 25)
+    often, less = "this passage stands in thirty texts of a host", "that passage stands in twenty-one texts of it"
+    texts = [prose(k, 20) + ("\n" + often if k < 30 else "") + ("\n" + less if k < 21 else "") for k in range(400)]
+    docs = table(spark, texts).withColumn("source", F.lit("one"))
+    got = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(docs).collect()}
+    assert got == {k: t.split("\n")[0] for k, t in enumerate(texts)}
+
+
 def test_common_lines_are_cut(spark):
     menu = "Home | Shop 24 | Contact us about the 7 newest offers of the week"
     texts = [f"{prose(k, 30)}\n\n{menu.upper() if k % 2 else menu.replace('24', str(k))}\n {prose(k + 100, 20)} " for k in range(30)] + [menu, None, ""]
