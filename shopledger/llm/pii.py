@@ -3,12 +3,14 @@
 Every detected entity gets a replacement drawn from an HMAC of its type and normal form, so that
 one entity reads the same in all documents and without the key nothing leads back. Letters stay
 letters of their script and case, digits digits, a person's title and gender agree, card numbers keep
-their check digit, addresses stay addresses. Entities whose replacements would meet, or equal an
+their check digit, addresses stay addresses. Given and family names are drawn apart, so 'Anna Weber',
+'Mrs Weber' and a bare 'Weber' beside them keep one family name. Entities whose replacements would meet, or equal an
 entity of the corpus, are drawn again, all but the first of them, until none do.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -23,6 +25,8 @@ from .common import materialise
 
 DEFAULT_KEY = b"replace this key in production"
 BROADCAST_ROWS = 100_000
+#: Draws of a given name from the known ones; further ones are made of syllables.
+GIVEN_DRAWS = 8
 
 # Titles by gender, and given names by script and gender.
 TITLES = {
@@ -63,7 +67,10 @@ NAME_HINTS = tuple(sorted({t + " " for ts in TITLES.values() for t in ts} | {t +
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form), in order and apart. Persons' kinds hold gender and script."""
+    """(start, end, kind, normal form), in order and apart. Persons' kinds hold gender and script.
+
+    A family name found with a title or a given name is a person wherever else the text has it.
+    """
     found: list[tuple[int, int, str, str]] = []
     if not text:
         return found
@@ -85,6 +92,16 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             name = text[start:end]
             found.append((start, end, f"person {_gender(m['title'], name)} {_script(name)}", name.casefold()))
+        families = {text[s:e].split(" ")[-1] for s, e, kind, _ in found if kind.startswith("person")}
+        if families:
+            found.sort()
+            starts = [f[0] for f in found]
+            bare = []
+            for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(sorted({re.escape(w) for f in families for w in (f, f.upper())}, key=len, reverse=True))})(?![\w-])", text):
+                at = bisect.bisect_right(starts, m.start())
+                if (at == 0 or found[at - 1][1] <= m.start()) and (at == len(found) or m.end() <= starts[at]):
+                    bare.append((*m.span(), f"person n {_script(m[0])}", m[0].casefold()))
+            found += bare
         found.sort()
     return found
 
@@ -146,6 +163,15 @@ def _name(script: str, draw: _Draw, length: int) -> str:
     return (out + draw.pick(CONSONANTS[script])).capitalize()
 
 
+def drawn_parts(kind: str, norm: str) -> list[tuple[str, str]]:
+    """(kind, normal form) of what is drawn for an entity: a person's given and family name, else itself."""
+    if not kind.startswith("person"):
+        return [(kind, norm)]
+    gender = kind.split(" ")[1]
+    *given, family = norm.split(" ")
+    return [*[(f"given {gender} {_script(g)}", g) for g in given], (f"family {_script(family)}", family)]
+
+
 def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     """The normal form of the replacement at this attempt."""
     draw = _Draw(key, kind, norm, attempt)
@@ -168,12 +194,12 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         return new
     if kind == "iban":
         return norm[:2] + _characters(norm[2:], draw)
-    if kind.startswith("person"):
+    if kind.startswith("given"):
         _, gender, script = kind.split(" ")
         names = GIVEN.get((script, gender)) or GIVEN[(script, "f")] + GIVEN[(script, "m")]
-        parts = norm.split(" ")
-        family = _name(script, draw, len(parts[-1]))
-        return f"{draw.pick(names)} {family}" if len(parts) > 1 else family
+        return draw.pick([n for n in names if n.casefold() != norm]) if attempt < GIVEN_DRAWS else _name(script, draw, len(norm))
+    if kind.startswith("family"):
+        return _name(kind.split(" ")[1], draw, len(norm))
     return _characters(norm, draw, hexadecimal=kind == "secret" and bool(re.fullmatch(r"[0-9a-f]+", norm)))
 
 
@@ -196,14 +222,15 @@ def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes)
         return text, []
     parts, at = [], 0
     for start, end, kind, norm in found:
-        parts += [text[at:start], dress(text[start:end], kind, surrogate(kind, norm, attempts.get((kind, norm), 0), key))]
+        new = " ".join(surrogate(k, n, attempts.get((k, n), 0), key) for k, n in drawn_parts(kind, norm))
+        parts += [text[at:start], dress(text[start:end], kind, new)]
         at = end
     return "".join([*parts, text[at:]]), [kind.split(" ")[0] for _, _, kind, _ in found]
 
 
 def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k1, k2, kind, norm) for text, k1, k2 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for kind, norm in {e[2:] for e in entities(text)}]
+        rows = [(k1, k2, kind, norm) for text, k1, k2 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for kind, norm in {part for e in entities(text) for part in drawn_parts(*e[2:])}]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["k1", "k2", "kind", "norm"])
 
 
@@ -212,7 +239,7 @@ def collisions(occurrences: DataFrame, key: bytes, most: int = 50) -> DataFrame:
 
     Each round draws for the entities that have to; of those with one replacement the first attempt,
     then the least normal form, keeps it, and a replacement that is itself an entity of the corpus is
-    given up. Raises if ``most`` rounds leave any.
+    given up, but for given names, of which few are known. Raises if ``most`` rounds leave any.
     """
 
     def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +253,9 @@ def collisions(occurrences: DataFrame, key: bytes, most: int = 50) -> DataFrame:
         family = F.split("kind", " ")[0]
         first = new.groupBy(family.alias("family"), "new").agg(F.min(F.struct("attempt", "norm", "kind")).alias("first"), F.count("*").alias("n"))
         doubled = new.withColumn("family", family).join(first.filter("n > 1"), ["family", "new"]).filter(F.struct("attempt", "norm", "kind") != F.col("first"))
-        taken = new.withColumn("family", family).join(real.select(family.alias("family"), F.col("norm").alias("new")).distinct(), ["family", "new"], "left_semi")
+        plain = F.when(family == "family", F.lower("new")).otherwise(F.col("new"))
+        taken = new.filter(family != "given").select("kind", "norm", family.alias("family"), plain.alias("new"))
+        taken = taken.join(real.select(family.alias("family"), F.col("norm").alias("new")).distinct(), ["family", "new"], "left_semi")
         again = materialise(doubled.select("kind", "norm").unionByName(taken.select("kind", "norm")).distinct())
         if not again.limit(1).count():
             return new.filter("attempt > 0").select("kind", "norm", "attempt")

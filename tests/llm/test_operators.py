@@ -557,6 +557,25 @@ def test_replacements_are_coreferent_and_distinct(spark):
     assert pii.replace_pii(docs.limit(0)).count() == 0
 
 
+def test_persons_are_coreferent(spark):
+    texts = ["Anna Weber spoke. Later Mrs Weber left; Weber's car, WEBER.", "Dr Weber and Mr Weber", "Anna Karenina met Webern", "Clara Weber", "weber and Weber"]
+    got = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts)).collect()}
+    given, family = got[0]["text"].split(" ")[:2]
+    assert family != "Weber" and given != "Anna"
+    assert got[0]["text"] == f"{given} {family} spoke. Later Mrs {family} left; {family}'s car, {family.upper()}."
+    assert got[1]["text"] == f"Dr {family} and Mr {family}"
+    assert got[2]["text"].split(" ")[0] == given and got[2]["text"].endswith(" met Webern") and family not in got[2]["text"]
+    assert got[3]["text"].endswith(f" {family}") and not got[3]["text"].startswith(given)
+    assert got[4]["text"] == texts[4]
+    assert [got[i]["n_entities"] for i in range(5)] == [4, 2, 1, 1, 0] and got[0]["kinds"] == "person"
+
+
+def test_many_given_names_stay_distinct(spark):
+    texts = [f"Mr {chr(65 + k // 26)}{chr(97 + k % 26)}o Weber" for k in range(100)]
+    new = [r["text"] for r in pii.replace_pii(table(spark, texts)).collect()]
+    assert len(set(new)) == 100 and len({t.split(" ")[-1] for t in new}) == 1
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     importable(spark)
     values = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)]  # replacements have 9 ** 4 forms
