@@ -56,7 +56,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, end_id: int)
                     names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
                 uid += len(row)
-        release(vocabulary)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

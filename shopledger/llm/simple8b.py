@@ -24,11 +24,19 @@ MAGIC = b"S8BTOK01"
 HEADER = struct.Struct("<8sQQQQQ")
 
 
+_LENGTHS = np.array([v.bit_length() for v in range(1 << 16)], dtype=np.uint8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(values.shape, dtype=np.uint8)
-    top = int(values.max(initial=0))
-    for b in range(min(top.bit_length(), 61)):
-        bits += (values >> np.uint64(b)) != 0
+    """Bits of each value, 61 standing for more than 60."""
+    top = min(int(values.max(initial=0)).bit_length(), 61)
+    if top <= 16:
+        return _LENGTHS[values.astype(np.uint16)]
+    bits = _LENGTHS[(values & np.uint64(0xFFF)).astype(np.uint16)]
+    for at in range(12, top, 12):
+        part = (values >> np.uint64(at)) & np.uint64(0xFFF) if at < 60 else np.minimum(values >> np.uint64(at), np.uint64(1))
+        more = _LENGTHS[part.astype(np.uint16)]
+        bits = np.where(more > 0, more + np.uint8(at), bits)
     return bits
 
 
@@ -53,10 +61,11 @@ def encode(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         out[:, :-shift] = np.maximum(out[:, :-shift], widest[half][:, shift:])
         widest[count] = out
 
-    chosen = np.full((blocks, block), ESCAPE, dtype=np.uint8)
-    for selector in range(len(SELECTORS) - 1, -1, -1):
-        count, width = SELECTORS[selector]
-        chosen[widest[count][:, :block] <= width] = selector
+    # what fits a selector fits all further ones, so the first that fits is the count of those that do not
+    chosen = np.zeros((blocks, block), dtype=np.uint8)
+    for count, width in SELECTORS:
+        chosen += widest[count][:, :block] > width
+    chosen[chosen == len(SELECTORS)] = ESCAPE
     counts = np.array([c for c, _ in SELECTORS] + [1, 1], dtype=np.int64)
 
     # follow the words of all blocks at once
@@ -77,13 +86,14 @@ def encode(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     at = ends - width_in_words
     words = np.zeros(int(ends[-1]), dtype=np.uint64)
     words[at] = selectors.astype(np.uint64) << np.uint64(60)
-    for selector, (count, width) in enumerate(SELECTORS):
+    flat, first = values.ravel(), rows * values.shape[1] + places
+    for selector in np.unique(selectors[selectors != ESCAPE]).tolist():
+        count, width = SELECTORS[selector]
         of = np.flatnonzero(selectors == selector)
-        if len(of):
-            packed = np.zeros(len(of), dtype=np.uint64)
-            for k in range(count):
-                packed |= values[rows[of], places[of] + k] << np.uint64(k * width)
-            words[at[of]] |= packed
+        packed = np.zeros(len(of), dtype=np.uint64)
+        for k in range(count):
+            packed |= flat[first[of] + k] << np.uint64(k * width)
+        words[at[of]] |= packed
     of = np.flatnonzero(selectors == ESCAPE)
     words[at[of] + 1] = values[rows[of], places[of]]
     firsts = np.searchsorted(rows, np.arange(blocks))
@@ -103,16 +113,18 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = 1024) ->
     counts = np.array([c for c, _ in SELECTORS] + [1, 1], dtype=np.int64)[selectors]
     counts[raw] = 0
     before = np.concatenate([[0], np.cumsum(counts)])
-    of_block = np.searchsorted(offsets[1:].astype(np.int64), np.arange(len(words)), side="right")
-    place = before[:-1] - before[offsets[of_block].astype(np.int64)] + of_block * block
-    end = np.minimum((of_block + 1) * block, n)
-    for selector, (count, width) in enumerate(SELECTORS):
+    offsets = offsets.astype(np.int64)
+    of_block = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = before[:-1] - before[offsets[of_block]] + of_block * block
+    inside = np.minimum(counts, np.minimum((of_block + 1) * block, n) - place)  # a block's last word may hold fewer
+    for selector in np.unique(selectors[~raw & (selectors != ESCAPE)]).tolist():
+        count, width = SELECTORS[selector]
+        mask = np.uint64((1 << width) - 1)
         of = np.flatnonzero((selectors == selector) & ~raw)
-        if len(of):
-            mask = np.uint64((1 << width) - 1)
-            for k in range(count):
-                inside = of[place[of] + k < end[of]]
-                out[place[inside] + k] = (words[inside] >> np.uint64(k * width)) & mask
+        short = inside[of] < count
+        for k in range(count):
+            some = of if k < inside[of].min(initial=count) else of[~short | (inside[of] > k)]
+            out[place[some] + k] = (words[some] >> np.uint64(k * width)) & mask
     of = np.flatnonzero((selectors == ESCAPE) & ~raw)
     out[place[of]] = words[of + 1]
     return out
@@ -136,6 +148,14 @@ class TokenFile:
         parts = (self.doc_ids.astype("<i8"), self.known.astype("u1"), self.lengths.astype("<i8"), offsets.astype("<u8"), words.astype("<u8"))
         return head + b"".join(p.tobytes() for p in parts)
 
+    @staticmethod
+    def n_ids(header: bytes) -> int:
+        """The count of ids that a file's first ``HEADER.size`` bytes state."""
+        magic, _, n, _, _, _ = HEADER.unpack_from(header)
+        if magic != MAGIC:
+            raise ValueError("not a token file")
+        return n
+
     @staticmethod
     def from_bytes(data: bytes) -> TokenFile:
         magic, docs, n, block, n_offsets, n_words = HEADER.unpack_from(data)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch_dir
-from .simple8b import TokenFile
+from .simple8b import HEADER, TokenFile
 from .tokens import encoder, release
 
 MANIFEST = "path string, part int, number int, n_docs long, n_ids long"
@@ -64,7 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     yield flush()
         if held:
             yield flush()
-        release(vocabulary)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -74,9 +74,20 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` is the count of ids in all documents before it. Each task opens one file at a time.
+    The manifest only says which files count and in which order. ``start`` is the count of ids in all
+    documents before it, from the files' headers. Each task opens one file at a time. A null doc_id is
+    read back as null, rows of one doc_id each for itself; an empty manifest gives no rows.
     """
 
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _store(folder)
+        for frame in frames:
+            sizes = []
+            for path in frame["path"]:
+                with store.open_input_file(path) as source:
+                    sizes.append(TokenFile.n_ids(source.read(HEADER.size)))
+            yield frame.assign(n_ids=sizes)
+
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _store(folder)
         for frame in frames:
@@ -91,17 +102,23 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": doc_ids, "start": first + ends - file.lengths, "n_tokens": file.lengths, "ids_crc32": np.array(sums, dtype=np.int64)})
 
     # offsets are known before the files are opened, so no decoded row is joined
+    spread = max(4, 2 * manifest.sparkSession.sparkContext.defaultParallelism)
+    named = manifest.select("path", "part", "number").repartition(spread, "path")
+    sized = materialise(named.mapInPandas(measure, "path string, part int, number int, n_ids long"))
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", "part", F.coalesce(before, F.lit(0)).alias("in_part"))
-    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    files = sized.select("path", "part", F.coalesce(before, F.lit(0)).alias("in_part"))
+    parts = sized.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("earlier"))  # a row for each task that wrote
     rows = files.join(parts, "part").select("path", (F.col("earlier") + F.col("in_part")).alias("first"))
-    spread = max(4, 2 * manifest.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(spread, "path").mapInPandas(read, DECODED)
 
 
 def token_file_digest(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
-    """Write ``docs`` to token files in the shared folder and return what the files hold."""
+    """Write ``docs`` (doc_id, text) to token files in the shared folder and return what the files hold.
+
+    Nulls, repeated rows, empty texts and empty tables as in ``write_token_files``; texts of any
+    length are one document of one file; other columns, whatever their names, are left out.
+    """
     folder = scratch_dir(docs.sparkSession)
     return read_token_files(folder, write_token_files(docs, folder, vocabulary, end_id))

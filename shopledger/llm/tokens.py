@@ -1,16 +1,15 @@
 """Token ids of whole texts by the ``tokenizers`` library, each distinct piece encoded once a worker.
 
 A byte-level vocabulary cuts a text before its merges, and never joins what stands on both sides of
-the start of white space that follows a visible character. Texts are therefore cut there, and each
-distinct piece is encoded by the library itself and remembered. A text with white space outside
-ASCII is encoded whole.
+the start of white space that follows a visible character, nor a letter or digit and the
+punctuation behind it. Texts are therefore cut at both, and each distinct piece is encoded by the
+library itself and remembered. A text with white space outside ASCII is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,118 +20,112 @@ from .common import runs_to_index
 
 #: Ranges of characters that Unicode, an older version of it or Python counts as
 #: white space outside the ASCII six, or that are drawn as nothing.
-UNUSUAL_SPACE = r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]"
+UNUSUAL_SPACE = (
+    (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x2029),
+    (0x202F, 0x202F), (0x205F, 0x2060), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
+)
+_UNUSUAL_ARROW = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNUSUAL_SPACE) + "]"
+_UNUSUAL = re.compile("[" + "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in UNUSUAL_SPACE) + "]")
 #: A text with either is cut by Python, not by Arrow.
-NOT_PLAIN = r"[ \t\n\r\v\f][ \t\n\r\v\f]|" + UNUSUAL_SPACE
+NOT_PLAIN = r"[ \t\n\r\v\f][ \t\n\r\v\f]|" + _UNUSUAL_ARROW
 PIECE = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
 #: Begins a piece that stands as it is; other pieces follow a space, unless they begin a line.
 AS_IS = "\x1f"
+#: Punctuation between a letter or digit and white space or the end.
+MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-/:-@\[-`{-~]+)( |$)"
+
+
+def _concat(*arrays: pa.Array) -> pa.Array:
+    return pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays])
 
 
 class CachedEncoder:
     """Encodes texts to one flat array of ids.
 
-    Pieces of up to ``KEPT_CHARS`` are remembered from batch to batch, longer ones rarely come again;
-    beyond ``max_pieces`` the memory is emptied, which costs time and changes no result.
+    Pieces are remembered in Arrow memory from batch to batch and task to task; beyond ``most_bytes``
+    the memory is emptied, which costs time and changes no result.
     """
 
     #: How byte-level vocabularies write a space; pieces that are encoded at once.
-    SPACE_BYTE, JOINED, KEPT_CHARS = "Ġ", 500, 9
+    SPACE_BYTE, JOINED = "Ġ", 500
 
-    def __init__(self, path: str, max_pieces: int = 500_000):
+    def __init__(self, path: str, most_bytes: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.max_pieces = max_pieces
+        self.most_bytes = most_bytes
         self.after_space = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.after_space[i] = token.startswith(self.SPACE_BYTE)
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ",."}
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether this vocabulary cuts before punctuation, as byte-level ones do.
+        self.cuts_marks = all(whole(a + b) == whole(a) + whole(b) for a in ("a", "é", "Ōa", "7", " the") for b in (",", ".", '."', ");", "'", "-"))
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def _remember(self, piece: str, ids) -> None:
-        self.codes[piece] = len(self.ends) - 1
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Encode pieces that are new: those after a space many at a time, the others singly.
 
         In joined pieces only a first token can begin with a space, so these tokens mark the
         pieces; should their count ever differ from the pieces', each is encoded by itself.
         """
-        single, joined, ended = [], [], []
-        for p in new:
-            if not p or p[0] in "\n\x1f" or p[-1].isspace():
-                single.append(p)
-            elif p[-1] in self.marks and len(p) > 1 and p[-2] < "ɐ" and p[-2].isalpha():
-                ended.append(p)
-            else:
-                joined.append(p)
-        cores = {p[:-1] for p in ended}.difference(self.codes)
-        joined += cores.difference(joined)
-        groups = [joined[i : i + self.JOINED] for i in range(0, len(joined), self.JOINED)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, found, strict=True):
-            ids = encoding.ids
+        alone = pc.match_substring_regex(new, r"^$|^[\n\x1f]|[ \t\n\r\v\f]$").to_numpy(zero_copy_only=False)
+        joined, single = np.flatnonzero(~alone), np.flatnonzero(alone).tolist()
+        names = new.take(pa.array(joined)).to_pylist()
+        groups = [slice(i, i + self.JOINED) for i in range(0, len(names), self.JOINED)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(names[g]) for g in groups], add_special_tokens=False)
+        order, flat, lengths = [], [], []
+        for g, encoding in zip(groups, found, strict=True):
+            ids = np.array(encoding.ids, dtype=np.uint32)
             first = np.flatnonzero(self.after_space[ids])
-            if len(first) != len(group):
-                single += group
+            if len(first) != len(joined[g]):
+                single += joined[g].tolist()
                 continue
-            n = len(self.ends) - 1
-            self.codes.update(zip(group, range(n, n + len(group)), strict=True))
-            self.ends.extend((np.append(first[1:], len(ids)) + len(self.flat)).tolist())
-            self.flat.extend(ids)
-        texts = [p if p[:1] == "\n" else p[1:] if p[:1] == AS_IS else " " + p for p in single]
-        for piece, encoding in zip(single, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self._remember(piece, encoding.ids)
-        for p in ended:  # a mark after a letter is a piece of its own
-            code = self.codes[p[:-1]]
-            self._remember(p, [*self.flat[self.ends[code] : self.ends[code + 1]], self.marks[p[-1]]])
+            order.append(joined[g])
+            flat.append(ids)
+            lengths.append(np.diff(np.append(first, len(ids))))
+        texts = [p if p[:1] == "\n" else p[1:] if p[:1] == AS_IS else " " + p for p in new.take(pa.array(single, pa.int64())).to_pylist()]
+        singly = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        order.append(np.array(single, dtype=np.int64))
+        flat.append(np.array([i for ids in singly for i in ids], dtype=np.uint32))
+        lengths.append(np.array([len(ids) for ids in singly], dtype=np.int64))
+        self.known = _concat(self.known, new.take(pa.array(np.concatenate(order))))
+        self.flat = np.concatenate([self.flat, *flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        if re.search("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]", text):
+        if _UNUSUAL.search(text):
             return [AS_IS + text]
         return [p[1:] if p[0] == " " and p[1:2] != "\n" else AS_IS + p for p in PIECE.findall(text)]
 
-    def _codes_of(self, *pieces: pa.Array) -> list[np.ndarray]:
-        """Codes of the pieces: those to keep are learned first, so that the others can be cut off."""
-        own = [p.dictionary_encode() for p in pieces]
-        names = [o.dictionary.to_pylist() for o in own]
-        new = {p for some in names for p in some if p not in self.codes}
-        self._learn([p for p in new if len(p) <= self.KEPT_CHARS])
-        self.kept = len(self.ends)
-        self.passing = [p for p in new if len(p) > self.KEPT_CHARS]
-        self._learn(self.passing)
-        codes = [np.fromiter(map(self.codes.__getitem__, some), dtype=np.int64, count=len(some)) for some in names]
-        return [c[o.indices.to_numpy(zero_copy_only=False)] for c, o in zip(codes, own, strict=True)]
-
-    def _cut_off(self) -> None:
-        for p in self.passing:
-            self.codes.pop(p, None)
-            if p[-1] in self.marks:  # a core that may have been learned with it
-                self.codes.pop(p[:-1], None)
-        del self.ends[self.kept :]
-        del self.flat[self.ends[-1] :]
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
+        """Each piece's place among the known ones, after learning those that are new."""
+        own = pieces.dictionary_encode()
+        at = pc.index_in(own.dictionary, value_set=self.known)
+        if at.null_count:
+            self._learn(own.dictionary.filter(pc.is_null(at)))
+            at = pc.index_in(own.dictionary, value_set=self.known)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)[own.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array | list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, their count by text); ``end_id`` ends each text if given."""
-        if len(self.codes) > self.max_pieces:
+        if self.known.nbytes + self.flat.nbytes > self.most_bytes:
             self._forget()
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, NOT_PLAIN).to_numpy(zero_copy_only=False)
         plain = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
+        if self.cuts_marks:
+            plain = pc.replace_substring_regex(plain, MARKS, r"\1 \x1f\2\3".replace(r"\x1f", AS_IS))
         even = pc.binary_join_element_wise(pa.scalar(AS_IS, pa.large_string()), plain, pa.scalar("", pa.large_string()))
         lists = pc.split_pattern(even, " ")
         cut = [self._cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        codes = np.concatenate(self._codes_of(lists.flatten(), pa.array([p for c in cut for p in c], pa.large_string())))
+        codes = self._codes(_concat(lists.flatten(), pa.array([p for c in cut for p in c], pa.large_string())))
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         counts[odd] = [len(c) for c in cut]
@@ -140,11 +133,8 @@ class CachedEncoder:
         firsts = np.zeros(len(texts), dtype=np.int64)
         firsts[order] = np.concatenate([[0], np.cumsum(counts[order])])[:-1]
         codes = codes[runs_to_index(firsts, counts)]
-        ends = np.frombuffer(self.ends, dtype=np.int64)
-        lengths = ends[codes + 1] - ends[codes]
-        ids = np.array(self.flat, dtype=np.uint32)[runs_to_index(ends[codes], lengths)]
-        del ends
-        self._cut_off()
+        lengths = np.diff(self.ends)[codes]
+        ids = self.flat[runs_to_index(self.ends[codes], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         by_text = np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
         if end_id is None:
@@ -154,9 +144,8 @@ class CachedEncoder:
         return ended, by_text + 1
 
 
-def release(path: str) -> None:
-    """Give a worker's memory back at the end of a task; the next task of another stage needs it."""
-    encoder(path)._forget()
+def release() -> None:
+    """Give Arrow's free memory back at the end of a task; the next task of another stage needs it."""
     pa.default_memory_pool().release_unused()
 
 

@@ -51,7 +51,7 @@ def test_encoder_equals_the_library(reference):
     r = random.Random(1)
     alphabet = list("ab.,'’é \n\t\r\v\f\x1c\x85\xa0 　日!1") + ["  ", "'s", "don't", " x", "Ω", "½"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(1500)] + ODD
-    ids, counts = CachedEncoder(default_vocabulary(), max_pieces=50).encode(texts, 0)
+    ids, counts = CachedEncoder(default_vocabulary(), most_bytes=2000).encode(texts, 0)
     at = 0
     for text, n in zip(texts, counts, strict=True):
         assert ids[at : at + n].tolist() == [*reference(text), 0], repr(text)
