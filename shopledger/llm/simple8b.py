@@ -22,6 +22,7 @@ ESCAPE = 15
 AT_ONCE = 512
 MAGIC = b"S8BTOK01"
 HEADER = struct.Struct("<8sQQQQQ")
+HEADER_BYTES = HEADER.size
 
 
 _LENGTHS = np.array([v.bit_length() for v in range(1 << 16)], dtype=np.uint8)
@@ -150,7 +151,7 @@ class TokenFile:
 
     @staticmethod
     def n_ids(header: bytes) -> int:
-        """The count of ids that a file's first ``HEADER.size`` bytes state."""
+        """The count of ids that a file's first ``HEADER_BYTES`` bytes state."""
         magic, _, n, _, _, _ = HEADER.unpack_from(header)
         if magic != MAGIC:
             raise ValueError("not a token file")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch_dir
-from .simple8b import HEADER, TokenFile
+from .simple8b import HEADER_BYTES, TokenFile
 from .tokens import encoder, release
 
 MANIFEST = "path string, part int, number int, n_docs long, n_ids long"
@@ -85,7 +85,7 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
             sizes = []
             for path in frame["path"]:
                 with store.open_input_file(path) as source:
-                    sizes.append(TokenFile.n_ids(source.read(HEADER.size)))
+                    sizes.append(TokenFile.n_ids(source.read(HEADER_BYTES)))
             yield frame.assign(n_ids=sizes)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
