@@ -1,54 +1,65 @@
 """Surrogates for personal data: keyed, type-consistent, distinct.
 
-Every detected entity gets a replacement drawn from an HMAC of its type and normal form, so that
-one entity reads the same in all documents and without the key nothing leads back. Letters stay
-letters of their script and case, digits digits, a person's title and gender agree, card numbers keep
-their check digit, addresses stay addresses. Given and family names are drawn apart, so 'Anna Weber',
-'Mrs Weber' and a bare 'Weber' beside them keep one family name. Entities whose replacements would meet, or equal an
-entity of the corpus, are drawn again, all but the first of them, until none do.
+Every detected entity is mapped by a keyed permutation of the values of its own format: digits stay
+digits, letters letters of their script, country codes, issuers and top-level domains stay, check
+digits are made anew. A permutation maps two entities to two replacements, so distinctness needs no
+redrawing, however full a format's space is, and it is one cycle, so nothing is mapped to itself.
+The same entity has the same replacement in all documents; without the key nothing leads back. A
+replacement may be another entity's original, as in any full space.
+
+Persons are replaced name by name, so 'Mr John Smith', 'John Smith', 'SMITH, JOHN' and a bare 'Smith'
+beside them stay one person. Known given names are permuted among those of their script and gender;
+other names keep their pattern of vowels and consonants, and given names a final vowel.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-import hmac
+import math
 import re
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-DEFAULT_KEY = b"replace this key in production"
-BROADCAST_ROWS = 100_000
-#: Draws of a given name from the known ones; further ones are made of syllables.
-GIVEN_DRAWS = 8
-
-# Titles by gender, and given names by script and gender.
-TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "Madame"),
-    "m": ("Mr", "Herr", "Sr", "Señor", "Monsieur"),
-    "n": ("Dr", "Prof", "Mx"),
-}
+#: The setting that holds the key; without it each application draws its own.
+KEY_SETTING = "spark.shopledger.pii.key"
+
+# Titles, and given names by script and gender.
+TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "Madame", "Mr", "Herr", "Sr", "Señor", "Monsieur", "Dr", "Prof", "Mx")
 GIVEN = {
-    ("latin", "f"): ("Anna", "Clara", "Elena", "Emily", "Julia", "Laura", "Maria", "Nina", "Paula", "Sarah", "Sofia", "Teresa"),
-    ("latin", "m"): ("Carlos", "David", "Felix", "Hugo", "James", "John", "Lucas", "Martin", "Oscar", "Paul", "Peter", "Thomas"),
-    ("latin", "n"): ("Alex", "Kim", "Robin", "Sasha", "Taylor"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Ирина", "Мария", "Ольга"),
-    ("cyrillic", "m"): ("Антон", "Борис", "Игорь", "Павел", "Фёдор"),
+    ("latin", "f"): (
+        "Aisha", "Alice", "Amina", "Ana", "Anna", "Camille", "Carmen", "Chloe", "Clara", "Elena", "Emily", "Emma", "Fatima", "Hannah", "Ingrid", "Isabel", "Jane", "Jessica",
+        "Julia", "Karin", "Katarzyna", "Laura", "Lucia", "Maria", "Marie", "Mary", "Mei", "Nina", "Olivia", "Paula", "Priya", "Sarah", "Sofia", "Susan", "Teresa", "Ursula", "Yuki",
+    ),
+    ("latin", "m"): (
+        "Ahmed", "Antonio", "Arjun", "Carlos", "Daniel", "David", "Diego", "Felix", "Francois", "Hans", "Hiroshi", "Hugo", "Ivan", "James", "Javier", "Jean", "John", "Jose", "Juan",
+        "Jürgen", "Lucas", "Marco", "Martin", "Michael", "Mohammed", "Oluwaseun", "Oscar", "Paul", "Peter", "Pierre", "Rahul", "Robert", "Thomas", "Wei", "William", "Wolfgang",
+    ),
+    ("latin", "n"): ("Alex", "Charlie", "Jordan", "Kim", "Robin", "Sasha", "Taylor"),
+    ("cyrillic", "f"): ("Анна", "Вера", "Ирина", "Мария", "Ольга", "Светлана"),
+    ("cyrillic", "m"): ("Антон", "Борис", "Игорь", "Иван", "Павел", "Фёдор"),
     ("greek", "f"): ("Άννα", "Ελένη", "Μαρία", "Σοφία"),
     ("greek", "m"): ("Γιώργος", "Δημήτρης", "Νίκος", "Πέτρος"),
-}
-VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
-CONSONANTS = {"latin": "bcdfghklmnprstvwz", "cyrillic": "бвгдклмнпрст", "greek": "βγδκλμνπρτ"}
-
-_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_GIVEN = "|".join(sorted({n for ns in GIVEN.values() for n in ns}, key=len, reverse=True))
-_CAP = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)?"
+}
+VOWELS = {"latin": "aeiou", "cyrillic": "аеёиоуыэюя", "greek": "αεηιουω"}
+CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ"}
+# Calling codes of one and two digits; all others have three.
+CALLING_1 = ("1", "7")
+CALLING_2 = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63",
+    "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "la", "le", "da", "dos", "di", "al", "bin", "ter", "zu")
+
+_POOLS = {pool: tuple(sorted(n.casefold() for n in names)) for pool, names in GIVEN.items()}
+_KNOWN = {n: pool for pool, names in _POOLS.items() for n in names}
+_TITLE_WORDS = frozenset(TITLES)
 #: Entities with digits or an at sign, the more particular first.
 NUMERIC = re.compile(
     r"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)"""
@@ -58,99 +69,27 @@ NUMERIC = re.compile(
     r"""|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d))"""
     r"""|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))"""
     r"""|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"""
-    r"""|(?P<number>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"""
+    r"""|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"""
 )
-#: Persons after a title, or by a known given name and a further one.
-PERSON = re.compile(rf"(?P<title>\b(?:{_TITLE})\b\.?[ ])(?P<titled>{_CAP}(?:[ ]{_CAP})?)|\b(?P<named>(?:{_GIVEN})[ ]{_CAP})")
 HINT = re.compile(r"[0-9@]")
-NAME_HINTS = tuple(sorted({t + " " for ts in TITLES.values() for t in ts} | {t + ". " for ts in TITLES.values() for t in ts} | {n + " " for ns in GIVEN.values() for n in ns}))
-
-
-def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form), in order and apart. Persons' kinds hold gender and script.
+_UPPER = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ]"
+_CAP = rf"{_UPPER}[^\W\d_]+(?:-[^\W\d_]+|['’]{_UPPER}[^\W\d_]+)*"
+#: Capitalised words in a row, particles between them.
+CAPITALISED = re.compile(rf"{_CAP}(?:[ ](?:(?:{'|'.join(PARTICLES)})[ ]){{0,2}}{_CAP})*")
+WORD = re.compile(rf"[^\W\d_]+(?:-[^\W\d_]+|['’]{_UPPER}[^\W\d_]+)*")
+TITLE_BEFORE = re.compile(rf"(?:^|[^\w])(?:{'|'.join(TITLES)})\.?[ ]$")
+#: What stands before or behind the full name of a person, and before a given name alone.
+CUE_BEFORE = re.compile(
+    r"(?:\b(?:name|author|signed|from|to|cc|attn|contact|dear|regards|sincerely|gezeichnet|auteur|autor|firmado)\s*[:,]\s*"
+    r"|\b(?:signed by|written by|contact|wrote to|spoke with|met with|called|emailed|dear|liebe|lieber|cher|chère|querido|querida)[ ]"
+    r"|\b(?:my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ ])$",
+    re.IGNORECASE,
+)
+NAMED_BEFORE = re.compile(r"\b(?:my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ ]$", re.IGNORECASE)
+CUE_AFTER = re.compile(r"[ ](?:wrote|said|says|called|emailed|replied|asked|told|signed|lives|was born|schrieb|sagte|rief|wohnt|a écrit|a dit|habite|escribió|dijo|vive|написал|написала|сказал|сказала)\b|[ ]?<[\w.+%-]+@")
+SURNAME_FIRST = re.compile(rf"({_CAP}), ({_CAP})")
 
-    A family name found with a title or a given name is a person wherever else the text has it.
-    """
-    found: list[tuple[int, int, str, str]] = []
-    if not text:
-        return found
-    if HINT.search(text):
-        for m in NUMERIC.finditer(text):
-            kind = m.lastgroup
-            start, end = m.span(kind)
-            value = m[kind]
-            if kind == "secret" and not any(c.isdigit() for c in value):
-                continue
-            norm = value.lower() if kind in ("email", "secret", "hex", "iban") else value
-            if kind in ("phone", "number", "iban"):
-                norm = re.sub(r"[ .()-]", "", norm)
-            found.append((start, end, "secret" if kind == "hex" else kind, norm))
-    if any(h in text for h in NAME_HINTS):
-        for m in PERSON.finditer(text):
-            start, end = m.span("titled") if m["titled"] else m.span("named")
-            if any(start < e and s < end for s, e, _, _ in found):
-                continue
-            name = text[start:end]
-            found.append((start, end, f"person {_gender(m['title'], name)} {_script(name)}", name.casefold()))
-        families = {text[s:e].split(" ")[-1] for s, e, kind, _ in found if kind.startswith("person")}
-        if families:
-            found.sort()
-            starts = [f[0] for f in found]
-            bare = []
-            for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(sorted({re.escape(w) for f in families for w in (f, f.upper())}, key=len, reverse=True))})(?![\w-])", text):
-                at = bisect.bisect_right(starts, m.start())
-                if (at == 0 or found[at - 1][1] <= m.start()) and (at == len(found) or m.end() <= starts[at]):
-                    bare.append((*m.span(), f"person n {_script(m[0])}", m[0].casefold()))
-            found += bare
-        found.sort()
-    return found
-
-
-def _gender(title: str | None, name: str) -> str:
-    word = (title or "").strip(" .")
-    for gender in "fm":
-        if word in TITLES[gender]:
-            return gender
-    first = name.split(" ")[0]
-    return next((g for (_, g), names in GIVEN.items() if first in names), "n")
-
-
-def _script(name: str) -> str:
-    return "cyrillic" if "Ѐ" <= name[0] <= "ӿ" else "greek" if "Ͱ" <= name[0] <= "Ͽ" else "latin"
-
-
-class _Draw:
-    """Numbers from an HMAC in counter mode."""
-
-    def __init__(self, key: bytes, kind: str, norm: str, attempt: int):
-        self.key, self.seed = key, f"{kind}\0{norm}\0{attempt}".encode("utf-8", "surrogatepass")
-        self.block, self.left = 0, 0
-        self.pool = 0
-
-    def below(self, n: int) -> int:
-        if self.left < 2:
-            digest = hmac.new(self.key, self.seed + self.block.to_bytes(4, "big"), hashlib.sha256).digest()
-            self.pool, self.left, self.block = int.from_bytes(digest, "big"), 32, self.block + 1
-        value = self.pool & 0xFFFF
-        self.pool >>= 16
-        self.left -= 2
-        return value % n
-
-    def pick(self, some):
-        return some[self.below(len(some))]
-
-
-def _characters(norm: str, draw: _Draw, hexadecimal: bool = False) -> str:
-    out = []
-    for c in norm:
-        if c.isdigit():
-            out.append(draw.pick("0123456789"))
-        elif c.isalpha():
-            script = _script(c)
-            out.append(draw.pick("abcdef") if hexadecimal else draw.pick(VOWELS[script] + CONSONANTS[script]))
-        else:
-            out.append(c)
-    return "".join(out)
+Entity = tuple[int, int, str, str]
 
 
 def luhn(digits: str) -> bool:
@@ -158,139 +97,309 @@ def luhn(digits: str) -> bool:
     return sum(sums) % 10 == 0
 
 
-def _name(script: str, draw: _Draw, length: int) -> str:
-    out = "".join(draw.pick(CONSONANTS[script]) + draw.pick(VOWELS[script]) for _ in range(max(2, min(6, (length + 1) // 2))))
-    return (out + draw.pick(CONSONANTS[script])).capitalize()
-
-
-def drawn_parts(kind: str, norm: str) -> list[tuple[str, str]]:
-    """(kind, normal form) of what is drawn for an entity: a person's given and family name, else itself."""
+def iban_check(country: str, account: str) -> str:
+    """The check digits of an account number."""
+    number = int("".join(str(int(c, 36)) for c in (account + country + "00").lower()))
+    return f"{98 - number % 97:02d}"
+
+
+def _numeric(text: str) -> Iterator[Entity]:
+    for m in NUMERIC.finditer(text):
+        kind = m.lastgroup
+        value = m[kind]
+        norm = value.lower() if kind in ("email", "secret", "hex", "iban") else value
+        if kind in ("phone", "card", "iban"):
+            norm = re.sub(r"[ .()-]", "", norm)
+        if kind == "secret" and not any(c.isdigit() for c in value):
+            continue
+        if kind == "card" and not luhn(norm) or kind == "iban" and iban_check(norm[:2], norm[4:]) != norm[2:4]:
+            continue  # some number, but no card or account
+        yield (*m.span(kind), "secret" if kind == "hex" else kind, norm)
+
+
+def _full_name(m: re.Match, text: str) -> tuple[int, int, str] | None:
+    """(start, end, form) of a person in a row of capitalised words: 'gf' given and family name, 'f', 'g'."""
+    words = [w for w in WORD.finditer(m[0]) if not w[0].islower()]
+    names = [w[0] for w in words]
+    span = lambda i, j: (m.start() + words[i].start(), m.start() + words[j].end())
+    # a second given name takes the family name behind it
+    last = lambda i: i + 2 if i + 2 < len(names) and names[i + 1].casefold() in _KNOWN else i + 1
+    before = text[max(0, m.start() - 24) : m.start()]
+    titled = 0 if TITLE_BEFORE.search(before) else next((i + 1 for i, n in enumerate(names) if n in _TITLE_WORDS), None)
+    if titled is not None and titled < len(names):
+        if len(names) - titled == 1:
+            return (*span(titled, titled), "f")
+        return (*span(titled, last(titled)), "gf")
+    for i, n in enumerate(names[:-1]):
+        if n.casefold() in _KNOWN:
+            return (*span(i, last(i)), "gf")
+    if len(names) > 1 and CUE_BEFORE.search(before):
+        return (*span(0, last(0)), "gf")
+    if len(names) > 1 and CUE_AFTER.match(text, m.end()):
+        return (*span(len(names) - 2, len(names) - 1), "gf")
+    if len(names) == 1 and NAMED_BEFORE.search(before):
+        return (*span(0, 0), "g")
+    return None
+
+
+def name_parts(name: str, form: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, normal form) of the names in a person's mention; particles are left out."""
+    words = [w for w in WORD.finditer(name) if not w[0].islower()]
+    family = {"gf": len(words) - 1, "f": 0, "fg": 0, "g": -1}[form]
+    return [(*w.span(), "family" if i == family else "given", w[0].casefold()) for i, w in enumerate(words)]
+
+
+def _persons(text: str) -> Iterator[Entity]:
+    """Full names and titled ones, then every other mention of a name that these hold."""
+    found: list[Entity] = []
+    for m in SURNAME_FIRST.finditer(text):
+        before = text[max(0, m.start() - 24) : m.start()]
+        if m[2].casefold() in _KNOWN and (m[0].isupper() or re.search(r"\bname:\s*$", before, re.IGNORECASE)):
+            found.append((*m.span(), "person fg", m[0].casefold()))
+    taken = [(s, e) for s, e, _, _ in found]
+    for m in CAPITALISED.finditer(text):
+        at = _full_name(m, text)
+        if at and not any(at[0] < e and s < at[1] for s, e in taken):
+            found.append((at[0], at[1], f"person {at[2]}", text[at[0] : at[1]].casefold()))
+    if not found:
+        return
+    families, givens = set(), set()
+    for s, e, kind, _ in found:
+        for _, _, part, norm in name_parts(text[s:e], kind.split(" ")[1]):
+            (families if part == "family" else givens).add(norm)
+    covered = bytearray(len(text))
+    for s, e, _, _ in found:
+        covered[s:e] = b"\x01" * (e - s)
+    yield from found
+    for w in WORD.finditer(text):
+        norm = w[0].casefold()
+        if not w[0].islower() and not covered[w.start()] and (norm in families or norm in givens):
+            yield (*w.span(), "person f" if norm in families else "person g", norm)
+
+
+def entities(text: str | None) -> list[Entity]:
+    """(start, end, kind, normal form) of what is found, in order and apart.
+
+    Persons' kinds tell the order of their names. Cards need their check digit, accounts theirs.
+    """
+    if not text:
+        return []
+    found = sorted([*(_numeric(text) if HINT.search(text) else ()), *_persons(text)])
+    out: list[Entity] = []
+    for e in found:
+        if not out or e[0] >= out[-1][1]:
+            out.append(e)
+    return out
+
+
+def parts_of(text: str, entity: Entity) -> list[Entity]:
+    """What is replaced of an entity: a person's names one by one, else the whole."""
+    start, end, kind, norm = entity
     if not kind.startswith("person"):
-        return [(kind, norm)]
-    gender = kind.split(" ")[1]
-    *given, family = norm.split(" ")
-    return [*[(f"given {gender} {_script(g)}", g) for g in given], (f"family {_script(family)}", family)]
-
-
-def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
-    """The normal form of the replacement at this attempt."""
-    draw = _Draw(key, kind, norm, attempt)
+        return [entity]
+    return [(start + s, start + e, k, n) for s, e, k, n in name_parts(text[start:end], kind.split(" ")[1])]
+
+
+# keyed permutations
+
+
+def _mix(value: int, bits: int, key: bytes, tweak: bytes) -> int:
+    data = len(key).to_bytes(4, "big") + key + len(tweak).to_bytes(4, "big") + tweak + value.to_bytes((bits + 7) // 8, "big")
+    return int.from_bytes(hashlib.shake_256(data).digest((bits + 7) // 8), "big") & ((1 << bits) - 1)
+
+
+def _shuffle(x: int, n: int, key: bytes, tweak: bytes, *, back: bool = False) -> int:
+    """A keyed permutation of 0 .. n - 1 or its inverse: a Feistel network, walked until inside."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(7, -1, -1) if back else range(8):
+            if back:
+                left, right = right ^ _mix(left, half, key, tweak + bytes([r])), left
+            else:
+                left, right = right, left ^ _mix(right, half, key, tweak + bytes([r]))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
+    """The next place on a keyed cycle through all of 0 .. n - 1: no place is its own next."""
+    if n < 2:
+        return x
+    mark = tweak.encode("utf-8", "surrogatepass")
+    return _shuffle((_shuffle(x, n, key, mark) + 1) % n, n, key, mark, back=True)
+
+
+def script_of(c: str) -> str:
+    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str, *, names: bool = False, hexadecimal: bool = False) -> str:
+    """The characters that a lower-case character may become: its own kind, or itself alone."""
+    if c.isascii() and c.isdigit():
+        return "0123456789"
+    if not c.isalpha():
+        return c
+    if hexadecimal:
+        return "abcdef"
+    for script in VOWELS if names or not c.isascii() else ():
+        for some in (VOWELS[script], CONSONANTS[script]):
+            if c in some:
+                return some
+    if c.isascii():
+        return "abcdefghijklmnopqrstuvwxyz"
+    near = ord(c) & ~31  # letters of the same block of 32 that are written in one case like it
+    some = "".join(x for x in map(chr, range(near, near + 32)) if x.isalpha() and x == x.casefold() and len(x.upper()) == 1)
+    return some if c in some else c
+
+
+def _patterned(norm: str, key: bytes, tweak: str, **how: bool) -> str:
+    """The next of all strings of the same pattern."""
+    alphabets = [alphabet(c, **how) for c in norm]
+    x = 0
+    for c, a in zip(norm, alphabets, strict=True):
+        x = x * len(a) + a.index(c)
+    x = permuted(x, math.prod(map(len, alphabets)), key, f"{tweak} {' '.join(a[0] for a in alphabets)}")
+    out = []
+    for a in reversed(alphabets):
+        x, i = divmod(x, len(a))
+        out.append(a[i])
+    return "".join(reversed(out))
+
+
+def _octets(norm: str, key: bytes) -> str:
+    spans = [{1: (0, 10), 2: (0, 100), 3: (100, 156)}[len(o)] for o in norm.split(".")]
+    x = 0
+    for o, (low, n) in zip(norm.split("."), spans, strict=True):
+        x = x * n + int(o) - low
+    x = permuted(x, math.prod(n for _, n in spans), key, f"ip {[len(o) for o in norm.split('.')]}")
+    out = []
+    for o, (low, n) in zip(reversed(norm.split(".")), reversed(spans), strict=True):
+        x, i = divmod(x, n)
+        out.append(f"{i + low:0{len(o)}d}")
+    return ".".join(reversed(out))
+
+
+def _given(norm: str, key: bytes) -> str:
+    pool = _KNOWN.get(norm)
+    if pool:
+        names = _POOLS[pool]
+        return names[permuted(names.index(norm), len(names), key, f"given {pool}")]
+    kept = norm[-1] if alphabet(norm[-1], names=True) in VOWELS.values() else ""
+    body = norm[: len(norm) - len(kept)]
+    new = _patterned(body, key, f"given {kept}", names=True)
+    while new + kept in _KNOWN:  # on along the cycle, so still one to one
+        new = _patterned(new, key, f"given {kept}", names=True)
+    return new + kept
+
+
+@lru_cache(maxsize=50_000)
+def surrogate(kind: str, norm: str, key: bytes) -> str:
+    """The normal form of the replacement; one to one within a kind."""
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         labels = domain.split(".")
-        reserved = labels[-2:] if labels[-2] == "example" else labels[-1:]
-        return _characters(local, draw) + "@" + ".".join([_characters(x, draw) for x in labels[: len(labels) - len(reserved)]] + reserved)
+        kept = labels[-2:] if labels[-2] == "example" else labels[-1:]
+        drawn = labels[: len(labels) - len(kept)]
+        return _patterned(local, key, "local") + "@" + ".".join([*[_patterned(x, key, "label") for x in drawn], *kept])
     if kind == "ip":
-        spans = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
-        return ".".join(str(low + draw.below(high - low + 1)) for low, high in (spans[len(o)] for o in norm.split(".")))
+        return _octets(norm, key)
     if kind == "phone":
-        lead = re.match(r"\+\d", norm)
-        head = lead[0] if lead else ""
-        return head + _characters(norm[len(head) :], draw)
-    if kind == "number":
-        new = draw.pick("123456789") + _characters(norm[1:], draw)
-        if luhn(norm):
-            new = next(new[:-1] + d for d in "0123456789" if luhn(new[:-1] + d))
-        return new
+        digits = norm.removeprefix("+")
+        size = 0 if digits == norm else 1 if digits[:1] in CALLING_1 else 2 if digits[:2] in CALLING_2 else 3
+        head = norm[: len(norm) - len(digits) + size]
+        return head + _patterned(digits[size:], key, f"phone {head}")
+    if kind == "card":
+        new = norm[0] + _patterned(norm[1:-1], key, f"card {norm[0]}")
+        return next(new + d for d in "0123456789" if luhn(new + d))
     if kind == "iban":
-        return norm[:2] + _characters(norm[2:], draw)
-    if kind.startswith("given"):
-        _, gender, script = kind.split(" ")
-        names = GIVEN.get((script, gender)) or GIVEN[(script, "f")] + GIVEN[(script, "m")]
-        return draw.pick([n for n in names if n.casefold() != norm]) if attempt < GIVEN_DRAWS else _name(script, draw, len(norm))
-    if kind.startswith("family"):
-        return _name(kind.split(" ")[1], draw, len(norm))
-    return _characters(norm, draw, hexadecimal=kind == "secret" and bool(re.fullmatch(r"[0-9a-f]+", norm)))
+        account = _patterned(norm[4:], key, f"iban {norm[:2]}")
+        return norm[:2] + iban_check(norm[:2], account) + account
+    if kind == "given":
+        return _given(norm, key)
+    if kind == "family":
+        return _patterned(norm, key, "family", names=True)
+    return _patterned(norm, key, kind, hexadecimal=kind == "secret" and bool(re.fullmatch(r"[0-9a-f]+", norm)))
 
 
 def dress(shape: str, kind: str, new: str) -> str:
     """``new`` in the separators and case of the text that it replaces."""
-    if kind in ("phone", "number", "iban"):
+    if kind in ("phone", "card", "iban"):
         rest = iter(new)
         new = "".join(c if c in " .()-" else next(rest) for c in shape)
     if shape.isupper():
         return new.upper()
+    if kind in ("given", "family"):
+        return "-".join(x[:1].upper() + x[1:] for x in new.split("-"))
     if kind in ("email", "secret") and shape != shape.lower() and len(new) == len(shape):
         return "".join(n.upper() if s.isupper() else n for s, n in zip(shape, new, strict=True))
     return new
 
 
-def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[str]]:
+def rewrite(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     """(text with replacements, kinds found)."""
     found = entities(text)
     if not found:
         return text, []
-    parts, at = [], 0
-    for start, end, kind, norm in found:
-        new = " ".join(surrogate(k, n, attempts.get((k, n), 0), key) for k, n in drawn_parts(kind, norm))
-        parts += [text[at:start], dress(text[start:end], kind, new)]
+    out, at = [], 0
+    for start, end, kind, norm in (p for e in found for p in parts_of(text, e)):
+        out += [text[at:start], dress(text[start:end], kind, surrogate(kind, norm, key))]
         at = end
-    return "".join([*parts, text[at:]]), [kind.split(" ")[0] for _, _, kind, _ in found]
+    return "".join([*out, text[at:]]), [kind.split(" ")[0] for _, _, kind, _ in found]
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(k1, k2, kind, norm) for text, k1, k2 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for kind, norm in {part for e in entities(text) for part in drawn_parts(*e[2:])}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["k1", "k2", "kind", "norm"])
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the setting ``KEY_SETTING``; where that is unset, one drawn for this application."""
+    known = spark.conf.get(KEY_SETTING, None)
+    if not known:
+        known = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, known)
+    return known.encode()
 
 
-def collisions(occurrences: DataFrame, key: bytes, most: int = 50) -> DataFrame:
-    """(kind, norm, attempt) of the entities that need another attempt than the first.
+def replacements(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, norm, new) of each distinct entity in ``docs`` (text), persons name by name."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = sorted({p[2:] for t in batch.column(0).to_pylist() for e in entities(t) for p in parts_of(t, e)})
+            columns = ([k for k, _ in rows], [n for _, n in rows], [surrogate(k, n, key) for k, n in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "norm", "new"])
+
+    return docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(of, "kind string, norm string, new string").distinct()
+
+
+def collisions(found: DataFrame) -> DataFrame:
+    """(kind, new, n) of the replacements that more than one entity of ``replacements`` has, or that left one as it was."""
+    return found.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max(F.expr("norm = new").cast("int")).alias("same")).filter("n > 1 OR same = 1").select("kind", "new", "n")
 
-    Each round draws for the entities that have to; of those with one replacement the first attempt,
-    then the least normal form, keeps it, and a replacement that is itself an entity of the corpus is
-    given up, but for given names, of which few are known. Raises if ``most`` rounds leave any.
-    """
 
-    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(new=[surrogate(k, n, a, key) for k, n, a in zip(f["kind"], f["norm"], f["attempt"], strict=True)])
-
-    real = materialise(occurrences.select("kind", "norm").distinct())
-    state = real.withColumn("attempt", F.lit(0))
-    for _ in range(most):
-        new = materialise(state.mapInPandas(drawn, "kind string, norm string, attempt int, new string"))
-        family = F.split("kind", " ")[0]
-        first = new.groupBy(family.alias("family"), "new").agg(F.min(F.struct("attempt", "norm", "kind")).alias("first"), F.count("*").alias("n"))
-        doubled = new.withColumn("family", family).join(first.filter("n > 1"), ["family", "new"]).filter(F.struct("attempt", "norm", "kind") != F.col("first"))
-        plain = F.when(family == "family", F.lower("new")).otherwise(F.col("new"))
-        taken = new.filter(family != "given").select("kind", "norm", family.alias("family"), plain.alias("new"))
-        taken = taken.join(real.select(family.alias("family"), F.col("norm").alias("new")).distinct(), ["family", "new"], "left_semi")
-        again = materialise(doubled.select("kind", "norm").unionByName(taken.select("kind", "norm")).distinct())
-        if not again.limit(1).count():
-            return new.filter("attempt > 0").select("kind", "norm", "attempt")
-        state = new.drop("new").join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).cast("int").alias("attempt"))
-    raise RuntimeError(f"replacements still meet after {most} rounds")
-
-
-def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, *, counts: bool = True) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, *, counts: bool = True, check: bool = True) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and with n_entities and kinds if ``counts``.
 
     ``n_chars``, where ``docs`` has it, follows the text. A null or empty text stays; equal texts, and
-    equal entities in different texts, get equal replacements; an empty table stays empty. Columns
-    named like the results are overwritten.
+    equal entities in different texts, get equal replacements; repeated rows stay repeated; a null
+    doc_id changes nothing; an empty table stays empty; texts of any length are read whole. Columns
+    named like the results are overwritten. ``check`` first looks for entities whose replacements
+    meet and raises ValueError if there are any.
     """
+    if not key:
+        raise ValueError("a key is needed")
+    if check:
+        met = materialise(collisions(replacements(docs, key))).limit(1).count()
+        if met:
+            raise ValueError("two entities have one replacement")
     columns = docs.columns
-    k1, k2 = F.xxhash64("text"), F.hash("text")
-    some = docs.filter(F.col("text").isNotNull()).select("text", k1.alias("k1"), k2.alias("k2"))
-    occurrences = materialise(some.mapInArrow(_collected, "k1 long, k2 int, kind string, norm string"))
-    redrawn = materialise(collisions(occurrences, key))
-    rows = docs.withColumn("_attempts", F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
-    if redrawn.limit(1).count():
-        of_text = occurrences.join(redrawn, ["kind", "norm"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("_attempts"))
-        of_text = materialise(of_text.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_attempts"))
-        few = of_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(F.broadcast(of_text) if few else of_text, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    text_at, attempts_at = columns.index("text"), len(columns)
+    text_at = columns.index("text")
     extra = ["n_entities", "kinds"] if counts else []
     kept = [c for c in columns if c not in extra]
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [
-                rewrite(t, {(a["kind"], a["norm"]): a["attempt"] for a in own or ()}, key)
-                for t, own in zip(batch.column(text_at).to_pylist(), batch.column(attempts_at).to_pylist(), strict=True)
-            ]
+            done = [rewrite(t, key) for t in batch.column(text_at).to_pylist()]
             made = {"text": pa.array([d[0] for d in done], pa.string())}
             if "n_chars" in columns:
                 old = batch.column(columns.index("n_chars"))
@@ -300,4 +409,4 @@ def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY, *, counts: bool = Tru
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *extra])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["n_entities long", "kinds string"][: len(extra)])
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "_attempts").mapInArrow(replaced, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(replaced, schema)

@@ -10,7 +10,7 @@ from . import decontamination, quality_rules, url_filters
 from .common import documents, table
 from .language_id import identify
 from .packing import pack_documents
-from .pii import replace_pii
+from .pii import replace_pii, surrogate_key
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
 from .sharding import shard_documents
@@ -24,7 +24,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(documents(spark, sf_dir)).select("doc_id", "text", "n_entities", "kinds")
+    return replace_pii(documents(spark, sf_dir), surrogate_key(spark)).select("doc_id", "text", "n_entities", "kinds")
 
 
 def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

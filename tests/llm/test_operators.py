@@ -518,7 +518,7 @@ def test_leader_follows_the_definition():
 
 
 PRIVATE = {
-    "email": "Jane.Doe+x@mail.acme.org", "phone": "+1 (974) 555-3436", "ip": "192.168.10.7", "number": "4111 1111 1111 1111", "secret": "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b",
+    "email": "Jane.Doe+x@mail.acme.org", "phone": "+1 (974) 555-3436", "ip": "192.168.10.7", "card": "4111 1111 1111 1111", "secret": "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b",
     "iban": "DE89 3704 0044 0532 0130 00", "ssn": "078-05-1120", "person": "Anna Karenina",
 }
 
@@ -528,38 +528,89 @@ def test_entities_and_formats():
         text = f"before {value}, after"
         found = pii.entities(text)
         assert [(text[s:e], k.split(" ")[0]) for s, e, k, _ in found] == [(value, kind)]
-        new, kinds = pii.rewrite(text, {}, b"k")
+        new, kinds = pii.rewrite(text, b"k")
         assert kinds == [kind] and value not in new
         again = pii.entities(new)
         assert [k.split(" ")[0] for _, _, k, _ in again] == [kind], new
         if kind != "person":
             assert re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", new))) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", text))) or kind in ("email", "secret")
-    assert pii.luhn(re.sub(r"\D", "", pii.rewrite("4111 1111 1111 1111", {}, b"k")[0]))
-    assert pii.rewrite("Plain words, 12 of them in 2024.", {}, b"k")[1] == []
+    assert pii.luhn(re.sub(r"\D", "", pii.rewrite("4111 1111 1111 1111", b"k")[0]))
+    assert pii.rewrite("Plain words, 12 of them in 2024.", b"k")[1] == []
+
+
+def test_decoys_are_left_alone():
+    for text in ("4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00", "In Berlin, Anna spoke", "Red Square is open"):
+        assert pii.rewrite(text, b"k") == (text, [])
+
+
+def test_formats_are_kept():
+    new = pii.rewrite(f"{PRIVATE['iban']} +49 30 1234567 +351 912 345 678", b"k")[0]
+    account = re.sub(" ", "", new[:27])
+    assert account[:2] == "DE" and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert " +49 " in new and " +351 " in new
+
+
+@pytest.mark.parametrize("n", [2, 3, 64, 100, 1000])
+def test_permutation_is_one_cycle(n):
+    at, seen = 0, []
+    for _ in range(n):
+        at = pii.permuted(at, n, b"k", "t")
+        seen.append(at)
+    assert sorted(seen) == list(range(n))
+    assert seen != [(i + 1) % n for i in range(n)] or n < 4
 
 
 def test_persons_keep_gender_and_script():
-    for text, names in (("Mr John Smith", pii.GIVEN["latin", "m"]), ("Mrs Ada Byron", pii.GIVEN["latin", "f"]), ("Анна Петрова", pii.GIVEN["cyrillic", "f"])):
-        new = pii.rewrite(text, {}, b"k")[0]
+    for text, names in (("Mr John Smith", pii.GIVEN["latin", "m"]), ("Mrs Anna Byron", pii.GIVEN["latin", "f"]), ("Анна Петрова", pii.GIVEN["cyrillic", "f"])):
+        new = pii.rewrite(text, b"k")[0]
         assert new.removeprefix("Mr ").removeprefix("Mrs ").split(" ")[0] in names
-        assert pii._script(new.split(" ")[-1]) == pii._script(text.split(" ")[-1])
+        assert pii.script_of(new[-1]) == pii.script_of(text[-1])
+    assert pii.rewrite("Mrs Ludmila Byron", b"k")[0].split(" ")[1].endswith("a")  # a final vowel stays
 
 
 def test_replacements_are_coreferent_and_distinct(spark):
     texts = [f"call 10.0.{a}.{b} or {PRIVATE['email']}" for a in range(10) for b in range(10)] + ODD
     docs = table(spark, texts, kinds="clash")
-    got = {r["doc_id"]: r for r in pii.replace_pii(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.replace_pii(docs, b"k").collect()}
     assert len({got[i]["text"].split(" ")[1] for i in range(100)}) == 100
     assert len({got[i]["text"].split(" ")[3] for i in range(100)}) == 1
-    assert not {got[i]["text"].split(" ")[1] for i in range(100)} & {f"10.0.{a}.{b}" for a in range(10) for b in range(10)}
+    assert all(got[i]["text"].split(" ")[1] != f"10.0.{i // 10}.{i % 10}" for i in range(100))
     for i, t in enumerate(ODD, 100):
         assert got[i]["text"] == t and got[i]["n_entities"] == 0
-    assert pii.replace_pii(docs.limit(0)).count() == 0
+    assert pii.replace_pii(docs.limit(0), b"k").count() == 0
+    with pytest.raises(ValueError):
+        pii.replace_pii(docs, b"")
+
+
+def test_full_spaces_stay_distinct(spark):
+    quads = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    docs = table(spark, [f"release {' '.join(quads[i : i + 10])}" for i in range(0, 10_000, 10)])
+    got = [r["text"] for r in pii.replace_pii(docs, b"k").orderBy("doc_id").collect()]
+    new = [q for t in got for q in t.split(" ")[1:]]
+    assert sorted(new) == sorted(quads) and not any(a == b for a, b in zip(new, quads, strict=True))
+
+
+def test_every_kind_is_one_to_one(spark):
+    r = random.Random(9)
+    pick = lambda some, n: "".join(r.choice(some) for _ in range(n))
+    texts = [f"mail {pick('abc', 2)}@{pick('xy', 2)}.de, Mr {pick('AB', 1)}{pick('aeb', 2)} {pick('AB', 1)}{pick('ae', 2)}, +49 {pick('01', 3)} {pick('01', 4)}, token={pick('ab1', 7)}1" for _ in range(400)]
+    found = pii.replacements(table(spark, [*texts, *ODD]), b"k")
+    assert pii.collisions(found).count() == 0
+    rows = found.collect()
+    by_kind = collections.defaultdict(list)
+    for x in rows:
+        assert x["new"] == pii.surrogate(x["kind"], x["norm"], b"k") != x["norm"]
+        by_kind[x["kind"]].append(x["new"])
+    assert set(by_kind) == {"email", "given", "family", "phone", "secret"}
+    assert all(len(set(new)) == len(new) for new in by_kind.values())
 
 
 def test_persons_are_coreferent(spark):
-    texts = ["Anna Weber spoke. Later Mrs Weber left; Weber's car, WEBER.", "Dr Weber and Mr Weber", "Anna Karenina met Webern", "Clara Weber", "weber and Weber"]
-    got = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts)).collect()}
+    texts = [
+        "Anna Weber spoke. Later Mrs Weber left; Weber's car, WEBER.", "Dr Weber and Mr Weber", "Anna Karenina met Webern", "Clara Weber", "weber and Weber",
+        "Mr John Smith came, Mr Smith went, SMITH, JOHN stayed", "Mrs Kim Lee and Kim Lee", "Priya Patel wrote to Oluwaseun Adeyemi",
+    ]
+    got = {r["doc_id"]: r for r in pii.replace_pii(table(spark, texts), b"k").collect()}
     given, family = got[0]["text"].split(" ")[:2]
     assert family != "Weber" and given != "Anna"
     assert got[0]["text"] == f"{given} {family} spoke. Later Mrs {family} left; {family}'s car, {family.upper()}."
@@ -567,22 +618,12 @@ def test_persons_are_coreferent(spark):
     assert got[2]["text"].split(" ")[0] == given and got[2]["text"].endswith(" met Webern") and family not in got[2]["text"]
     assert got[3]["text"].endswith(f" {family}") and not got[3]["text"].startswith(given)
     assert got[4]["text"] == texts[4]
-    assert [got[i]["n_entities"] for i in range(5)] == [4, 2, 1, 1, 0] and got[0]["kinds"] == "person"
-
-
-def test_many_given_names_stay_distinct(spark):
-    texts = [f"Mr {chr(65 + k // 26)}{chr(97 + k % 26)}o Weber" for k in range(100)]
-    new = [r["text"] for r in pii.replace_pii(table(spark, texts)).collect()]
-    assert len(set(new)) == 100 and len({t.split(" ")[-1] for t in new}) == 1
-
-
-def test_collisions_are_drawn_again(spark, monkeypatch):
-    importable(spark)
-    values = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)]  # replacements have 9 ** 4 forms
-    occurrences = spark.createDataFrame([(i, i, k, v) for i, (k, v) in enumerate(values)], "k1 long, k2 int, kind string, norm string")
-    attempts = {(r["kind"], r["norm"]): r["attempt"] for r in pii.collisions(occurrences, b"key").collect()}
-    new = [pii.surrogate(k, v, attempts.get((k, v), 0), b"key") for k, v in values]
-    assert len(set(new)) == len(values) and not set(new) & {v for _, v in values}
+    john, smith = got[5]["text"].split(" ")[1:3]
+    assert got[5]["text"] == f"Mr {john} {smith} came, Mr {smith} went, {smith.upper()}, {john.upper()} stayed"
+    kim = got[6]["text"].removeprefix("Mrs ").split(" and ")
+    assert kim[0] == kim[1] != "Kim Lee"
+    assert not {"Priya", "Patel", "Oluwaseun", "Adeyemi"} & set(got[7]["text"].split(" "))
+    assert [got[i]["n_entities"] for i in range(8)] == [4, 2, 1, 1, 0, 3, 2, 2] and got[0]["kinds"] == "person"
 
 
 def test_arrow_batches_without_rows():
