@@ -55,6 +55,8 @@ CALLING_2 = (
     "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63",
     "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
 )
+#: Characters that are permuted as one number.
+AT_ONCE = 64
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "la", "le", "da", "dos", "di", "al", "bin", "ter", "zu")
 
 _POOLS = {pool: tuple(sorted(n.casefold() for n in names)) for pool, names in GIVEN.items()}
@@ -257,7 +259,13 @@ def alphabet(c: str, *, names: bool = False, hexadecimal: bool = False) -> str:
 
 
 def _patterned(norm: str, key: bytes, tweak: str, **how: bool) -> str:
-    """The next of all strings of the same pattern."""
+    """The next of all strings of the same pattern; long ones by parts, each in the light of those before."""
+    if len(norm) > AT_ONCE:
+        parts, seen = [], hashlib.sha256()
+        for at in range(0, len(norm), AT_ONCE):
+            parts.append(_patterned(norm[at : at + AT_ONCE], key, f"{tweak} {len(norm)} {seen.hexdigest()}", **how))
+            seen.update(norm[at : at + AT_ONCE].encode("utf-8", "surrogatepass"))
+        return "".join(parts)
     alphabets = [alphabet(c, **how) for c in norm]
     x = 0
     for c, a in zip(norm, alphabets, strict=True):
