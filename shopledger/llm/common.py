@@ -72,15 +72,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is known and not in ``ids`` (doc_id, distinct, written).
-
-    ``ids`` is broadcast if a count shows it has at most ``most`` rows; else both sides shuffle.
-    """
-    few = ids.limit(most + 1).count() <= most
-    return docs.filter(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def whole_partition(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     """All batches of a partition whose size the caller has bounded; None if it has no rows."""
     frames = [b for b in batches if len(b)]

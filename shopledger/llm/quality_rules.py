@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without_ids
+from .common import materialise
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
@@ -150,22 +150,23 @@ def _verdicts(profiled: DataFrame, common: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
     return (
-        profiled.drop("lines", "host", "copy")
+        profiled.drop("lines")
         .join(lost, "uid", "left")
         .withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
-        .select("uid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        .select("uid", "host", "copy", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     )
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed and kept, with a row number ``uid`` of each row.
 
-    A null text has no words and fails; a null host is a host of its own; repeated rows get
-    repeated results, and their text counts once; an empty table gives no rows. As in its SQL, a line
+    A null text has no words and fails; a null host is a host of its own; a null doc_id is judged like
+    any other; repeated rows get repeated results, and their text counts once; an empty table gives no
+    rows; a line at a limit is not above it; other columns, whatever their names, are left out. As in its SQL, a line
     is common here only above LINE_SHARE of its host's texts too, which what cuts lines does not ask.
     """
     profiled = _profiled(docs, host)
-    return _verdicts(profiled, _common(profiled, LINE_SHARE))
+    return _verdicts(profiled, _common(profiled, LINE_SHARE)).drop("host", "copy")
 
 
 def cut_lines(text: str, common: set[int]) -> str:
@@ -211,14 +212,17 @@ def without_common_lines(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` whose doc_id's verdicts are all to keep, without their host's common lines.
+    """The rows of ``docs`` whose verdict is to keep, without their host's common lines.
 
-    Rows without a doc_id go.
+    The verdict follows from host and text, so rows of one doc_id are judged one by one, and rows
+    without a doc_id like any others; repeated rows stay repeated; all columns stay as they are.
     """
     profiled = _profiled(docs, host)
     common = _common(profiled)
-    rejected = materialise(_verdicts(profiled, common).filter(~F.col("kept")).select("doc_id").distinct())
-    return _cut(without_ids(docs, rejected), profiled, common, host)
+    rejected = materialise(_verdicts(profiled, common).filter(~F.col("kept")).select(F.col("host").alias("_host"), F.col("copy").alias("_copy")).distinct())
+    few = rejected.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    good = docs.join(F.broadcast(rejected) if few else rejected, (_host(host) == F.col("_host")) & (F.xxhash64("text") == F.col("_copy")), "left_anti")
+    return _cut(good, profiled, common, host)
 
 
 #: The contract and the method's verdict in SQL.

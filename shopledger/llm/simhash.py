@@ -1,40 +1,41 @@
 """SimHash near-duplicates by pivot distance tables.
 
-A fingerprint's Hamming distances to reference fingerprints (pivots) are computed once. By the
-triangle inequality two fingerprints within r bits differ by at most r in every one of these
-coordinates, so a pair with a larger difference in any of them is discarded, and survivors are
-verified on their bits.
-
-That bound says which pairs to drop but gives no key to join on, so the table has two kinds of
-pivots. Those of one 16-bit segment (the empty one and the single bits) give the segment's
-coordinates: of four segments, r <= 2 differing bits leave at least two without any difference, so
-every linked pair shares the coordinates of some two segments, its cell. Those over all 64 bits
-filter the pairs of a cell. Cells with many fingerprints are not paired: fingerprints within two
-bits have a common neighbour within one bit of both, so each member of such a cell is keyed by
-itself and its 64 one-bit neighbours, and all that share a key are linked to the least of them.
-Both ways are exact.
+The table holds each fingerprint's Hamming distances to reference fingerprints (pivots): seven in
+each of four segments of 16 bits, and their sums, which are distances to pivots over all 64 bits.
+By the triangle inequality two fingerprints within r bits differ by at most r in every coordinate,
+and by nothing in a segment where their bits agree. Of four segments, r <= 2 differing bits leave
+two alike; so the table is joined on the coordinates of any two segments, the pairs of such a cell
+that differ by more than r in any coordinate are discarded, and the survivors verified on their
+bits. That two segments agree is the pigeonhole of banding; which pairs meet and which are
+dropped is decided by distances to pivots alone. ``pivot_report`` counts both.
+
+Cells with many fingerprints are not paired: fingerprints within two bits have a common neighbour
+within one bit of both, so each member of such a cell is keyed by itself and its 64 one-bit
+neighbours, and all that share a key are linked to the least of them. Both ways are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without_ids
+from .common import materialise
 
 SHINGLES_AT_ONCE = 200_000
-SEGMENTS, SEGMENT_BITS = 4, 16
+SEGMENTS, SEGMENT_BITS, PER_SEGMENT = 4, 16, 7
+#: A coordinate is a distance from 0 to 16.
+VALUES = SEGMENT_BITS + 1
 
 
-def pivots(count: int = 16, seed: int = 7) -> list[int]:
-    """Reference fingerprints over all 64 bits, as signed longs."""
-    return np.random.default_rng(seed).integers(-(2**63), 2**63, count, dtype=np.int64).tolist()
+def pivots(seed: int = 10) -> list[int]:
+    """The references of a segment."""
+    return np.random.default_rng(seed).integers(0, 1 << SEGMENT_BITS, PER_SEGMENT).tolist()
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -96,18 +97,45 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _segment_cell(fp: Column, segment: int) -> Column:
-    """The segment's coordinates: its distances to the empty and the single-bit references, packed.
+def coordinates(fp: Column) -> list[list[Column]]:
+    """Distances to the pivots, segment by segment."""
+    parts = [F.shiftrightunsigned(fp, i * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)) for i in range(SEGMENTS)]
+    return [[distance(part, F.lit(p)) for p in pivots()] for part in parts]
 
-    The distance to a single bit is that to the empty reference, one more or one less as the bit is
-    clear or set; so the signs of these steps are the coordinates, 16 of them in a long.
-    """
-    part = F.shiftrightunsigned(fp, segment * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-    return part
+
+def distance_table(fps: DataFrame) -> DataFrame:
+    """fp, ``at`` (its coordinates, segment after segment) and ``cells`` (a code for those of each two segments)."""
+    of = coordinates(F.col("fp"))
+    codes = [reduce(lambda code, d: code * VALUES + d.cast("long"), ds, F.lit(0).cast("long")) for ds in of]
+    whole = VALUES**PER_SEGMENT
+    cells = [(F.lit(i * whole) + codes[x]) * whole + codes[y] for i, (x, y) in enumerate(combinations(range(SEGMENTS), 2))]
+    return fps.select("fp", F.array(*[d.cast("byte") for ds in of for d in ds]).alias("at"), F.array(*cells).alias("cells"))
+
+
+def _within(radius: int) -> Column:
+    """Whether no coordinate of ``at`` and ``at2`` differs by more than ``radius``, nor any sum over the segments."""
+    steps = [F.col("at")[i].cast("int") - F.col("at2")[i].cast("int") for i in range(SEGMENTS * PER_SEGMENT)]
+    whole = [reduce(Column.__add__, steps[i::PER_SEGMENT]) for i in range(PER_SEGMENT)]
+    return reduce(Column.__and__, [F.abs(x) <= radius for x in [*whole, *steps]])
+
+
+def _cells(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell, fp, at; cell, count of the cells with several fingerprints)."""
+    rows = materialise(distance_table(fps)).select(F.explode("cells").alias("cell"), "fp", "at")
+    return rows, materialise(rows.groupBy("cell").count().filter("count > 1"))
 
 
-def _coordinates(fp: Column) -> Column:
-    return F.array(*[distance(fp, F.lit(p)).cast("byte") for p in pivots()])
+def _cell_pairs(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Pairs a < b with their coordinates, of the cells of at most ``most`` fingerprints."""
+    small = materialise(rows.join(sizes.filter(F.col("count") <= most).select("cell"), "cell"))
+    other = small.select("cell", F.col("fp").alias("b"), F.col("at").alias("at2"))
+    return small.select("cell", F.col("fp").alias("a"), "at").join(other, "cell").filter("a < b")
+
+
+def pivot_report(fps: DataFrame, radius: int = 2, pair_up_to: int = 24) -> DataFrame:
+    """One row: ``pairs`` that meet in cells, ``discarded`` by coordinates, ``verified`` on their bits."""
+    pairs = _cell_pairs(*_cells(fps), pair_up_to).withColumns({"near": _within(radius), "linked": distance(F.col("a"), F.col("b")) <= radius})
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(~F.col("near")).alias("discarded"), F.count_if(F.col("near") & F.col("linked")).alias("verified"), F.count_if(~F.col("near") & F.col("linked")).alias("lost"))
 
 
 def fingerprint_links(fps: DataFrame, radius: int, pair_up_to: int = 24) -> DataFrame:
@@ -118,18 +146,10 @@ def fingerprint_links(fps: DataFrame, radius: int, pair_up_to: int = 24) -> Data
     """
     if radius > 2:
         raise ValueError("two equal segments of four are sure up to 2 bits")
-    cells = [
-        F.struct(F.lit(i).alias("cell"), (F.shiftleft(_segment_cell(F.col("fp"), x), SEGMENT_BITS) + _segment_cell(F.col("fp"), y)).alias("code"))
-        for i, (x, y) in enumerate(combinations(range(SEGMENTS), 2))
-    ]
-    rows = materialise(fps.select("fp", F.inline(F.array(*cells))))
-    sizes = rows.groupBy("cell", "code").count().filter("count > 1")
-    small = rows.join(sizes.filter(F.col("count") <= pair_up_to).drop("count"), ["cell", "code"]).withColumn("at", _coordinates(F.col("fp")))
-    other = small.select("cell", "code", F.col("fp").alias("fp2"), F.col("at").alias("at2"))
-    apart = F.array_max(F.zip_with("at", "at2", lambda x, y: F.abs(x - y)))
-    pairs = small.join(other, ["cell", "code"]).filter(F.col("fp") < F.col("fp2")).filter(apart <= radius)
-    pairs = pairs.filter(distance(F.col("fp"), F.col("fp2")) <= radius).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-    large = rows.join(sizes.filter(F.col("count") > pair_up_to).select("cell", "code"), ["cell", "code"], "left_semi").select("fp").distinct()
+    rows, sizes = _cells(fps)
+    pairs = _cell_pairs(rows, sizes, pair_up_to).filter(_within(radius)).select("a", "b")
+    pairs = pairs.filter(distance(F.col("a"), F.col("b")) <= radius)
+    large = rows.select("cell", "fp").join(sizes.filter(F.col("count") > pair_up_to).select("cell"), "cell", "left_semi").select("fp").distinct()
     if radius == 2:
         near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
         keyed = large.select("fp", F.explode(near).alias("middle"))
@@ -177,186 +197,3 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Of the similarity stage: permutations of the sketch, those whose least shingles are keys, pairs
-#: made of a key's texts up to so many, and the bits within which fingerprints of texts of a
-#: Jaccard similarity of 0.8 stay (about 10 expected, with a deviation of 3).
-SKETCH, ANCHORS, PAIR_UP_TO, SIMILAR_BITS = 128, 8, 8, 22
-#: The sketch only discards: pairs whose estimate is five standard errors below the similarity.
-ERRORS = 5
-_FACTORS = np.random.default_rng(5).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    parts = [np.unique(hashes) for hashes in shingle_hashes(text, size)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def profile(text: str | None, size: int) -> tuple[int, int, list[int], bytes]:
-    """(key of the shingle set, fingerprint, anchors, sketch) of a text; signed longs.
-
-    The sketch keeps the low byte of each least hash: the high ones are near zero in long texts.
-    """
-    counts, n = np.zeros(64, dtype=np.int64), 0
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    distinct: list[np.ndarray] = []
-    for hashes in shingle_hashes(text, size):
-        counts += bit_counts(hashes)
-        n += len(hashes)
-        own = np.unique(hashes)
-        distinct.append(own)
-        for at in range(0, len(own), 4096):
-            with np.errstate(over="ignore"):
-                least = np.minimum(least, (own[at : at + 4096, None] * _FACTORS).min(axis=0))
-    every = np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        key = every.sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(every, initial=np.uint64(0)) * _FACTORS[0]) if len(every) else np.uint64(0)
-    fp = np.uint64(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
-    return int(key.astype(np.int64)), int(fp.astype(np.int64)), least[:ANCHORS].astype(np.int64).tolist(), (least & np.uint64(0xFF)).astype(np.uint8).tobytes()
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of the rows of two tables of sketches; bytes agree by chance in 1 of 256."""
-    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-
-
-def _profiles(docs: DataFrame, size: int) -> DataFrame:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
-                rows = [profile(t.as_py(), size) for t in some.column(2)]
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "copy", "node", "fp", "anchors", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text").mapInArrow(of, "doc_id long, copy long, node long, fp long, anchors array<long>, sketch binary")
-
-
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and its distinct shingles of each row of ``nodes`` (node, copy), made anew from the texts."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
-                sets = [shingle_set(t.as_py(), size).view(np.int64) for t in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    texts = docs.select(F.xxhash64("text").alias("copy"), "text").join(nodes.select("node", "copy"), "copy").dropDuplicates(["node"])
-    return materialise(texts.select("node", "text").mapInArrow(of, "node long, shingles array<long>"))
-
-
-def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b within small buckets; keys and least node of the large)."""
-    sizes = materialise(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1"))
-    small = rows.join(sizes.filter(F.col("n") <= PAIR_UP_TO).select(*keys), keys)
-    pairs = small.select(*keys, F.col("node").alias("a")).join(small.select(*keys, F.col("node").alias("b")), keys).filter("a < b").select("a", "b")
-    return pairs, sizes.filter(F.col("n") > PAIR_UP_TO).select(*keys, "least")
-
-
-def _prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, node): each node's rarest shingles, so many that nodes as alike as ``similarity`` share one.
-
-    Of n shingles, at least similarity * n are common to such a pair, so of the n - ceil(similarity * n) + 1
-    that come first in one order of all shingles (rarest first) both have one in common.
-    """
-    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    held = each.groupBy("shingle").agg(F.count("*").alias("texts"))
-    ranked = each.join(held, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("all"))
-    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    keys = ranked.select("node", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("x"))
-    return keys.filter("x.texts > 1").select(F.col("x.shingle").alias("shingle"), "node")
-
-
-def _with_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with the column of both nodes, as ``column``_a and ``column``_b."""
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``.
-
-    Fingerprints and sketches discard; the sets of what is left decide.
-    """
-    near = _with_sides(pairs, nodes, "fp")
-    apart = F.array_max(F.zip_with(_coordinates(F.col("fp_a")), _coordinates(F.col("fp_b")), lambda x, y: F.abs(x - y)))
-    near = near.filter(apart <= SIMILAR_BITS).filter(distance(F.col("fp_a"), F.col("fp_b")) <= SIMILAR_BITS)
-    near = _with_sides(materialise(near.select("a", "b")), nodes, "sketch")  # only survivors carry sketches through a shuffle
-    least = similarity - ERRORS * (similarity * (1 - similarity) / SKETCH) ** 0.5
-
-    def may_be(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            a, b = (np.frombuffer(b"".join(f[c]), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            yield f.loc[sketch_similarity(a, b) >= least, ["a", "b"]]
-
-    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    near = materialise(near.mapInPandas(may_be, "a long, b long"))
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = _shingle_sets(docs, nodes.join(wanted, "node", "left_semi"), size)
-    return materialise(_with_sides(near, sets, "shingles").mapInArrow(are, "a long, b long"))
-
-
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and keeper of each row: the least doc_id of its group of near-copies.
-
-    Texts of one shingle set are one node. Candidates share the least shingle of one of eight
-    permutations. Nodes of a shingle that many share are keyed again by their rarest shingles, enough
-    of them that no pair of the similarity is lost; where many share one of these too, each is
-    compared with the least of them, and then with all that are not yet in its group. Pairs whose
-    distances to any pivot differ by more than the bits that the similarity allows are discarded, the
-    survivors verified on their fingerprints, on a sketch of 128 permutations and at last by the
-    Jaccard similarity of their shingle sets.
-    """
-    rows = materialise(_profiles(docs, size))
-    nodes = rows.groupBy("node").agg(*[f(c).alias(a) for f, c, a in ((F.min, "doc_id", "first"), (F.first, "copy", "copy"), (F.first, "fp", "fp"), (F.first, "anchors", "anchors"), (F.first, "sketch", "sketch"))])
-    nodes = materialise(nodes)
-    keyed = nodes.filter("node <> 0").select("node", F.posexplode("anchors").alias("k", "value"))
-    pairs, large = _bucket_pairs(keyed, ["k", "value"])
-    crowded = materialise(keyed.join(large, ["k", "value"], "left_semi").select("node").distinct())
-    full = None
-    if crowded.limit(1).count():
-        sets = _shingle_sets(docs, nodes.join(crowded, "node", "left_semi"), size)
-        prefixes = materialise(_prefix_keys(sets, similarity))
-        rare, large = _bucket_pairs(prefixes, ["shingle"])
-        full = materialise(prefixes.join(large, "shingle"))
-        pairs = pairs.unionByName(rare).unionByName(full.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")))
-    pairs = materialise(pairs.distinct())
-    links = _alike(pairs, nodes, docs, size, similarity)
-    roots = components(links)
-    if full is not None:
-        rooted = full.select("shingle", "node").join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
-        apart = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
-        rooted = materialise(rooted.join(apart, "shingle", "left_semi"))
-        across = rooted.select("shingle", F.col("node").alias("a"), F.col("root").alias("x")).join(rooted.select("shingle", F.col("node").alias("b"), F.col("root").alias("y")), "shingle")
-        across = materialise(across.filter("a < b AND x <> y").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        if across.limit(1).count():
-            links = materialise(links.unionByName(_alike(across, nodes, docs, size, similarity)))
-            roots = components(links)
-    named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
-    return rows.select("doc_id", "node").join(named.join(keepers, "root").select("node", "keeper"), "node").select("doc_id", "keeper")
-
-
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near-copies; the least doc_id stays.
-
-    All texts without words are one group; rows without a doc_id go; of rows of one doc_id one
-    stays; an empty table stays empty.
-    """
-    groups = materialise(similar_groups(docs.filter(F.col("doc_id").isNotNull()), size, similarity))
-    gone = materialise(groups.filter("doc_id <> keeper").select("doc_id").distinct())
-    left = without_ids(docs, gone)
-    total = groups.agg(F.count("*") - F.count_distinct("doc_id")).first()[0]
-    return left.dropDuplicates(["doc_id"]) if total else left

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shopledger.llm import decontamination, language_id, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files, url_filters
+from shopledger.llm import decontamination, language_id, near_copies, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files, url_filters
 from shopledger.llm.common import importable, scratch_dir
 from shopledger.llm.simple8b import TokenFile, decode, encode
 from shopledger.llm.tokens import CachedEncoder, default_vocabulary
@@ -223,12 +223,62 @@ def test_links_join_what_brute_force_joins(spark, radius, pair_up_to):
     assert groups(a) == groups(b)
 
 
+def test_pivots_discard_and_lose_nothing(spark):
+    r = random.Random(4)
+    fps = {x ^ (1 << r.randint(0, 62)) ^ (1 << r.randint(0, 62)) for x in [r.getrandbits(63) for _ in range(60)] for _ in range(3)}
+    # pairs that agree in two segments only: distances to pivots tell them apart
+    fps |= {5 << 32 | 9 << 48 | r.getrandbits(32) for _ in range(20)}
+    df = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
+    got = simhash.pivot_report(df, 2, 10_000).first()
+    assert got["lost"] == 0 and got["pairs"] >= 190
+    assert got["discarded"] > 0.9 * (got["pairs"] - got["verified"])
+    table = {x["fp"]: x["at"] for x in simhash.distance_table(df).collect()}
+    for fp, at in table.items():
+        assert at == [bin((fp >> (16 * s) & 0xFFFF) ^ p).count("1") for s in range(4) for p in simhash.pivots()]
+
+
+def test_rows_are_judged_one_by_one(spark):
+    importable(spark)
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a, 1), (1, b, 2), (2, a + " end", 3), (None, prose(3, 60), 4), (None, b + " end", 5), (3, prose(4, 60), 6), (3, prose(4, 60), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keeper int")
+    got = sorted(near_copies.drop_near_duplicates(docs).collect(), key=lambda r: r["keeper"])
+    assert [r["keeper"] for r in got][:3] == [1, 2, 4] and len(got) == 4 and got[3]["doc_id"] == 3
+
+
+def test_recall_and_precision_of_near_copies(spark):
+    r = random.Random(12)
+    texts = []
+    for k in range(60):
+        base = prose(1000 + k, 200, 4000).split(" ")
+        texts.append(" ".join(base))
+        for _ in range(r.randint(0, 12)):
+            copy = list(base)
+            for i in r.sample(range(200), r.randint(1, 9)):
+                copy[i] = "changed"
+            texts.append(" ".join(copy))
+    got = dict(near_copies.similar_groups(table(spark, texts)).collect())
+    want = _groups_by_brute_force(texts)
+    together = lambda of: {(i, j) for i in range(len(texts)) for j in range(i) if of[i] == of[j]}
+    found, true = together([got[i] for i in range(len(texts))]), together(want)
+    assert len(true) > 300 and len(found & true) >= 0.95 * len(true) and len(found & true) >= 0.95 * len(found)
+
+
+def test_pairs_within_a_template_stay_apart(spark):
+    texts = []
+    for k in range(100):  # 0.772 between pairs, 0.985 within
+        words = [*_long("t", 355), *_long(f"o{k}x", 48)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    kept = {x["doc_id"] for x in near_copies.drop_near_duplicates(table(spark, texts)).collect()}
+    assert kept == set(range(0, 200, 2))
+
+
 def test_drop_near_duplicates(spark):
     base = [prose(k, 200) for k in range(8)]
     near = [" ".join([*b.split(" ")[:100], "changed", *b.split(" ")[101:]]) for b in base]
     half = [" ".join([*base[0].split(" ")[:100], *prose(99, 100).split(" ")])]
     texts = base + near + [base[0]] * 30 + half + [None, ""]
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, texts)).collect()}
+    kept = {r["doc_id"] for r in near_copies.drop_near_duplicates(table(spark, texts)).collect()}
     assert kept == {*range(8), 46, 47}
 
 
@@ -263,9 +313,9 @@ def test_similarity_of_long_texts(spark, n):
         shared = round(2 * j * n / (1 + j))
         common = _long(f"c{j}x", shared)
         texts += [" ".join([*common, *_long(f"{side}{j}x", n - shared)]) for side in "ab"]
-        estimate = simhash.sketch_similarity(*(np.frombuffer(simhash.profile(t, 5)[3], dtype=np.uint8)[None] for t in texts[-2:]))
+        estimate = near_copies.sketch_similarity(*(np.frombuffer(near_copies.profile(t, 5)[3], dtype=np.uint8)[None] for t in texts[-2:]))
         assert abs(estimate[0] - _similarity(*map(_shingles, texts[-2:]))) < 0.2
-    got = dict(simhash.similar_groups(table(spark, texts)).collect())
+    got = dict(near_copies.similar_groups(table(spark, texts)).collect())
     assert [got[i] for i in range(6)] == [0, 1, 2, 3, 4, 4]
 
 
@@ -274,7 +324,7 @@ def test_similarity_is_exact_about_the_limit(spark):
     for k in range(20):
         base, n = _long(f"p{k}x", 400), 30 + 3 * k
         texts += [" ".join(base), " ".join([*base[: 400 - n], *_long(f"q{k}x", n)])]
-    got = dict(simhash.similar_groups(table(spark, texts)).collect())
+    got = dict(near_copies.similar_groups(table(spark, texts)).collect())
     assert [got[i] for i in range(len(texts))] == _groups_by_brute_force(texts)
 
 
@@ -287,7 +337,7 @@ def test_close_pairs_in_a_family_of_one_template(spark, own):
         texts.append(" ".join([*template, *words]))
         if k % 10 == 0:
             texts.append(" ".join([*template, *words[: own * 2 // 3], *_long(f"z{k}x", own - own * 2 // 3)]))
-    got = dict(simhash.similar_groups(table(spark, texts)).collect())
+    got = dict(near_copies.similar_groups(table(spark, texts)).collect())
     want = _groups_by_brute_force(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert 0 < len(set(want)) < len(texts)
