@@ -1,6 +1,6 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-Training takes a bounded sample of the labelled rows, spread by a hash of their doc_id. Each round
+Training takes a bounded sample of the labelled rows, the first by a hash of their doc_id. Each round
 deals it to a fixed number of workers that go on from the common state, and averages their states
 coordinate by coordinate (only those that a worker touched). A score is a sparse dot product.
 """
@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_partition
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
@@ -80,8 +80,8 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.n
         np.add.at(n, index, g * g)
 
 
-def _worker(shared):
-    """One worker's pass from the common state: the coordinates it touched."""
+def _workers(shared):
+    """The workers' passes from the common state: the coordinates that each touched."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -93,27 +93,39 @@ def _worker(shared):
         learn(rows, z, n)
         return pd.DataFrame({"i": touched, "z": z[touched], "n": n[touched]})
 
-    return one
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = whole_partition(frames)
+        if rows is not None:
+            for _, frame in rows.groupby("worker"):
+                yield one(frame)
 
+    return of
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, weights) of a model for ``labelled`` (doc_id, text, label 0/1).
 
-    At most about ``SAMPLE_ROWS`` rows, the least by a hash of doc_id, are learned from; the
-    model has at most 2 ** ``BITS`` weights. Without rows all weights are zero.
+def sample(labels: DataFrame, most: int = SAMPLE_ROWS, workers: int = WORKERS) -> DataFrame:
+    """doc_id, label, worker, turn of at most ``most`` rows of ``labels`` (doc_id, label), the first by a hash.
+
+    The rows are dealt to the workers by turns, so that all have as many, but for one.
     """
-    spark = labelled.sparkSession
-    total = labelled.select("label").count()
-    share = min(1.0, SAMPLE_ROWS / max(1, total))
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    sample = labelled.filter(rank < int(share * 1_000_000)).select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(WORKERS)).cast("int").alias("worker"), F.xxhash64("doc_id", F.lit(6)).alias("turn"), "text", "label")
+    first = labels.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(most)
+    rank = F.row_number().over(Window.orderBy("turn", "doc_id"))  # over the bounded sample alone
+    return first.withColumn("worker", F.pmod(rank, F.lit(workers)).cast("int"))
+
 
-    sample = materialise(sample)  # texts, not features: these are larger, and cross the shuffle in each round
+def train(sampled: DataFrame, workers: int = WORKERS) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, weights) of a model for ``sampled`` (text, label 0/1, worker, turn), of a bounded count.
+
+    The model has at most 2 ** ``BITS`` weights. Without rows all weights are zero. A worker's rows are
+    one task's, under a partition of their own.
+    """
+    spark = sampled.sparkSession
+    sampled = materialise(sampled.select("worker", "turn", "text", "label"))  # texts, not features: these are larger, and cross the shuffle in each round
     state = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)  # bounded by 2 ** BITS entries
 
-        found = sample.groupBy("worker").applyInPandas(_worker(shared), "i long, z double, n double").groupBy("i").agg(F.sort_array(F.collect_list("z")).alias("z"), F.sort_array(F.collect_list("n")).alias("n"))
+        dealt = sampled.repartitionByRange(workers, "worker")
+        found = dealt.mapInPandas(_workers(shared), "i long, z double, n double").groupBy("i").agg(F.sort_array(F.collect_list("z")).alias("z"), F.sort_array(F.collect_list("n")).alias("n"))
         new = found.select("i", F.aggregate("z", F.lit(0.0), lambda a, x: a + x) / F.size("z"), F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.size("n")).toPandas()
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         z[state[0]], n[state[0]] = state[1], state[2]
@@ -142,10 +154,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted; learned from labelled rows outside the held fold.
 
-    The fold is crc32 of the doc_id as text; a null doc_id is not held out and has no label.
+    The fold is crc32 of the doc_id as text; a null doc_id is not held out and has no label. Only the
+    sample's doc_ids, which are bounded, go to the texts, so no text is shuffled to find its label. Of
+    several labels of a doc_id the highest counts, of several texts each; a null label teaches
+    nothing; a score equal to the threshold is 1; an empty or null text has the score of the constant;
+    without labels all scores are 0.5; an empty table gives no rows; texts of any length are read
+    whole, other columns left out.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    known = labels.filter(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).filter(fold != held)
-    labelled = docs.select("doc_id", "text").join(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id")
-    scored = score(docs, train(labelled))
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).filter(fold != held)
+    known = materialise(sample(known.groupBy("doc_id").agg(F.max("label").alias("label"))))
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    scored = score(docs, train(texts))
     return scored.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -547,6 +547,34 @@ def test_classifier(spark):
     assert none == {0.5}
 
 
+def test_training_equals_brute_force(spark):
+    importable(spark)
+    rows = [(k, prose(k, 30).replace(" ", " | " if k % 2 else " "), k % 2) for k in range(60)]
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, label int")
+    dealt = {r["doc_id"]: r for r in quality_classifier.sample(labels, 50, 3).collect()}
+    assert len(dealt) == 50 and max(collections.Counter(r["worker"] for r in dealt.values()).values()) == 17
+    docs = spark.createDataFrame([(k, t, y, dealt[k]["worker"], dealt[k]["turn"]) for k, t, y in rows if k in dealt], "doc_id long, text string, label int, worker int, turn long")
+    size = 1 << quality_classifier.BITS
+    z, n = np.zeros(size), np.zeros(size)
+    for _ in range(quality_classifier.ROUNDS):
+        sums, counts = np.zeros((2, size)), np.zeros(size)
+        for worker in range(3):
+            own = sorted((dealt[k]["turn"], t, y) for k, t, y in rows if k in dealt and dealt[k]["worker"] == worker)
+            pairs = [(*quality_classifier.features(t), y) for _, t, y in own]
+            z1, n1 = z.copy(), n.copy()
+            quality_classifier.learn(pairs, z1, n1)
+            touched = np.unique(np.concatenate([i for i, _, _ in pairs]))
+            sums[0, touched] += z1[touched]
+            sums[1, touched] += n1[touched]
+            counts[touched] += 1
+        at = counts > 0
+        z[at], n[at] = sums[0, at] / counts[at], sums[1, at] / counts[at]
+    index, w = quality_classifier.train(docs, 3)
+    got = np.zeros(size)
+    got[index] = w
+    assert np.allclose(got, quality_classifier.weights(z, n))
+
+
 def test_leader_follows_the_definition():
     rows = [(np.array([0, 1]), np.array([1.0, 0.5]), 1), (np.array([0, 2]), np.array([1.0, 1.0]), 0)]
     z, n = np.zeros(4), np.zeros(4)
