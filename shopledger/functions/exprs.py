@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 ZONE = "Europe/Berlin"
 #: Hosts of posts that may be linked, and prefixes that mean the same site.
-POST_HOSTS = ("instagram.com", "facebook.com", "fb.watch", "threads.net", "threads.com", "youtube.com", "youtu.be")
+POST_HOSTS = ("instagram.com", "facebook.com", "fb.com", "fb.watch", "threads.net", "threads.com", "youtube.com", "youtu.be")
 SITE_PREFIX = r"^(www|m|web|mbasic)\."
 PLACEHOLDER_DELIVERY_HOUR = 14
 
@@ -72,7 +72,10 @@ def query_value(url: Column, name: str) -> Column:
 
 
 def normalize_post_url(url: Column) -> Column:
-    """http(s) only, lower-case host without one site prefix, known hosts; no query, fragment or slash at the end."""
+    """http(s) only, lower-case host without one site prefix, known hosts; no query, fragment or slash at the end.
+
+    Null for anything else, and for a site without a path.
+    """
     trimmed = F.trim(url)
     scheme = F.lower(F.regexp_extract(trimmed, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
     host = F.regexp_replace(F.lower(F.regexp_extract(trimmed, r"^[^:]+://(?:[^@/?#]*@)?([^/?#:]+)", 1)), SITE_PREFIX, "")
@@ -80,7 +83,7 @@ def normalize_post_url(url: Column) -> Column:
     known = F.lit(False)
     for name in POST_HOSTS:
         known = known | (host == name) | host.endswith("." + name)
-    return F.when(scheme.isin("http", "https") & known, F.concat(F.lit("https://"), host, path))
+    return F.when(scheme.isin("http", "https") & known & (path != ""), F.concat(F.lit("https://"), host, path))
 
 
 def scrub_url(url: Column) -> Column:
@@ -89,12 +92,12 @@ def scrub_url(url: Column) -> Column:
     authority = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: p.rlike("^utm_[a-z]+=")), "&")
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: p.rlike(r"(?i)^utm_(source|medium|campaign|content|term)=")), "&")
     whole = F.concat(head, F.regexp_replace(authority, r"^.*@", ""), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
     return F.when(head == "", F.regexp_extract(url, r"^([^?#]*)", 1)).otherwise(whole)
 
 
-def pseudonym(value: Column, salt: bytes, prefix: str = "p_") -> Column:
+def pseudonym(value: Column, salt: bytes, prefix: str = "ph_") -> Column:
     """Prefix and 32 hex digits of HMAC-SHA256, in SHA-256 steps so that no Python runs."""
     import hashlib
 

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CATEGORICAL = ["platform", "content_type", "day_of_week", "hour_bucket"]
@@ -33,6 +33,12 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, n["n"] / (2 * pos)).otherwise(n["n"] / (2 * neg)))
 
 
+def with_modes(df: DataFrame, train: DataFrame, categorical: list[str] = CATEGORICAL) -> DataFrame:
+    """``df`` with missing categories filled by the most frequent of ``train``; of equals the least."""
+    row = train.agg(*[F.mode(c, True).alias(c) for c in categorical]).first()
+    return df.fillna({c: row[c] for c in categorical if row[c] is not None})
+
+
 def logistic(c: float, rows: int) -> Pipeline:
     return Pipeline(stages=[*preprocessing(), LogisticRegression(labelCol="label", weightCol="weight", regParam=1.0 / (c * max(1, rows)))])
 
@@ -41,7 +47,7 @@ def forest(trees: int = 200, depth: int = 3, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[*preprocessing(), RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)])
 
 
-def boosted(rounds: int = 50, rate: float = 0.05, seed: int = 42) -> Pipeline:
+def boosted(rounds: int = 200, rate: float = 0.01, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[*preprocessing(), GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, stepSize=rate, maxDepth=3, seed=seed)])
 
 
@@ -59,8 +65,9 @@ def oof_predict(pipeline: Pipeline, df: DataFrame, n_splits: int = 5) -> DataFra
     """Out-of-fold scores: each fold (column ``fold``) is scored by a model of all earlier ones."""
     out = None
     for k in range(1, n_splits + 1):
-        model = pipeline.fit(balanced(_typed(df.filter(F.col("fold") < k))))
-        part = with_probability(model, df.filter(F.col("fold") == k))
+        before = df.filter(F.col("fold") < k)
+        model = pipeline.fit(balanced(_typed(with_modes(before, before))))
+        part = with_probability(model, with_modes(df.filter(F.col("fold") == k), before))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -81,10 +88,25 @@ def _rates() -> Column:
     return (over("tp", "fn") + over("tn", "fp")) / 2
 
 
+def ranked_auc(scored: DataFrame, by: str) -> DataFrame:
+    """Area under the curve by group: the share of pairs of both classes in right order, ties by half.
+
+    Scores are compared at six places, so a group's window runs over at most a million counts, not rows.
+    """
+    counts = scored.groupBy(by, F.round("p", 6).alias("_p")).agg(F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") != 1, 1)).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("right", F.col("pos") * (below + F.col("neg") / 2))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    return counts.groupBy(by).agg(F.round(F.sum("right") / F.when(pairs > 0, pairs), 6).alias("auc"))
+
+
 def metrics(scored: DataFrame, threshold: float, by: str) -> DataFrame:
-    """Balanced accuracy, confusion counts and Brier score by group (label, p)."""
+    """Balanced accuracy, confusion counts, Brier score and AUC by group, and of all with a null group (label, p)."""
+    both = scored.select(F.explode(F.array(F.col(by).cast("string"), F.lit(None).cast("string"))).alias(by), "label", "p") if by else scored
     brier = F.round(F.avg((F.col("p") - F.col("label")) ** 2), 6).alias("brier")
-    return scored.groupBy(by).agg(*_confusion(F.col("p"), F.lit(threshold)), brier).withColumn("balanced_accuracy", F.round(_rates(), 6))
+    counted = both.groupBy(by).agg(*_confusion(F.col("p"), F.lit(threshold)), brier).withColumn("balanced_accuracy", F.round(_rates(), 6))
+    area = ranked_auc(both, by).withColumnRenamed(by, "_by")  # a row for each group
+    return counted.join(area, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def threshold_table(scored: DataFrame) -> DataFrame:
@@ -115,6 +137,59 @@ def select_model(accuracies: dict[str, float], dummy: float) -> tuple[str, bool]
     return name, accuracies[name] >= FLOOR and accuracies[name] >= dummy + OVER_DUMMY
 
 
+def candidates(kind: str, n: int, rows: int, seed: int = 42) -> list[tuple[dict, Pipeline]]:
+    """(parameters, pipeline) of ``n`` draws: C on a log grid from 0.001 to 100, trees and depths, rounds and rates."""
+    import random
+
+    draw = random.Random(f"{kind} {seed}")
+    out = []
+    for _ in range(n):
+        if kind == "logistic":
+            c = 10 ** draw.uniform(-3, 2)
+            out.append(({"c": c}, logistic(c, rows)))
+        elif kind == "forest":
+            own = {"trees": draw.choice((100, 200, 400)), "depth": draw.choice((3, 5, 8))}
+            out.append((own, forest(**own, seed=seed)))
+        else:
+            own = {"rounds": draw.choice((50, 100, 200)), "rate": draw.choice((0.01, 0.03, 0.1))}
+            out.append((own, boosted(**own, seed=seed)))
+    return out
+
+
+def accuracy(scored: DataFrame, threshold: float = 0.5) -> float:
+    """Balanced accuracy of all of ``scored`` (label, p); 0 where a class is missing."""
+    row = scored.agg(*_confusion(F.col("p"), F.lit(threshold))).select(_rates().alias("a")).first()
+    return row["a"] or 0.0
+
+
+def search(tried: list[tuple[dict, Pipeline]], df: DataFrame, n_splits: int = 5) -> tuple[dict, Pipeline, float]:
+    """The draw of the best balanced accuracy on out-of-fold scores; the first of equals."""
+    found = [(own, pipeline, accuracy(oof_predict(pipeline, df, n_splits))) for own, pipeline in tried]
+    return max(found, key=lambda f: f[2])
+
+
+def report(pipeline: Pipeline, train: DataFrame, test: DataFrame, dummy: float, n_splits: int = 5) -> dict:
+    """The chosen model judged: threshold by out-of-fold scores, then the test rows once.
+
+    Returns the threshold, both balanced accuracies, whether the test clears the floor and the
+    dummy, and the test's metrics by platform and of all.
+    """
+    oof = oof_predict(pipeline, train, n_splits)
+    threshold = best_threshold(oof)
+    model = pipeline.fit(balanced(_typed(with_modes(train, train))))
+    scored = with_probability(model, with_modes(test, train))
+    at = accuracy(scored, threshold)
+    return {"threshold": threshold, "oof": accuracy(oof, threshold), "test": at, "passes": at >= FLOOR and at >= dummy + OVER_DUMMY, "metrics": metrics(scored, threshold, "platform")}
+
+
+def refit(pipeline: Pipeline, df: DataFrame, path: str, threshold: float) -> PipelineModel:
+    """The model of all rows with parameters as they are, written to ``path`` with its threshold beside it."""
+    model = pipeline.fit(balanced(_typed(with_modes(df, df))))
+    model.write().overwrite().save(f"{path}/model")
+    df.sparkSession.createDataFrame([(float(threshold),)], "threshold double").write.mode("overwrite").json(f"{path}/threshold")
+    return model
+
+
 def feature_names(scored: DataFrame) -> list[str]:
     groups = scored.schema["features"].metadata["ml_attr"]["attrs"]
     return [a["name"] for a in sorted((a for g in groups.values() for a in g), key=lambda a: a["idx"])]

@@ -7,22 +7,46 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import pseudonym, scrub_url
 
-#: Reviewed property names by what becomes of them.
-KEPT = ("$pathname", "$session_id", "$referring_domain", "$browser", "$device_type", "$os", "locale", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "k")
-HASHED = ("distinct_id", "$device_id", "$user_id", "$anon_distinct_id")
-SCRUBBED = ("$current_url", "$referrer", "$initial_current_url")
-DROPPED = ("$ip", "$geoip_city_name", "$set", "$set_once", "$raw_user_agent", "token", "email", "phone")
-DROPPED_PATTERN = r"^(\$geoip_|\$initial_|\$sdk_|\$autocapture|\$web_vitals)"
+# The reviewed property names, the ones dropped on purpose, and patterns of the latter.
+HASHED = ("distinct_id", "$user_id", "$anon_distinct_id")
+KEPT = (
+    "$session_id", "$pageview_id", "$current_url", "$pathname", "$host", "$referrer", "$referring_domain", "$search_engine", "$external_click_url", "$event_type", "$is_identified",
+    "$cookieless_mode", "title", "navigation_type",
+    "$session_entry_url", "$session_entry_host", "$session_entry_pathname", "$session_entry_referrer", "$session_entry_referring_domain", "$session_entry_search_engine",
+    "$session_entry_utm_source", "$session_entry_utm_medium", "$session_entry_utm_campaign", "$session_entry_utm_content", "$session_entry_utm_term",
+    "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term",
+    "$prev_pageview_id", "$prev_pageview_pathname", "$prev_pageview_duration", "$prev_pageview_max_scroll_percentage", "$prev_pageview_max_content_percentage",
+    "$prev_pageview_last_scroll_percentage", "$prev_pageview_last_content_percentage", "$prev_pageview_last_content", "$prev_pageview_last_scroll", "$prev_pageview_max_content",
+    "$prev_pageview_max_scroll",
+    "$web_vitals_FCP_value", "$web_vitals_LCP_value", "$web_vitals_INP_value", "$web_vitals_CLS_value",
+    "$browser", "$browser_version", "$browser_language", "$browser_language_prefix", "$os", "$os_version", "$device_type", "$device", "$device_model", "$webview_app",
+    "$webview_app_version", "$screen_width", "$screen_height", "$viewport_width", "$viewport_height", "$timezone", "$lib", "$lib_version",
+    "$geoip_country_code", "$geoip_country_name", "$geoip_continent_code", "$geoip_continent_name", "$geoip_subdivision_1_code", "$geoip_subdivision_1_name", "$geoip_time_zone",
+    "kind", "status", "reason", "date", "fulfillmentType", "itemCount", "totalCents", "feeCents", "distanceKm",
+)
+DROPPED = (
+    "$ip", "$device_id", "$window_id", "$raw_user_agent", "$set", "$set_once", "$el_text", "$elements", "$elements_chain", "token", "$insert_id", "$sent_at", "$time",
+    "$timezone_offset", "$config_defaults", "$initialization_time", "$last_posthog_reset", "$recording_status", "$session_recording_start_reason", "$process_person_profile",
+    "$had_persisted_distinct_id", "$ce_version", "$sdk_dist_channel", "$web_vitals_allowed_metrics", "$active_feature_flags", "$feature_flag_payloads", "$feature_flag_request_id",
+    "$configured_session_timeout_ms", "$snapshot_max_depth_exceeded", "$geoip_latitude", "$geoip_longitude", "$geoip_postal_code", "$geoip_city_name", "$geoip_accuracy_radius",
+    "$geoip_subdivision_2_code", "$geoip_subdivision_2_name", "$fbc", "$fbp",
+)
+DROPPED_PATTERNS = (
+    r"^\$sdk_debug_", r"^\$debug_", r"^\$lib_rate_limit", r"^\$web_vitals_\w+_event$", r"^\$\w+_enabled_server_side$", r"^\$\w+_disabled_server_side$",
+    r"(?i)(^|[$_])(gclid|gad_source|gclsrc|dclid|gbraid|wbraid|fbclid|msclkid|twclid|li_fat_id|mc_cid|igshid|ttclid|rdt_cid|epik|qclid|sccid|kx|irclid|fbc|fbp)$",
+)
+URL_NAME = r"(?i)(url|referrer|href)$"
 NAME_LENGTH, VALUE_LENGTH = 200, 500
+NESTED = " (not a plain value)"
 
-#: Kinds of leak in a finished payload.
+#: Kinds of leak in a finished payload, what any of them must contain, and its pattern.
 LEAKS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
-    "ip": r"(^|[^0-9.])([0-9]{1,3}\.){3}[0-9]{1,3}([^0-9.]|$)",
-    "phone": r"\+[0-9]{1,3}[ (-]",
-    "secret": r"(token|secret|password|api_key) = ",
-    "long_number": r"(^|[^0-9])[0-9]{16}([^0-9]|$)",
-    "long_hex": r"(^|[^0-9A-Za-z])[0-9A-Fa-f]{40}([^0-9A-Za-z]|$)",
+    "customer_id": ("_", r"(?i)\bcus?t?_\w"),
+    "url_token": ("=", r"(?i)[?&#](token|code|access_token)="),
+    "url_order": ("=", r"(?i)[?&]order="),
+    "click_id": ("=", r"(?i)[?&](fbclid|gclid|msclkid|ttclid|twclid)="),
+    "email": ("@", r"[\w.+-]+@[\w-]+\.[\w.-]+"),
+    "analytics_key": ("_", r"\bph[xc]_[A-Za-z0-9]{16,}"),
 }
 
 
@@ -30,31 +54,44 @@ class LeakFound(ValueError):
     """A payload still holds personal data; the message has kinds and counts, never values."""
 
 
+def _nested(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"^\s*[\[{]"), F.lit(False))
+
+
 def scrub_properties(properties: Column, salt: bytes) -> Column:
-    """Reviewed keys of a map of strings: kept, hashed or scrubbed, and cut to length.
+    """Reviewed keys of a map of strings: kept, hashed, or scrubbed if named like a URL, and cut to length.
 
-    A value that is itself an object or a list is dropped.
+    A value that is itself an object or a list is dropped, as are an empty identifier and the copy of
+    the visitor among the properties. A null map stays null.
     """
-    allowed = F.map_filter(properties, lambda k, v: k.isin(*KEPT, *HASHED, *SCRUBBED) & ~F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False)))
+    known = lambda k, v: k.isin(*KEPT) & ~_nested(v) | k.isin(*HASHED) & (k != "distinct_id") & ~_nested(v) & (v != "")
+    allowed = F.map_filter(properties, lambda k, v: F.coalesce(known(k, v), F.lit(False)))
 
     def one(k: Column, v: Column) -> Column:
-        return F.substring(F.when(k.isin(*HASHED), pseudonym(v, salt)).when(k.isin(*SCRUBBED), scrub_url(v)).otherwise(v), 1, VALUE_LENGTH)
+        return F.when(k.isin(*HASHED), pseudonym(v, salt)).otherwise(F.substring(F.when(k.rlike(URL_NAME), scrub_url(v)).otherwise(v), 1, VALUE_LENGTH))
 
     return F.transform_values(allowed, one)
 
 
 def scrub_events(events: DataFrame, salt: bytes) -> DataFrame:
     """Events (event_name, visitor, properties) with names cut, visitors hashed and properties scrubbed."""
-    return events.withColumns(
-        {"event_name": F.substring("event_name", 1, NAME_LENGTH), "visitor": pseudonym(F.col("visitor"), salt), "properties": scrub_properties(F.col("properties"), salt)}
-    )
+    visitor = F.when(F.col("visitor").cast("string") != "", pseudonym(F.col("visitor"), salt))
+    return events.withColumns({"event_name": F.substring("event_name", 1, NAME_LENGTH), "visitor": visitor, "properties": scrub_properties(F.col("properties"), salt)})
 
 
 def classify_keys(events: DataFrame) -> DataFrame:
-    """Each property name with its class and count: allowed, dropped, or not yet reviewed."""
-    keys = events.select(F.explode(F.map_keys("properties")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    kind = F.when(F.col("name").isin(*KEPT, *HASHED, *SCRUBBED), "allowed").when(F.col("name").isin(*DROPPED) | F.col("name").rlike(DROPPED_PATTERN), "dropped").otherwise("unreviewed")
-    return keys.select("name", kind.alias("kind"), "n")
+    """Each property name with its class and count: allowed, dropped, or not yet reviewed.
+
+    An allowed name whose value is an object or a list counts as unreviewed, marked as such.
+    """
+    allowed = F.col("name").isin(*KEPT, *HASHED)
+    pairs = events.select(F.explode("properties").alias("name", "value"))
+    named = F.when(allowed & (F.col("name") != "distinct_id") & _nested(F.col("value")), F.concat("name", F.lit(NESTED))).otherwise(F.col("name"))
+    keys = pairs.select(named.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    dropped = F.col("name").isin(*DROPPED)
+    for pattern in DROPPED_PATTERNS:
+        dropped = dropped | F.col("name").rlike(pattern)
+    return keys.select("name", F.when(allowed, "allowed").when(dropped, "dropped").otherwise("unreviewed").alias("kind"), "n")
 
 
 def unreviewed_properties(events: DataFrame) -> DataFrame:
@@ -62,8 +99,9 @@ def unreviewed_properties(events: DataFrame) -> DataFrame:
 
 
 def leak_report(df: DataFrame, column: str) -> DataFrame:
-    """Rows by kind of leak, in one pass over the column."""
-    counted = df.agg(*[F.count(F.when(F.col(column).rlike(p), 1)).alias(k) for k, p in LEAKS.items()])
+    """Rows by kind of leak, in one pass over the column; a plain search spares most rows the pattern."""
+    text = F.col(column)
+    counted = df.agg(*[F.count(F.when(text.contains(sign) & text.rlike(p), 1)).alias(k) for k, (sign, p) in LEAKS.items()])
     return counted.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in LEAKS])))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,26 @@ def require_known(df: DataFrame, dim: DataFrame, key: str, dim_key: str | None =
     return df
 
 
+class NotIdempotent(AssertionError):
+    """A second run changed what the first had written."""
+
+
+def prove_idempotent(job: Callable[[], dict[str, DataFrame]], raw: DataFrame | None = None, key: str | None = None, typed: str | None = None) -> dict[str, int]:
+    """Rows of each table after ``job`` has run twice; raises if the second run changed any count.
+
+    ``job`` writes its tables and returns them. With ``raw``, ``key`` and ``typed``, that typed table must
+    have as many rows as ``raw`` has distinct keys.
+    """
+    first, second = ({name: df.count() for name, df in job().items()} for _ in range(2))
+    if first != second:
+        raise NotIdempotent(f"rows after one run {first}, after two {second}")
+    if raw is not None:
+        distinct = raw.select(key).distinct().count()
+        if second[typed] != distinct:
+            raise NotIdempotent(f"{typed} has {second[typed]} rows for {distinct} keys")
+    return second
+
+
 def check_no_overlap(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Rows whose half-open window begins before an earlier one of their key has ended.
 

@@ -74,22 +74,25 @@ def temporal_split(df: DataFrame, cutoff: datetime) -> DataFrame:
     return df.withColumn("split", F.when(F.col("posted_at") > at, "test").otherwise("train"))
 
 
-def expanding_folds(df: DataFrame, n_splits: int = 5) -> DataFrame:
+def expanding_folds(df: DataFrame, n_splits: int = 5, chunks: int = 24) -> DataFrame:
     """Fold of each row in time order: 0 for the first block, which is never tested, then 1 .. n_splits.
 
     Blocks have n // (n_splits + 1) rows, the first also what is left over. A row's place comes from
-    counts by day and a numbering within the day, so no partition holds the whole table.
+    counts by part of a day and a numbering within the part, so no partition holds a day.
     """
-    days = df.groupBy(F.to_date("posted_at").alias("_day")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    days = days.select("_day", before.alias("_before"), total.alias("_total"))
-    inside = F.row_number().over(Window.partitionBy("_day").orderBy("posted_at", "post_id"))
-    ranked = df.withColumn("_day", F.to_date("posted_at")).join(F.broadcast(days), "_day").withColumn("_at", F.col("_before") + inside - 1)
+    part = F.floor((F.unix_timestamp(F.col("posted_at").cast("timestamp")) % 86400) * chunks / 86400).cast("int")
+    dealt = df.withColumns({"_day": F.to_date("posted_at"), "_part": part})
+    days = dealt.groupBy("_day", "_part").agg(F.count("*").alias("_n"))
+    ordered = Window.orderBy("_day", "_part")
+    before = F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    days = days.select("_day", "_part", before.alias("_before"), total.alias("_total"))  # a row for each part of a day
+    inside = F.row_number().over(Window.partitionBy("_day", "_part").orderBy("posted_at", "post_id"))
+    ranked = dealt.join(F.broadcast(days), ["_day", "_part"]).withColumn("_at", F.col("_before") + inside - 1)
     block = F.floor(F.col("_total") / (n_splits + 1))
     first = F.col("_total") - block * n_splits
     fold = F.when(F.col("_at") < first, 0).otherwise(1 + F.floor((F.col("_at") - first) / F.greatest(block, F.lit(1))))
-    return ranked.withColumn("fold", fold.cast("int")).drop("_day", "_before", "_total", "_at")
+    return ranked.withColumn("fold", fold.cast("int")).drop("_day", "_part", "_before", "_total", "_at")
 
 
 def build_features(posts: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ def event_fields(events: DataFrame) -> DataFrame:
     return events.withColumns({"day": berlin_day(F.col("occurred_at")), "locale": locale_of(path), "path": normalize_path(path)})
 
 
+def payload_fields(raw: DataFrame, names: list[str]) -> DataFrame:
+    """Landed events (payload as JSON) with the named properties, whatever characters a name has; a missing one is ''."""
+    found = F.from_json("payload", "map<string,string>")
+    return raw.withColumn("_fields", found).select(*raw.columns, *[F.coalesce(F.try_element_at("_fields", F.lit(n)), F.lit("")).alias(n.lstrip("$")) for n in names])
+
+
 def _distinct_counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows, distinct sessions and visitors by key.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import alerts, attribution, margin, merge, payloads, privacy, quality, reports, social, web
+from ..sources import readers
 from ..sources.views import Store, with_views
 from . import oracle
 
@@ -181,7 +182,7 @@ def _base(s: Store) -> DataFrame:
 
 def _incoming(s: Store) -> DataFrame:
     changed = F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return s.orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), changed.alias("o_orderstatus"), "o_totalprice")
+    return s.orders.filter("o_orderkey % 2 = 1 OR o_orderkey % 3 <> 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), changed.alias("o_orderstatus"), "o_totalprice")
 
 
 @query
@@ -191,7 +192,7 @@ def merge_insert_lines(s: Store) -> DataFrame:
     lines = s.lineitem.select(*columns, "l_shipdate", "l_extendedprice")
     order = [F.col(c).asc() for c in ("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")]
     base = merge.latest(lines.filter("l_orderkey % 4 = 0"), ["l_orderkey", "l_linenumber"], order)
-    return merge.merge_insert(base, lines.filter("l_orderkey % 4 < 2"), ["l_orderkey", "l_linenumber"], order).select(*columns)
+    return merge.merge_insert(base, lines, ["l_orderkey", "l_linenumber"], order).select(*columns)
 
 
 @query
@@ -204,7 +205,7 @@ def merge_newer_events(s: Store) -> DataFrame:
     last = lambda df, order: merge.latest(df, ["user_id"], order)
     rows = s.events.select("user_id", "ts", "event_id", "value")
     base = last(rows.filter("event_id % 2 = 0"), [F.col("ts").desc(), F.col("event_id").desc()])
-    inc = last(rows.filter("event_id % 3 = 0"), [F.col("ts").desc(), F.col("event_id").desc()])
+    inc = last(rows.filter("event_id % 2 = 1 OR event_id % 3 = 0"), [F.col("ts").desc(), F.col("event_id").desc()])
     return merge.merge_newer(base, inc, ["user_id"], "ts", ["ts", "value"], [F.col("event_id").asc()])
 
 
@@ -212,7 +213,7 @@ def merge_newer_events(s: Store) -> DataFrame:
 def replace_window_ads(s: Store) -> DataFrame:
     rows = s.f_ad_spend.select("day", "platform", "clicks", "impressions")
     inc = rows.filter("day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND clicks % 2 = 0").withColumn("clicks", F.col("clicks") + 1)
-    return merge.replace_window(rows, inc, "day", "1996-01-01", "1996-02-29", F.col("platform") == "NO").filter("day BETWEEN DATE '1995-12-01' AND DATE '1996-04-01'")
+    return merge.replace_window(rows, inc, "day", "1996-01-01", "1996-02-29", F.col("platform") == "NO")
 
 
 @query
@@ -265,7 +266,7 @@ def unknown_items(s: Store) -> DataFrame:
 
 @query
 def posts_without_snapshot(s: Store) -> DataFrame:
-    return quality.orphans(s.f_post.select("post_id", "platform"), s.f_snapshot.filter("event_id % 3 = 0"), "post_id")
+    return quality.orphans(s.f_post.select("post_id", "platform"), s.f_snapshot, "post_id")
 
 
 @query
@@ -360,22 +361,57 @@ def late_attribution(s: Store) -> DataFrame:
     return attribution.attribute_late(labelled, _variants(s)).select("event_id", "channel", "campaign", "variant")
 
 
+def _tracked(s: Store) -> DataFrame:
+    content = (F.col("link_id") % 10).cast("string")
+    return _links(s).select("link_id", "source", F.concat(F.lit("camp_"), F.col("link_id") % 7).alias("campaign"), content.alias("content"), F.col("link_id").alias("created_at"))
+
+
+def _seeded_channels(s: Store) -> DataFrame:
+    """Two channels of the first source, of which the later one's slug comes first."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).cast("long").alias("created_at")) for k, at in (("new-", -1), ("old-", -2))])).alias("x")
+    return _links(s).agg(F.min("source").alias("platform")).select("platform", kinds).select(F.concat("x.k", "platform").alias("slug"), F.concat(F.upper("x.k"), F.col("platform")).alias("name"), "platform", "x.created_at")
+
+
+def _seeded_variants(s: Store) -> DataFrame:
+    """One variant that owns a content of the first source."""
+    return _links(s).agg(F.min("source").alias("platform")).select(F.lit("taken").alias("slug"), F.lit("kept").alias("campaign"), "platform", F.lit("3").alias("content"))
+
+
+def _chained(s: Store) -> DataFrame:
+    links = _tracked(s)
+    return attribution.chained(links, attribution.build_channels(links, _seeded_channels(s)))
+
+
 @query
 def built_channels(s: Store) -> DataFrame:
-    seeded = s.spark.createDataFrame([("seeded", "Seeded")], "slug string, name string")
-    return attribution.build_channels(_links(s), seeded)
+    return attribution.build_channels(_tracked(s), _seeded_channels(s))
 
 
 @query
 def built_campaigns(s: Store) -> DataFrame:
-    links = _links(s).select(F.concat(F.lit("camp_"), F.col("link_id") % 7).alias("campaign"), F.col("link_id").alias("created_at"))
-    return attribution.build_campaigns(links, s.spark.createDataFrame([("camp_1", -1)], "slug string, started_at long"))
+    return attribution.build_campaigns(_chained(s), s.spark.createDataFrame([], "slug string, name string, started_at long"))
+
+
+@query
+def built_variants(s: Store) -> DataFrame:
+    seeded = _seeded_variants(s)
+    return attribution.build_variants(attribution.link_clashes(_chained(s), seeded), seeded)
 
 
 @query
 def link_clashes(s: Store) -> DataFrame:
-    links = _links(s).select("link_id", "source", (F.col("link_id") % 10).cast("string").alias("content"), F.concat(F.lit("v_"), F.lpad(F.col("link_id").cast("string"), 8, "0")).alias("variant"))
-    return attribution.link_clashes(links, _variants(s)).select("link_id", "clash", "variant")
+    return attribution.link_clashes(_chained(s), _seeded_variants(s)).select("link_id", "clash", "variant")
+
+
+@query
+def normalized_links(s: Store) -> DataFrame:
+    """Events after the whole job over links: those without a label get their link's."""
+    posts = s.spark.createDataFrame([], "post_id long, permalink string")
+    none = s.spark.createDataFrame([], "slug string, name string, started_at long")
+    old = F.when(F.col("event_id") % 2 == 0, "old")
+    events = _utm_events(s).select("event_id", "utm_source", "utm_content", old.alias("channel"), F.lit(None).cast("string").alias("campaign"), F.lit(None).cast("string").alias("variant"))
+    links = _tracked(s).withColumn("post_url", F.lit(None).cast("string"))
+    return attribution.normalize_links(links, posts, _seeded_channels(s), none, _seeded_variants(s), events)["events"].select("event_id", "channel", "campaign", "variant")
 
 
 @query
@@ -498,10 +534,100 @@ def admin_dropped(s: Store) -> DataFrame:
 
 @query
 def property_classes(s: Store) -> DataFrame:
-    names = F.array(F.lit("$pathname"), F.lit("$geoip_x"), F.concat(F.lit("new_"), F.col("event_id") % 3), F.lit("distinct_id"))
+    names = F.array(F.lit("$pathname"), F.lit("$geoip_city_name"), F.concat(F.lit("new_"), F.col("event_id") % 3), F.lit("distinct_id"))
     return privacy.classify_keys(s.events.withColumn("properties", F.map_from_arrays(names, F.transform(names, lambda n: F.lit("v")))))
 
 
+# queues and states of actions and alerts
+
+
+def _actions(s: Store) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x) for x in ("proposed", "queued", "approved", "rejected", "expired")]), (F.col("order_id") % 5 + 1).cast("int"))
+    return s.f_orders.select(F.col("order_id").alias("action_id"), status.alias("status"), F.col("placed_at").alias("proposed_at"))
+
+
+def _alerts(s: Store) -> DataFrame:
+    grade = F.when(F.col("rating").isNull(), "info").when(F.col("rating") < 3, "critical").otherwise("warn")
+    return s.f_review.select(F.col("source").alias("agent"), F.col("rating").cast("string").alias("alert_key"), grade.alias("severity"), F.col("posted_at").alias("detected_at"), F.col("replied_at").alias("resolved_at"), "review_id")
+
+
+@query
+def pending_actions(s: Store) -> DataFrame:
+    return reports.pending_actions(_actions(s))
+
+
+@query
+def action_outcomes(s: Store) -> DataFrame:
+    return reports.action_outcomes(_actions(s))
+
+
+@query
+def open_alerts(s: Store) -> DataFrame:
+    return reports.open_alerts(_alerts(s)).select("review_id", "severity", "detected_at")
+
+
+@query
+def alerts_open_twice(s: Store) -> DataFrame:
+    return quality.check_unique(_alerts(s).filter("resolved_at IS NULL"), ["agent", "alert_key"])
+
+
+# sources in order, and events as they are landed
+
+
+@query
+def source_orders(s: Store) -> DataFrame:
+    return readers.read_orders(s.spark, f"{s.folder}/orders.parquet", ["o_orderkey", "o_orderdate", "o_orderstatus"], ["o_orderdate", "o_orderkey"])
+
+
+@query
+def source_events(s: Store) -> DataFrame:
+    return readers.read_orders(s.spark, f"{s.folder}/events.parquet", ["event_id", "ts", "event_type"], ["ts", "event_id"])
+
+
+def _properties(s: Store) -> DataFrame:
+    """Events with properties of all classes."""
+    text = lambda c: F.col(c).cast("string")
+    pairs = {
+        "$pathname": x.path_of(F.col("url")), "$current_url": F.concat(F.lit("https://u:p@shop.example"), F.col("url")), "distinct_id": text("visitor"), "$user_id": text("visitor"),
+        "title": F.repeat(F.col("url"), F.lit(60)), "$geoip_country_code": F.lit("DE"), "$geoip_city_name": F.lit("Bonn"), "$session_entry_fbclid": F.lit("f"),
+        "$os": F.when(F.col("event_id") % 4 == 0, F.lit('{"a": 1}')).otherwise("linux"), "date": F.lit("2024-01-01"),
+    }
+    fixed = F.create_map(*[v for k, c in pairs.items() for v in (F.lit(k), c)])
+    odd = F.create_map(F.concat(F.lit("new_"), F.col("event_id") % 3), F.lit("v"))
+    return s.f_event.select("event_id", "event_name", "visitor", "url", F.map_concat(fixed, odd).alias("properties"))
+
+
+@query
+def scrubbed_events(s: Store) -> DataFrame:
+    got = privacy.scrub_events(_properties(s), SALT)
+    at = lambda n: F.try_element_at("properties", F.lit(n))
+    return got.select("event_id", "visitor", F.size("properties").cast("long").alias("n_kept"), at("$current_url").alias("current_url"), at("$user_id").alias("user_hash"), at("title").alias("title"), at("$os").alias("os"))
+
+
+@query
+def unreviewed_properties(s: Store) -> DataFrame:
+    return privacy.unreviewed_properties(_properties(s))
+
+
+@query
+def event_leaks(s: Store) -> DataFrame:
+    """What the tripwire finds in payloads of which some hold tokens, orders, click ids, keys and customers."""
+    k = F.col("event_id")
+    planted = F.when(k % 17 == 0, "?token=1").when(k % 13 == 0, "?a=1&order=2").when(k % 11 == 0, "?gclid=3").when(k % 7 == 0, " cus_9").when(k % 5 == 0, " phc_0123456789abcdef0").when(k % 3 == 0, " a.b@c.example").otherwise("?utm_source=x")
+    payload = F.to_json(F.create_map(F.lit("uuid"), k.cast("string"), F.lit("$current_url"), F.concat(F.lit("https://shop.example/"), planted)))
+    return privacy.leak_report(s.events.select(payload.alias("payload")), "payload")
+
+
+@query
+def event_fields(s: Store) -> DataFrame:
+    """Properties whose names begin with a dollar, read from JSON; a missing one is empty."""
+    k = F.col("event_id")
+    named = F.create_map(F.lit("$pathname"), F.concat(F.lit("/"), F.col("event_type")), F.lit("n"), k.cast("string"))
+    more = F.when(k % 2 == 0, F.create_map(F.lit("$session.id"), F.col("user_id").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    raw = s.events.select("event_id", F.to_json(F.map_concat(named, more)).alias("payload"))
+    return web.payload_fields(raw, ["$pathname", "$session.id", "$os"]).select("event_id", "pathname", F.col("`session.id`").alias("session_id"), "os")
+
+
 @query
 def threshold_sweep(s: Store) -> DataFrame:
     from ..operators import learning

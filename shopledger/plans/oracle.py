@@ -30,20 +30,34 @@ _VARIANTS = f"""
 _UTM_EVENTS = f"SELECT event_id, utm_source, CASE WHEN utm_source IS NOT NULL THEN CAST(k % 10 AS VARCHAR) END AS utm_content FROM (SELECT event_id, k, {_UTM('utm_source')} AS utm_source FROM f_event)"
 _SCORES = "SELECT d.source AS platform, l.quality AS label, ((d.doc_id * 37) % 1009) / 1009.0 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
 _LEAK = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
-    "ip": r"(^|[^0-9.])([0-9]{1,3}\.){3}[0-9]{1,3}([^0-9.]|$)",
-    "phone": r"\+[0-9]{1,3}[ (-]",
-    "secret": r"(token|secret|password|api_key) = ",
-    "long_number": r"(^|[^0-9])[0-9]{16}([^0-9]|$)",
-    "long_hex": r"(^|[^0-9A-Za-z])[0-9A-Fa-f]{40}([^0-9A-Za-z]|$)",
+    "customer_id": r"(?i)\bcus?t?_\w",
+    "url_token": r"(?i)[?&#](token|code|access_token)=",
+    "url_order": r"(?i)[?&]order=",
+    "click_id": r"(?i)[?&](fbclid|gclid|msclkid|ttclid|twclid)=",
+    "email": r"[\w.+-]+@[\w-]+\.[\w.-]+",
+    "analytics_key": r"\bph[xc]_[A-Za-z0-9]{16,}",
 }
+_TRACKED = f"SELECT link_id, source, 'camp_' || CAST(link_id % 7 AS VARCHAR) AS campaign, CAST(link_id % 10 AS VARCHAR) AS content FROM ({_LINKS})"
+_SEEDED = f"SELECT k || source AS slug, upper(k) || source AS name, source AS platform, made AS created_at FROM (SELECT min(source) AS source FROM ({_LINKS})) CROSS JOIN (VALUES ('new-', CAST(-1 AS BIGINT)), ('old-', CAST(-2 AS BIGINT))) t(k, made)"
+_TITLE = "array_to_string(list_transform(string_split(translate(source, '_-', '  '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_CHANNELS = f"{_SEEDED} UNION ALL SELECT source, {_TITLE}, source, min(link_id) FROM ({_TRACKED}) WHERE source <> (SELECT min(source) FROM ({_LINKS})) GROUP BY source"
+_CHAINED = f"""
+  SELECT l.*, c.slug AS channel, c.slug || '-' || campaign AS campaign_slug, c.name || ' - ' || campaign AS campaign_name, c.slug || '-' || campaign || '-' || content AS variant
+  FROM ({_TRACKED}) l JOIN (SELECT platform, arg_min(slug, created_at) AS slug, arg_min(name, created_at) AS name FROM ({_CHANNELS}) GROUP BY platform) c ON c.platform = l.source"""
+_OWNED = f"""
+  SELECT k.*, CASE WHEN k.source = (SELECT min(source) FROM ({_LINKS})) AND k.content = '3' THEN 'taken' ELSE f.variant END AS owner
+  FROM ({_CHAINED}) k JOIN (SELECT source, content, arg_min(variant, link_id) AS variant FROM ({_CHAINED}) GROUP BY ALL) f ON f.source = k.source AND f.content = k.content"""
 _COUNTED = ("orders", "lineitem", "part", "supplier", "events", "pages", "documents")
 
 _KEY = b"a salt of the tests".ljust(64, b"\0")
 _INNER, _OUTER = (bytes(b ^ pad for b in _KEY).hex() for pad in (0x36, 0x5C))
+_HASHED = f"'ph_' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(visitor AS VARCHAR))))), 1, 32)"
+_PLANTED = """
+  SELECT '{"uuid":"' || CAST(event_id AS VARCHAR) || '","$current_url":"https://shop.example/' || CASE WHEN event_id % 17 = 0 THEN '?token=1' WHEN event_id % 13 = 0 THEN '?a=1&order=2'
+    WHEN event_id % 11 = 0 THEN '?gclid=3' WHEN event_id % 7 = 0 THEN ' cus_9' WHEN event_id % 5 = 0 THEN ' phc_0123456789abcdef0' WHEN event_id % 3 = 0 THEN ' a.b@c.example' ELSE '?utm_source=x' END || '"}' AS payload FROM events"""
 
 SQL = {
-    "pseudonyms": f"SELECT event_id, 'p_' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(user_id AS VARCHAR))))), 1, 32) AS visitor FROM events",
+    "pseudonyms": f"SELECT event_id, 'ph_' || substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(user_id AS VARCHAR))))), 1, 32) AS visitor FROM events",
     "true_margin": """
 WITH cost AS (SELECT order_id, sum(qty * unit_cogs_at_time) AS cogs FROM f_order_line GROUP BY order_id),
 rows AS (
@@ -112,21 +126,20 @@ LEFT JOIN f_recipe r ON r.item_id = n.item_id AND o.placed_at >= r.active_from A
 LEFT JOIN f_ingredient i ON i.ingredient_id = r.ingredient_id GROUP BY ALL""",
     "merge_insert_lines": """
 WITH r AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rk FROM lineitem WHERE l_orderkey % 4 < 2)
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rk FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM r WHERE rk = 1""",
     "merge_update_orders": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS o_custkey,
-  CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice
-FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0""",
+  CASE WHEN (o_orderkey % 2 = 1 OR o_orderkey % 3 <> 0) AND o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders""",
     "merge_newer_events": """
 WITH b AS (SELECT * FROM (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events WHERE event_id % 2 = 0) WHERE rk = 1),
-i AS (SELECT * FROM (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events WHERE event_id % 3 = 0) WHERE rk = 1)
+i AS (SELECT * FROM (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0) WHERE rk = 1)
 SELECT coalesce(b.user_id, i.user_id) AS user_id, CASE WHEN b.user_id IS NULL OR b.ts <= i.ts THEN i.ts ELSE b.ts END AS ts,
   CASE WHEN b.user_id IS NULL THEN i.event_id ELSE b.event_id END AS event_id, CASE WHEN b.user_id IS NULL OR b.ts <= i.ts THEN i.value ELSE b.value END AS value
 FROM b FULL JOIN i ON b.user_id = i.user_id""",
     "replace_window_ads": """
 SELECT day, platform, CAST(clicks AS BIGINT) AS clicks, CAST(impressions AS BIGINT) AS impressions FROM f_ad_spend
-WHERE day BETWEEN DATE '1995-12-01' AND DATE '1996-04-01' AND NOT (day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND platform = 'NO')
+WHERE NOT (day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND platform = 'NO')
 UNION ALL SELECT day, platform, CAST(clicks + 1 AS BIGINT), CAST(impressions AS BIGINT) FROM f_ad_spend WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-02-29' AND clicks % 2 = 0""",
     "pruned_events": "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'",
     "restated_ads": """
@@ -142,7 +155,7 @@ SELECT ingredient_id, CAST(current_price * CASE WHEN ingredient_id % 4 = 0 THEN
     "erased_customers": "SELECT order_id, CASE WHEN customer_id % 10 = 3 AND customer_id IN (SELECT c_custkey FROM customer) THEN NULL ELSE customer_id END AS customer_id FROM f_orders",
     "placeholder_prices": "SELECT ingredient_id, slug FROM f_ingredient WHERE ingredient_id % 3 = 0",
     "unknown_items": "SELECT DISTINCT item_id FROM f_order_line WHERE item_id NOT IN (SELECT item_id FROM f_menu_item WHERE item_id % 2 = 0)",
-    "posts_without_snapshot": "SELECT post_id, platform FROM f_post WHERE post_id NOT IN (SELECT post_id FROM f_snapshot WHERE event_id % 3 = 0)",
+    "posts_without_snapshot": "SELECT post_id, platform FROM f_post WHERE post_id NOT IN (SELECT post_id FROM f_snapshot)",
     "known_posts_only": "SELECT event_id, post_id * 2 AS post_id, likes FROM f_snapshot WHERE post_id * 2 IN (SELECT post_id FROM f_post)",
     "web_traffic_daily": f"SELECT {_DAY} AS day, {_LOCALE} AS locale, count(*) AS pageviews, count(DISTINCT session) AS sessions, count(DISTINCT visitor) AS visitors FROM f_event WHERE event_name = '$pageview' AND NOT regexp_matches({_PATH}, '^(/[a-z]{{2}})?/admin(/|$)') GROUP BY ALL",
     "web_page_daily": f"SELECT {_DAY} AS day, {_LOCALE} AS locale, {_NORM} AS path, count(*) AS pageviews, count(DISTINCT session) AS sessions, count(DISTINCT visitor) AS visitors FROM f_event WHERE event_name = '$pageview' GROUP BY ALL",
@@ -176,15 +189,9 @@ LEFT JOIN ({_VARIANTS}) v ON v.source = nullif(e.utm_source, '') AND v.content =
     "late_attribution": f"""
 SELECT e.event_id, CASE WHEN e.event_id % 2 = 0 THEN 'old' ELSE v.channel END AS channel, CASE WHEN e.event_id % 2 = 1 THEN v.campaign END AS campaign, CASE WHEN e.event_id % 2 = 1 THEN v.variant END AS variant
 FROM ({_UTM_EVENTS}) e LEFT JOIN ({_VARIANTS}) v ON v.source = e.utm_source AND v.content = e.utm_content""",
-    "built_channels": f"""
-SELECT 'seeded' AS slug, 'Seeded' AS name UNION ALL
-SELECT source, array_to_string(list_transform(string_split(translate(source, '_-', '  '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') FROM (SELECT DISTINCT source FROM ({_LINKS})) WHERE source <> 'seeded'""",
-    "built_campaigns": f"""
-SELECT 'camp_1' AS slug, CAST(-1 AS BIGINT) AS started_at UNION ALL
-SELECT slug, min(link_id) FROM (SELECT 'camp_' || CAST(link_id % 7 AS VARCHAR) AS slug, link_id FROM ({_LINKS})) WHERE slug <> 'camp_1' GROUP BY slug""",
-    "link_clashes": f"""
-SELECT link_id, first <> link_id AS clash, CASE WHEN first = link_id THEN 'v_' || lpad(CAST(link_id AS VARCHAR), 8, '0') END AS variant
-FROM (SELECT link_id, min(link_id) OVER (PARTITION BY source, link_id % 10) AS first FROM ({_LINKS}))""",
+    "built_channels": _CHANNELS,
+    "built_campaigns": f"SELECT campaign_slug AS slug, campaign_name AS name, min(link_id) AS started_at FROM ({_CHAINED}) GROUP BY ALL",
+    "link_clashes": f"SELECT link_id, variant <> owner AS clash, CASE WHEN variant = owner THEN variant END AS variant FROM ({_OWNED})",
     "matched_posts": f"""
 SELECT l.link_id, p.post_id FROM ({_LINKS}) l LEFT JOIN (SELECT post_id % 50 AS k, max(post_id) AS post_id FROM f_post GROUP BY 1) p ON p.k = l.link_id % 60""",
     "latest_snapshots": f"SELECT post_id, event_id, captured_at, likes, comments, shares FROM ({_LATEST})",
@@ -233,14 +240,39 @@ SELECT unnest(['status_known', 'gross_not_negative', 'delivered_has_time', 'deli
     "text_leaks": " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (regexp_matches(text, '{p}')) AS n FROM documents" for k, p in _LEAK.items()),
     "admin_dropped": f"SELECT event_id FROM (SELECT event_id, CASE WHEN k % 9 = 0 THEN '/de/admin/' || CAST(k AS VARCHAR) ELSE url END AS url FROM f_event) WHERE NOT regexp_matches({_PATH}, '^(/[a-z]{{2}})?/admin(/|$)')",
     "property_classes": """
-SELECT name, CASE WHEN name IN ('$pathname', 'distinct_id') THEN 'allowed' WHEN name = '$geoip_x' THEN 'dropped' ELSE 'unreviewed' END AS kind, count(*) AS n
-FROM (SELECT unnest(['$pathname', '$geoip_x', 'new_' || CAST(event_id % 3 AS VARCHAR), 'distinct_id']) AS name FROM events) GROUP BY ALL""",
+SELECT name, CASE WHEN name IN ('$pathname', 'distinct_id') THEN 'allowed' WHEN name = '$geoip_city_name' THEN 'dropped' ELSE 'unreviewed' END AS kind, count(*) AS n
+FROM (SELECT unnest(['$pathname', '$geoip_city_name', 'new_' || CAST(event_id % 3 AS VARCHAR), 'distinct_id']) AS name FROM events) GROUP BY ALL""",
     "threshold_sweep": f"""
 SELECT CAST(t AS INTEGER) AS step, round((count(*) FILTER (label = 1 AND r >= t) * 1.0 / nullif(count(*) FILTER (label = 1), 0) + count(*) FILTER (label <> 1 AND r < t) * 1.0 / nullif(count(*) FILTER (label <> 1), 0)) / 2, 6) AS balanced_accuracy
 FROM (SELECT label, floor(round(p * 100, 9)) AS r FROM ({_SCORES})) CROSS JOIN (SELECT unnest(range(5, 96)) AS t) GROUP BY t""",
     "score_metrics": f"""
-WITH c AS (
+WITH r AS (SELECT unnest([platform, NULL]) AS platform, label, p FROM ({_SCORES})),
+c AS (
   SELECT platform, count(*) FILTER (p >= 0.49 AND label = 1) AS tp, count(*) FILTER (p >= 0.49 AND label <> 1) AS fp, count(*) FILTER (p < 0.49 AND label = 1) AS fn,
-    count(*) FILTER (p < 0.49 AND label <> 1) AS tn, round(avg((p - label) * (p - label)), 6) AS brier FROM ({_SCORES}) GROUP BY platform)
-SELECT *, round((tp * 1.0 / nullif(tp + fn, 0) + tn * 1.0 / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy FROM c""",
+    count(*) FILTER (p < 0.49 AND label <> 1) AS tn, round(avg((p - label) * (p - label)), 6) AS brier FROM r GROUP BY platform),
+k AS (SELECT platform, label, rank() OVER w + (count(*) OVER (PARTITION BY platform, round(p, 6)) - 1) / 2.0 AS place FROM r WINDOW w AS (PARTITION BY platform ORDER BY round(p, 6))),
+a AS (
+  SELECT platform, round((sum(place) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+    / nullif(CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label <> 1), 0), 6) AS auc FROM k GROUP BY platform)
+SELECT c.*, round((tp * 1.0 / nullif(tp + fn, 0) + tn * 1.0 / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy, a.auc FROM c JOIN a ON a.platform IS NOT DISTINCT FROM c.platform""",
+    "built_variants": f"""
+SELECT 'taken' AS slug, 'kept' AS campaign, min(source) AS platform, '3' AS content FROM ({_LINKS})
+UNION ALL SELECT DISTINCT variant, campaign_slug, source, content FROM ({_OWNED}) WHERE variant = owner""",
+    "normalized_links": f"""
+SELECT e.event_id, CASE WHEN e.event_id % 2 = 0 THEN 'old' ELSE v.channel END AS channel, CASE WHEN e.event_id % 2 = 1 THEN v.campaign_slug END AS campaign, CASE WHEN e.event_id % 2 = 1 THEN v.variant END AS variant
+FROM ({_UTM_EVENTS}) e LEFT JOIN (SELECT DISTINCT source, content, channel, campaign_slug, variant FROM ({_OWNED}) WHERE variant = owner) v ON v.source = e.utm_source AND v.content = e.utm_content""",
+    "pending_actions": "SELECT order_id AS action_id, CASE order_id % 5 WHEN 0 THEN 'proposed' ELSE 'queued' END AS status, placed_at AS proposed_at FROM f_orders WHERE order_id % 5 < 2",
+    "action_outcomes": "SELECT CASE order_id % 5 WHEN 2 THEN 'approved' WHEN 3 THEN 'rejected' ELSE 'expired' END AS status, count(*) AS n FROM f_orders WHERE order_id % 5 > 1 GROUP BY 1",
+    "open_alerts": "SELECT review_id, CASE WHEN rating IS NULL THEN 'info' WHEN rating < 3 THEN 'critical' ELSE 'warn' END AS severity, posted_at AS detected_at FROM f_review WHERE replied_at IS NULL",
+    "alerts_open_twice": "SELECT source AS agent, CAST(rating AS VARCHAR) AS alert_key, count(*) AS n FROM f_review WHERE replied_at IS NULL AND source IS NOT NULL AND rating IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+    "source_orders": "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders ORDER BY o_orderdate, o_orderkey",
+    "source_events": "SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id",
+    "scrubbed_events": rf"""
+SELECT event_id, {_HASHED} AS visitor, CAST(CASE WHEN event_id % 4 = 0 THEN 6 ELSE 7 END AS BIGINT) AS n_kept,
+  'https://shop.example' || regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS current_url,
+  {_HASHED} AS user_hash, substr(repeat(url, 60), 1, 500) AS title, CASE WHEN event_id % 4 <> 0 THEN 'linux' END AS os
+FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^utm_(source|medium|campaign|content|term)=')) AS kept FROM f_event)""",
+    "unreviewed_properties": "SELECT 'new_' || CAST(event_id % 3 AS VARCHAR) AS name, count(*) AS n FROM f_event GROUP BY 1 UNION ALL SELECT '$os (not a plain value)', count(*) FROM f_event WHERE event_id % 4 = 0",
+    "event_leaks": " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (regexp_matches(payload, '{p}')) AS n FROM ({_PLANTED})" for k, p in _LEAK.items()),
+    "event_fields": "SELECT event_id, '/' || event_type AS pathname, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS session_id, '' AS os FROM events",
 }

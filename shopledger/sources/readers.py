@@ -18,6 +18,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, columns: list[str], key
     return reader.load().select(*columns)
 
 
+def read_orders(spark: SparkSession, path: str, columns: list[str], order: list[str]) -> DataFrame:
+    """Named columns of the source's orders or events in the order they came: by time, then id."""
+    return read_rows(spark, path, columns).orderBy(*order)
+
+
 def read_payloads(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Landed rows (key, payload as JSON text) with the payload parsed by a declared schema."""
     return spark.read.parquet(path).withColumn("data", F.from_json("payload", schema))

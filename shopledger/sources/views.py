@@ -34,7 +34,7 @@ VIEWS = {
           CAST(CASE WHEN (item_id + ingredient_id) % 2 = 0 THEN 1.0 ELSE 0.5 END AS DECIMAL(6,4)) AS yield_factor,
           CASE v WHEN 1 THEN TIMESTAMP '1990-01-01 00:00:00' ELSE TIMESTAMP '1998-01-01 00:00:00' END AS active_from,
           CASE v WHEN 1 THEN TIMESTAMP '1998-01-01 00:00:00' END AS active_to
-        FROM (SELECT DISTINCT l_partkey AS item_id, l_suppkey AS ingredient_id FROM {lineitem} WHERE l_suppkey % 10 = 0) p
+        FROM (SELECT DISTINCT l_partkey AS item_id, l_suppkey AS ingredient_id FROM {lineitem}) p
         CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) n""",
     "f_ingredient": """
         SELECT s_suppkey AS ingredient_id, lower(s_name) AS slug, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS supplier_id,

@@ -41,7 +41,7 @@ def test_pseudonyms_are_hmacs(spark):
     rows = catalogue.queries()["pseudonyms"](spark, FOLDER).collect()
     users = {r["event_id"]: r["user_id"] for r in spark.read.parquet(f"{FOLDER}/events.parquet").select("event_id", "user_id").collect()}
     for r in rows[:50]:
-        assert r["visitor"] == "p_" + hmac.new(catalogue.SALT, str(users[r["event_id"]]).encode(), hashlib.sha256).hexdigest()[:32]
+        assert r["visitor"] == "ph_" + hmac.new(catalogue.SALT, str(users[r["event_id"]]).encode(), hashlib.sha256).hexdigest()[:32]
 
 
 @pytest.mark.parametrize("name", ["true_margin", "unit_cogs_at", "web_acquisition_daily", "labelled_posts", "resolved_attribution"])

@@ -207,12 +207,28 @@ def test_rebuild_keeps_history_without_raw(spark):
 
 
 def test_scrub_keeps_nothing_unreviewed(spark):
-    props = {"$pathname": "/x", "email": "a@b.org", "$current_url": "https://u:p@s.de/x?token=5", "distinct_id": "me", "odd": "1", "locale": "{\"a\":1}"}
-    ev = spark.createDataFrame([("e" * 300, "me", props)], "event_name string, visitor string, properties map<string,string>")
-    r = privacy.scrub_events(ev, b"salt").first()
-    assert set(r["properties"]) == {"$pathname", "$current_url", "distinct_id"}
-    assert r["properties"]["$current_url"] == "https://s.de/x" and r["properties"]["distinct_id"].startswith("p_") and len(r["event_name"]) == 200
-    assert {x["name"] for x in privacy.unreviewed_properties(ev).collect()} == {"odd"}
+    props = {
+        "$pathname": "/x", "email": "a@b.org", "$current_url": "https://u:p@s.de/x?token=5&UTM_Source=a&utm_x=1#t", "distinct_id": "me", "$user_id": "me", "$anon_distinct_id": "", "odd": "1", "date": '{"a":1}', "title": "t" * 600,
+        "$device_id": "d", "$session_entry_fbclid": "c", "$web_vitals_LCP_event": "{}", "$sdk_debug_x": "1", "$heatmaps_enabled_server_side": "true", "$web_vitals_LCP_value": "3", "$geoip_country_name": "Germany",
+    }
+    ev = spark.createDataFrame([("e" * 300, "me", props), ("e", "", None)], "event_name string, visitor string, properties map<string,string>")
+    r, none = privacy.scrub_events(ev, b"salt").orderBy(F.length("event_name").desc()).collect()
+    assert set(r["properties"]) == {"$pathname", "$current_url", "$user_id", "title", "$web_vitals_LCP_value", "$geoip_country_name"}
+    assert r["properties"]["$current_url"] == "https://s.de/x?UTM_Source=a" and r["properties"]["$user_id"] == r["visitor"] and r["visitor"].startswith("ph_")
+    assert len(r["event_name"]) == 200 and len(r["properties"]["title"]) == 500 and none["visitor"] is None and none["properties"] is None
+    assert {x["name"] for x in privacy.unreviewed_properties(ev).collect()} == {"email", "odd", "date (not a plain value)"}
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("customer_id", "x cus_Ab"), ("customer_id", "CUST_9"), ("url_token", "https://s/x?token=1"), ("url_token", "#access_token=1"), ("url_order", "?a=1&order=2"), ("click_id", "?FBCLID=2"), ("email", "a.b@c.org"),
+        ("analytics_key", "phc_0123456789abcdef"), (None, "https://s/x?utm_source=a order=1 customs 1.2.3.4"),
+    ],
+)
+def test_six_kinds_of_leak(spark, kind, text):
+    found = {r["kind"] for r in privacy.leak_report(spark.createDataFrame([(text,)], "payload string"), "payload").filter("n > 0").collect()}
+    assert found == ({kind} if kind else set())
 
 
 def test_tripwire_names_kinds_only(spark):
@@ -307,19 +323,38 @@ def test_events(spark):
 def test_links_twice(spark):
     from shopledger.operators import attribution
 
-    rows = [(1, "ig", "bio", "spring", T, "https://www.instagram.com/p/9/?x=1"), (2, "ig", "bio", "spring", datetime(2026, 9, 2), None), (3, "fb", "ad", "autumn", T, "http://nowhere.example/p/9")]
-    links = spark.createDataFrame(rows, "link_id long, source string, content string, campaign string, created_at timestamp, post_url string")
+    day = lambda d: datetime(2026, 9, d)
+    rows = [
+        (1, "ig", "bio", "bio", "spring", day(1), "https://www.instagram.com/p/9/?x=1"), (2, "ig", "bio", "bio", "spring", day(2), None), (3, "fb", "message", "ad", "autumn", day(1), "http://nowhere.example/p/9"),
+        (4, "ig", "bio", "bio", "winter", day(3), None), (5, "ig", "bio", "old", "spring", day(3), None),
+    ]
+    links = spark.createDataFrame(rows, "link_id long, source string, medium string, content string, campaign string, created_at timestamp, post_url string")
     posts = spark.createDataFrame([(7, "https://instagram.com/p/9")], "post_id long, permalink string")
-    channels = spark.createDataFrame([("ig", "Seeded")], "slug string, name string")
-    campaigns = spark.createDataFrame([], "slug string, started_at timestamp")
-    variants = spark.createDataFrame([], "source string, content string, channel string, campaign string, variant string")
-    once = attribution.normalize_links(links, posts, channels, campaigns, variants)
-    again = attribution.normalize_links(links, posts, once["channels"], once["campaigns"], once["variants"])
+    channels = spark.createDataFrame([("a-late", "Late", "x", "ig", day(2)), ("seed", "Seeded", "x", "ig", day(1))], "slug string, name string, kind string, platform string, created_at timestamp")
+    campaigns = spark.createDataFrame([], "slug string, name string, started_at timestamp")
+    variants = spark.createDataFrame([("v-old", "c", "ig", "old")], "slug string, campaign string, platform string, content string")
+    events = spark.createDataFrame([(1, "ig", "bio", None, None, None), (2, "ig", "bio", "kept", None, None), (3, "ig", "old", None, None, None)], "event_id int, utm_source string, utm_content string, channel string, campaign string, variant string")
+    once = attribution.normalize_links(links, posts, channels, campaigns, variants, events)
+    again = attribution.normalize_links(links, posts, once["channels"], once["campaigns"], once["variants"], once["events"])
     for name in once:
         assert sorted(map(str, once[name].collect())) == sorted(map(str, again[name].collect()))
     got = {r["link_id"]: r for r in once["links"].collect()}
-    assert [(got[k]["variant"], got[k]["clash"], got[k]["post_id"]) for k in (1, 2, 3)] == [("link_1", False, 7), (None, True, None), ("link_3", False, None)]
-    assert {r["slug"]: r["name"] for r in once["channels"].collect()} == {"ig": "Seeded", "fb": "Fb"}
+    assert [(got[k]["variant"], got[k]["clash"], got[k]["post_id"]) for k in (1, 2, 3, 4, 5)] == [("seed-spring-bio", False, 7), ("seed-spring-bio", False, None), ("fb-autumn-ad", False, None), (None, True, None), (None, True, None)]
+    made = {r["slug"]: r for r in once["channels"].collect()}
+    assert set(made) == {"a-late", "seed", "fb"} and (made["fb"]["name"], made["fb"]["kind"], made["fb"]["platform"]) == ("Fb", "owned", "fb")
+    assert {r["slug"]: (r["name"], r["started_at"]) for r in once["campaigns"].collect()} == {"seed-spring": ("Seeded - spring", day(1)), "fb-autumn": ("Fb - autumn", day(1)), "seed-winter": ("Seeded - winter", day(3))}
+    assert {r["slug"] for r in once["variants"].collect()} == {"v-old", "seed-spring-bio", "fb-autumn-ad"}
+    assert [(r["channel"], r["variant"]) for r in once["events"].orderBy("event_id").collect()] == [("seed", "seed-spring-bio"), ("kept", None), (None, None)]
+
+
+def test_jobs_are_proved_idempotent(spark):
+    raw = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    assert quality.prove_idempotent(lambda: {"typed": raw.distinct()}, raw, "id", "typed") == {"typed": 2}
+    with pytest.raises(quality.NotIdempotent):
+        quality.prove_idempotent(lambda: {"typed": raw}, raw, "id", "typed")
+    runs = []
+    with pytest.raises(quality.NotIdempotent):
+        quality.prove_idempotent(lambda: runs.append(1) or {"typed": raw.limit(len(runs))})
 
 
 # sources and sinks
@@ -413,6 +448,36 @@ def test_model_path(spark):
         assert learning.oof_predict(pipeline, df, 1).count() == 40
 
 
+def test_search_report_and_refit(spark, tmp_path):
+    rows = [(i, f"p{i % 2}", datetime(2026, 1, 1 + i // 24, i % 24), "video" if i % 3 else None, "#a " * (i % 4), i % 2 if i % 7 else 1 - i % 2) for i in range(120)]
+    posts = spark.createDataFrame(rows, "post_id long, platform string, posted_at timestamp, content_type string, caption string, label int")
+    df = social.expanding_folds(social.build_features(posts), 2).cache()
+    tried = learning.candidates("logistic", 2, 100)
+    assert [own for own, _ in tried] == [own for own, _ in learning.candidates("logistic", 2, 100)] and all(0.001 <= own["c"] <= 100 for own, _ in tried)
+    assert set(learning.candidates("forest", 1, 9)[0][0]) == {"trees", "depth"} and set(learning.candidates("boosted", 1, 9)[0][0]) == {"rounds", "rate"}
+    own, pipeline, best = learning.search(tried, df, 2)
+    assert own in [o for o, _ in tried] and best > 0.7
+    got = learning.report(pipeline, df.filter("post_id < 96"), df.filter("post_id >= 96"), 0.5, 2)
+    assert got["passes"] == (got["test"] >= 0.6) and {r["platform"] for r in got["metrics"].collect()} == {"p0", "p1", None}
+    learning.refit(pipeline, df, str(tmp_path), 0.4)
+    from pyspark.ml import PipelineModel
+
+    again = learning.with_probability(PipelineModel.load(f"{tmp_path}/model"), df)
+    assert again.count() == 120 and spark.read.json(f"{tmp_path}/threshold").first()["threshold"] == 0.4
+
+
+def test_missing_categories_take_the_mode_of_training(spark):
+    train = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "platform string")
+    got = learning.with_modes(spark.createDataFrame([(None,), ("z",)], "platform string"), train, ["platform"])
+    assert [r["platform"] for r in got.collect()] == ["b", "z"]
+
+
+def test_area_under_the_curve(spark):
+    rows = [("g", 1, 0.9), ("g", 0, 0.9), ("g", 1, 0.2), ("g", 0, 0.1), ("one", 1, 0.5)]
+    got = {r["g"]: r["auc"] for r in learning.ranked_auc(spark.createDataFrame(rows, "g string, label int, p double"), "g").collect()}
+    assert got == {"g": 0.625, "one": None}
+
+
 def test_entry(spark):
     import __spark_entry__
 
