@@ -405,6 +405,40 @@ def test_sharding(spark):
     assert sharding.shard_documents(table(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_placement_equals_brute_force():
+    r = np.random.default_rng(3)
+    units = r.random((200, 3)) ** 4
+    units /= units.sum(axis=0)
+    got = sharding.place(units, np.full((5, 3), 0.2))
+    free = [[0.2] * 3 for _ in range(5)]
+    want = {}
+    for i in sorted(range(200), key=lambda i: -max(units[i])):
+        fits = [s for s in range(5) if all(free[s][d] >= units[i][d] - 1e-12 for d in range(3))]
+        if fits:
+            best = max(fits, key=lambda s: sum(free[s][d] * units[i][d] for d in range(3)))
+        else:
+            best = max(range(5), key=lambda s: min(free[s][d] - units[i][d] for d in range(3)))
+        want[i] = best
+        free[best] = [free[best][d] - units[i][d] for d in range(3)]
+    assert got.tolist() == [want[i] for i in range(200)]
+
+
+def test_groups_stay_whole_and_loads_are_near(spark):
+    r = random.Random(8)
+    base = [prose(k, r.choice([3, 10, 40, 200, 800])) for k in range(700)]
+    texts = base + [t for t in base[:80] for _ in range(r.randint(1, 4))] + ["hot text here"] * 900
+    rows = sharding.shard_documents(table(spark, texts)).collect()
+    shards, loads = collections.defaultdict(set), collections.defaultdict(lambda: np.zeros(2))
+    for x in rows:
+        t = texts[x["doc_id"]]
+        shards[t].add(x["shard"])
+        loads[x["shard"]] += [x["size"], len(re.findall(r"[^\W\d_]+|\d+|[^\w\s]+", t))]
+    assert len(rows) == len(texts) and len(loads) == 8
+    assert all(len(s) == 1 for t, s in shards.items() if t != "hot text here") and len(shards["hot text here"]) > 1
+    every = np.array(list(loads.values()))
+    assert (every.max(axis=0) < 1.05 * every.min(axis=0)).all()
+
+
 # URL filters
 
 
