@@ -3,11 +3,15 @@
 Of every ``WINDOW`` neighbouring k-gram hashes the least is kept, in documents and items alike. A span
 of k + WINDOW - 1 words that both hold has the same least hash in both, so any shared span of that
 length joins; k and WINDOW are set so that it is the contract's ten words. Hits are then
-extended: in the documents that joined, every run of ten words is compared with the items'.
+extended: in the documents that joined, every run of ten words is compared with the items'. An item of
+fewer words is a single window; documents are searched for the hashes of these in the same pass,
+without a row for each run.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,10 @@ WINDOW = SPAN - K + 1
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fingerprints up to this many are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Short windows of one length that are looked up in place; of more, every run is joined.
+IN_PLACE = 5_000
+#: Stands for a short window among the fingerprints; whoever has it by chance is only looked at closer.
+SHORT = 0
 
 
 def words(text: Column) -> Column:
@@ -47,6 +55,14 @@ def winnowed(w: Column) -> Column:
     return F.array_distinct(_let(_let(F.transform(w, lambda x: F.xxhash64(x)), grams), least))
 
 
+def _holds(w: Column, hashes: dict[int, list[int]]) -> Column:
+    """Whether any run of a span's length has one of the span's hashes."""
+    def any_of(h: Column) -> Column:
+        return reduce(Column.__or__, [F.exists(_starts(F.size(h), span), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(span)]).isin(found)) for span, found in hashes.items()])  # noqa: B023
+
+    return _let(F.transform(w, lambda x: F.xxhash64(x)), any_of)
+
+
 def _runs(w: Column, span: int) -> Column:
     def of(v: Column) -> Column:
         return F.transform(_starts(F.size(v), span), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(v, i + 1, span), " ").alias("run")))
@@ -65,7 +81,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFram
     ``keep`` names columns of ``docs`` that come along. A null or wordless text hits nothing, and an
     item without words has no window; the digest of no items is that of the empty string. Equal
     windows of several items count for each, repeated items once; repeated documents give repeated
-    rows; empty tables give none or no hits.
+    rows; a null doc_id is a row like any other; texts of any length are read whole; columns beside
+    doc_id, text and those to keep are left out, whatever their names; empty tables give none or no hits.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -77,15 +94,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFram
 
     texts = docs.select("text").filter(F.col("text").isNotNull())
     keyed = texts.select(F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), words(F.col("text")).alias("w"))
+    short, crowded = {}, []
+    for span in (x for x in spans if x < SPAN):
+        own_hash = F.xxhash64(*[F.xxhash64(F.split("run", " ")[j]) for j in range(span)])
+        found = windows.filter(F.col("span") == span).select(own_hash.alias("h")).distinct().limit(IN_PLACE + 1).collect()
+        if len(found) <= IN_PLACE:
+            short[span] = [r["h"] for r in found]
+        else:
+            crowded.append(span)
     candidates = None
-    if spans and spans[-1] == SPAN:
-        long = keyed.filter(F.size("w") >= SPAN).select("t1", "t2", F.explode(winnowed(F.col("w"))).alias("print"))
-        candidates = long.join(_bounded(prints), "print", "left_semi").select("t1", "t2")
-    for span in spans:
-        if span < SPAN:  # items under ten words are single windows, found by their only hash
-            runs = keyed.select("t1", "t2", F.explode(_runs(F.col("w"), span)).alias("r")).select("t1", "t2", F.col("r.run").alias("run"))
-            some = runs.join(_bounded(windows.filter(F.col("span") == span).select("run").distinct()), "run", "left_semi").select("t1", "t2")
-            candidates = some if candidates is None else candidates.unionByName(some)
+    if short or spans and spans[-1] == SPAN:
+        kept = winnowed(F.col("w"))
+        if short:
+            kept = F.concat(kept, F.when(_holds(F.col("w"), short), F.array(F.lit(SHORT).cast("long"))).otherwise(F.array().cast("array<long>")))
+            prints = prints.unionByName(spark.range(1).select(F.lit(SHORT).cast("long").alias("print")))
+        candidates = keyed.select("t1", "t2", F.explode(kept).alias("print")).join(_bounded(prints), "print", "left_semi").select("t1", "t2")
+    for span in crowded:
+        runs = keyed.select("t1", "t2", F.explode(_runs(F.col("w"), span)).alias("r")).select("t1", "t2", F.col("r.run").alias("run"))
+        some = runs.join(_bounded(windows.filter(F.col("span") == span).select("run").distinct()), "run", "left_semi").select("t1", "t2")
+        candidates = some if candidates is None else candidates.unionByName(some)
     own = ("_t1", "_t2")
     base = docs.select("doc_id", *keep, F.xxhash64("text").alias(own[0]), F.hash("text").alias(own[1]), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     empty = F.sha2(F.lit(""), 256)

@@ -366,7 +366,9 @@ def _decontaminate(docs, items):
     return out
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("in_place", [5_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, in_place):
+    monkeypatch.setattr(decontamination, "IN_PLACE", in_place)
     items = [(k, prose(k, 14 + k, 50)) for k in range(12)] + [(20, "only five words are here"), (21, "Éa"), (22, None), (23, "..."), (3, prose(3, 17, 50)), (25, prose(5, 19, 50))]
     texts = list(ODD)
     for k in range(12):
