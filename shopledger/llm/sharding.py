@@ -69,7 +69,7 @@ def _classed(groups: DataFrame, totals: np.ndarray, residual: np.ndarray, shards
     of_group = spark.createDataFrame([(r["group"], int(s)) for r, s in zip(rows, where, strict=False)], "group string, shard int")
     of_batch = spark.createDataFrame([(c, b, each, int(s)) for (c, b, each), s in zip(owners, where[len(rows) :], strict=True)], "class string, batch long, each long, shard int")
     large = groups.join(F.broadcast(of_batch.select("class", "each").distinct()), "class")
-    ranked = numbered_within(materialise(large), "class", ["group"], "rank").withColumn("batch", F.floor(F.col("rank") / F.col("each")))
+    ranked = numbered_within(materialise(large), "class", ["group"], "rank", 5_000).withColumn("batch", F.floor(F.col("rank") / F.col("each")))
     by_batch = ranked.join(F.broadcast(of_batch.drop("each")), ["class", "batch"])
     return singles.join(F.broadcast(of_group), "group").select("group", *LOAD, "shard").unionByName(by_batch.select("group", *LOAD, "shard"))
 
