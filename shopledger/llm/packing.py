@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions_for, whole_partition
-from .tokens import encoder, release
+from .tokens import TEXTS_AT_ONCE, encoder, release
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 SWEPT = "kind int, uid long, bin long, gap long, length long, part int, rank long"
@@ -36,8 +36,8 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, end_id: int)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
                 ids, counts = encoder(vocabulary).encode(some.column(1), end_id)
                 data = memoryview(ids.astype("<u4").tobytes())
                 n_pieces = -(-counts // capacity)
@@ -56,7 +56,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, end_id: int)
                     names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
                 uid += len(row)
-        release()
+                release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

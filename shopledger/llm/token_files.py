@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scratch_dir
 from .simple8b import HEADER_BYTES, TokenFile
-from .tokens import encoder, release
+from .tokens import TEXTS_AT_ONCE, encoder, release
 
 MANIFEST = "path string, part int, number int, n_docs long, n_ids long"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -54,17 +54,18 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             )
 
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
                 tokens, lengths = encoder(vocabulary).encode(some.column(1), end_id)
                 doc = some.column(0)
                 known = doc.is_valid().to_numpy(zero_copy_only=False)
                 held.append((doc.fill_null(0).to_numpy(zero_copy_only=False), known, lengths, tokens))
                 if sum(len(h[3]) for h in held) >= file_ids:
                     yield flush()
+                release()
         if held:
             yield flush()
-        release()
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
