@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,12 +24,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a temporary folder of this machine is set once.
+    Where that is unset, as in tests, a temporary folder of this machine is set once; on a cluster,
+    whose machines do not share it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = tempfile.mkdtemp(prefix="shopledger-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
