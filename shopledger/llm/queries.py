@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality_rules, url_filters
+from . import decontamination, quality_rules, resampling, url_filters
 from .common import documents, table
 from .language_id import identify
 from .packing import pack_documents
+from .periodic_runs import run_digests
 from .pii import replace_pii, surrogate_key
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
@@ -59,6 +60,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(documents(spark, sf_dir))
+
+
 OPERATORS = (
     op1_best_fit_packing,
     op2_pii_surrogates,
@@ -70,6 +79,8 @@ OPERATORS = (
     op8_hyperdimensional_language,
     op9_quality_rules,
     op10_quality_classifier,
+    op11_importance_resampling,
+    op13_periodic_runs,
 )
 
 
@@ -82,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_winnowing_decontamination": decontamination.ORACLE_SQL,
         "op7_url_automaton": url_filters.oracle_sql(),
         "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_importance_resampling": resampling.ORACLE_SQL,
     }
