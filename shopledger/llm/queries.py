@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, quality_rules, resampling, url_filters
 from .common import documents, table
+from .context_mixing import language_scores
 from .language_id import identify
 from .packing import pack_documents
 from .periodic_runs import run_digests
@@ -64,6 +65,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(documents(spark, sf_dir))
 
@@ -80,6 +85,7 @@ OPERATORS = (
     op9_quality_rules,
     op10_quality_classifier,
     op11_importance_resampling,
+    op12_context_mixing,
     op13_periodic_runs,
 )
 
