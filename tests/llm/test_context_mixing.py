@@ -166,7 +166,7 @@ def test_first_bytes_are_a_distribution(spark):
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = cm.language_scores(docs).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n"), F.avg(F.expr("score > base_score").cast("double")).alias("better")).first()
     assert r["score"] > r["base"] + 0.1 * r["n"] and r["better"] > 0.5
 
