@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import importable, materialise, partitions_for, runs_to_index
 
-CONTEXTS, SLOT_BITS = 8, 23
+CONTEXTS, SLOT_BITS = 6, 23
 #: The context, of those, whose count tells how often the word's beginning was seen in texts of the kind.
 SURE = 4
 #: Of so many frequent words those in the most documents are grouped by the documents they share.
-FREQUENT_WORDS, ANCHORS, KINDS = 400, 160, 12
+FREQUENT_WORDS, ANCHORS, KINDS = 400, 160, 6
+#: Axes of the correlations, and the length on them from which a word speaks for a kind.
+DIMENSIONS, CLEAR = 4, 0.3
 PLACES, SEEN, STEPS = 7, 8, 33
 GATES = PLACES * SEEN
 BLOCK_BITS = 13
@@ -45,7 +48,7 @@ WORKER_UNITS = 500_000
 #: Words of over 1 / ``FREQUENT`` of all training tokens, fewer than that many, are looked up in place.
 FREQUENT = 400_000
 #: Distinct words that a task holds at a time.
-HELD_WORDS = 300_000
+HELD_WORDS = 450_000
 RATE, FIRST_WEIGHT = 0.1, 0.3
 OWN_SHARE, OWN_WEIGHT, BLOCK = 0.1, 20.0, 32
 END, SPACE = 0x0A, 0x20
@@ -101,13 +104,15 @@ def _decide(code: Code, contexts: list[np.ndarray], symbols: np.ndarray, unit: n
     n = code.length[symbols]
     of = np.repeat(np.arange(len(symbols)), n)
     flat = runs_to_index(code.first[symbols], n)
+    node = code.node[flat]
+    part, low = (node >> _U(4)) * _U(0xD6E8FEB86659FD93), node & _U(15)
     slots = []
     with np.errstate(over="ignore"):
-        node = (code.node[flat] + _U(1)) * _U(0xD6E8FEB86659FD93)
-        for k, c in enumerate(contexts):
+        for k, c in enumerate(contexts):  # a context's nodes lie side by side, sixteen at a time
             mixed = (c + _U(k + 1)) * _U(_BASE)
-            mixed ^= mixed >> _U(29)
-            slots.append((((mixed[of] ^ node) * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - code.slot_bits)).astype(np.int64))
+            mixed = (mixed ^ mixed >> _U(29))[of]
+            place_ = ((mixed ^ part) * _U(0xC2B2AE3D27D4EB4F)) >> _U(68 - code.slot_bits)
+            slots.append((place_ << _U(4) | (low ^ mixed & _U(15))).astype(np.int64))
     return Decisions(unit[of], code.bit[flat], slots, place[of])
 
 
@@ -128,7 +133,7 @@ def word_decisions(words: list[bytes], kinds: np.ndarray, code: Code) -> Decisio
         before = [np.where(place >= d, raw[np.maximum(at - d, 0)], 0).astype(np.uint64) << _U(8 * (d - 1)) for d in range(1, 5)]
         two = before[0] | before[1]
         three = two | before[2]
-        contexts = [before[0] | kind, two | kind, three, three | before[3], whole + kind, whole, three | kind, np.minimum(place, 15).astype(np.uint64) | kind]
+        contexts = [before[0] | kind, two | kind, three | kind, three | before[3], whole + kind, whole]
     return _decide(code, contexts, raw[at], unit, np.minimum(place, PLACES - 1))
 
 
@@ -136,7 +141,7 @@ def first_decisions(keys: np.ndarray, code: Code) -> Decisions:
     """The first byte of a word, or the end: the key's lowest byte, after the last two of the word before, in a kind of text."""
     kind, other, last = keys >> 24, (keys >> 16) & 0xFF, (keys >> 8) & 0xFF
     pair, kind = (keys >> 8) & 0xFFFF, (kind + 1) << 48
-    contexts = [last | kind, last, np.zeros_like(keys), pair, pair | kind, kind, other | kind, pair & 0xE0E0 | kind]
+    contexts = [last | kind, last, pair, kind, pair | kind, other | kind]
     contexts = [(c | 1 << 40).astype(np.uint64) for c in contexts]  # apart from those within words
     return _decide(code, contexts, keys & 0xFF, np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64))
 
@@ -145,30 +150,66 @@ def tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarr
     """(all words, words a text, key of each token's first byte, whether it is a word) of the texts; ends are tokens."""
     split = [(t or b"").lower().split() for t in texts]
     n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    raw = np.frombuffer(b"".join(b" ".join([*ws, b"\n"]) for ws in split), dtype=np.uint8).astype(np.int64)
+    raw = np.frombuffer(b"".join(b" ".join([*ws, b"\n"]) for ws in split), dtype=np.uint8)
     fresh = np.flatnonzero(np.concatenate([[True], (raw[:-1] == SPACE) | (raw[:-1] == END)])) if len(raw) else np.zeros(0, np.int64)
-    padded = np.concatenate([[END, END, END], raw])  # padded[p] is raw[p - 3]
+    padded = np.concatenate([np.full(3, END, dtype=np.uint8), raw])  # padded[p] is raw[p - 3]
     inside = padded[fresh + 2] == SPACE  # a word of the same text stands before
-    last = np.where(inside, padded[fresh + 1], 0)
-    other = np.where(inside, padded[fresh], 0)
+    last = np.where(inside, padded[fresh + 1], 0).astype(np.int64)
+    other = np.where(inside, padded[fresh], 0).astype(np.int64)
     other[(other == SPACE) | (other == END)] = 0
-    return [w for ws in split for w in ws], n, other << 16 | last << 8 | raw[fresh], raw[fresh] != END
+    first = raw[fresh].astype(np.int64)
+    return [w for ws in split for w in ws], n, other << 16 | last << 8 | first, first != END
 
 
-def kinds_before(words: list[bytes], n: np.ndarray, groups: dict[bytes, int]) -> np.ndarray:
-    """For each token, ends included, the group of frequent words met most before it in its text; 0 if none was."""
-    at = np.zeros(len(words) + len(n), dtype=np.int64)
+def kinds_before(group: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each token, ends included, the group of frequent words met most before it in its text; 0 if none was.
+
+    ``group`` has the group of each word, 0 for most words.
+    """
+    at = np.zeros(len(group) + len(n), dtype=np.int8)
     is_word = np.ones(len(at), dtype=bool)
     is_word[np.cumsum(n + 1) - 1] = False
-    at[is_word] = np.fromiter((groups.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-    starts = np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
-    best, most = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    at[is_word] = group
+    starts = np.cumsum(n + 1) - n - 1
+    best, most = np.zeros(len(at), dtype=np.int8), np.zeros(len(at), dtype=np.int32)
     for g in range(1, KINDS + 1):
-        so_far = np.concatenate([[0], np.cumsum(at == g)])
-        met = so_far[:-1] - so_far[starts]
-        best = np.where(met > most, g, best)
-        most = np.maximum(met, most)
-    return best
+        so_far = np.cumsum(at == g, dtype=np.int32)
+        met = so_far - (at == g)
+        met -= np.repeat(met[starts], n + 1)
+        more = met > most
+        best[more] = g
+        np.maximum(met, most, out=most)
+    return best.astype(np.int64)
+
+
+class Numbered(dict):
+    """Words with numbers from 0, given as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+class Vocabulary:
+    """The words that a task has met, with the group of each; emptied when there are many."""
+
+    def __init__(self, groups: dict[bytes, int]):
+        self.groups = groups
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.group = Numbered(), np.zeros(0, dtype=np.int8)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers of the words, and the words that are new."""
+        before = len(self.known)
+        ids = self.known.of(words)
+        fresh = list(islice(self.known, before, None))
+        self.group = np.concatenate([self.group, np.fromiter(map(self.groups.get, fresh, repeat(0)), dtype=np.int8, count=len(fresh))])
+        return ids, fresh
 
 
 _UNITS = "kind int, unit binary, n long"
@@ -181,60 +222,84 @@ def _units(words: dict, firsts: dict, ends: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(units, pa.binary()), pa.array([*words.values(), *firsts.values(), ends], pa.int64())], names=["kind", "unit", "n"])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words and ends of a task's texts, counted, ``HELD_WORDS`` or so at a time."""
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``FREQUENT_WORDS`` words that are met most in a task's texts, of each ``HELD_WORDS`` or so different ones."""
     words: Counter[bytes] = Counter()
-    ends = 0
+
+    def most() -> pa.RecordBatch:
+        found = words.most_common(FREQUENT_WORDS)
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
+
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             words.update((text or b"").lower().split())
-            ends += 1
         if len(words) > HELD_WORDS:
-            yield _units(words, {}, ends)
+            yield most()
             words.clear()
-            ends = 0
-    if ends:
-        yield _units(words, {}, ends)
+    yield most()
+
+
+def frequent_words(docs: DataFrame) -> list[bytes]:
+    """About the ``FREQUENT_WORDS`` most frequent words: the sums of what is most frequent in the parts of the corpus."""
+    found = docs.select("text").mapInArrow(_often, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()]
 
 
 def _count_units(groups: dict[bytes, int]):
     """Distinct words and first bytes of a task's texts by kind of text, counted, ``HELD_WORDS`` or so at a time."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[tuple[int, bytes]] = Counter()
+        met = Vocabulary(groups)
+        counts = np.zeros((0, KINDS + 1), dtype=np.int64)
         firsts: Counter[int] = Counter()
-        named = lambda: {bytes([g]) + w: c for (g, w), c in words.items()}
+        ends = 0
+
+        def named() -> dict[bytes, int]:
+            id_, kind = np.nonzero(counts)
+            words = list(met.known)
+            return {bytes([g]) + words[i]: n for i, g, n in zip(id_.tolist(), kind.tolist(), counts[id_, kind].tolist(), strict=True)}
+
         for batch in batches:
             flat, n, keys, is_word = tokens(batch.column(0).cast(pa.binary()).to_pylist())
-            kinds = kinds_before(flat, n, groups)
-            words.update(zip(kinds[is_word].tolist(), flat, strict=True))
+            ids, fresh = met.ids(flat)
+            kinds = kinds_before(met.group[ids], n)
+            counts = np.concatenate([counts, np.zeros((len(fresh), KINDS + 1), dtype=np.int64)])
+            np.add.at(counts.reshape(-1), ids * (KINDS + 1) + kinds[is_word], 1)
             firsts.update(dict(zip(*(x.tolist() for x in np.unique(kinds << 24 | keys, return_counts=True)), strict=True)))
-            if len(words) > HELD_WORDS:
-                yield _units(named(), firsts, 0)
-                words.clear()
+            ends += len(n)
+            if len(met.known) > HELD_WORDS:
+                yield _units(named(), firsts, ends)
+                met.clear()
                 firsts.clear()
-        if firsts:
-            yield _units(named(), firsts, 0)
+                counts, ends = counts[:0], 0
+        if ends:
+            yield _units(named(), firsts, ends)
 
     return of
 
 
-def _counted(docs: DataFrame, of) -> DataFrame:
-    return docs.select("text").mapInArrow(of, _UNITS).groupBy("kind", "unit").agg(F.sum("n").alias("n"))
+def unit_counts(docs: DataFrame, groups: dict[bytes, int]) -> DataFrame:
+    """(kind, unit, n) over all texts of ``docs``: words and first bytes, each after the kind of text before, and ends.
+
+    In no order, which online learning needs: by a hash within each partition.
+    """
+    counts = docs.select("text").mapInArrow(_count_units(groups), _UNITS).groupBy("kind", "unit").agg(F.sum("n").alias("n"))
+    return counts.sortWithinPartitions(F.xxhash64("unit", "kind"), "unit", "kind")
 
 
-def word_groups(docs: DataFrame, anchors: list[bytes], texts: int) -> dict[bytes, int]:
+def word_groups(docs: DataFrame, anchors: list[bytes]) -> dict[bytes, int]:
     """The group, from 1 to ``KINDS``, of the ``ANCHORS`` words in most documents, by how many documents two of them share.
 
-    By correlation over ``texts`` documents: a group's first word is frequent and seldom beside the
-    first words of the others; then each word goes to the group with which it has most in common, ten times.
+    The words' correlations over documents are reduced to their main axes, where the directions of words
+    are grouped around means; a word that the axes say little of is in no group.
     """
     at = {w: i for i, w in enumerate(anchors)}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = np.zeros((len(at), len(at)), dtype=np.int64)
+        shared = np.zeros((len(at) + 1, len(at) + 1), dtype=np.int64)  # the last stands for any text
         for batch in batches:
-            found = np.zeros((batch.num_rows, len(at)))
+            found = np.zeros((batch.num_rows, len(at) + 1))
+            found[:, -1] = 1
             for i, text in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
                 found[i, [at[w] for w in at.keys() & set((text or b"").lower().split())]] = 1
             shared += (found.T @ found).astype(np.int64)
@@ -243,22 +308,33 @@ def word_groups(docs: DataFrame, anchors: list[bytes], texts: int) -> dict[bytes
     if not anchors:
         return {}
     rows = docs.select("text").mapInArrow(of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # FREQUENT_WORDS squared
-    shared = np.zeros(len(at) ** 2)
+    shared = np.zeros((len(at) + 1) ** 2)
     shared[[r["pair"] for r in rows]] = [r["n"] for r in rows]
-    shared = shared.reshape(len(at), -1)
+    shared = shared.reshape(len(at) + 1, -1)
+    shared, texts = shared[:-1, :-1], shared[-1, -1]
     kept = np.sort(np.argsort(-np.diag(shared), kind="stable")[:ANCHORS])
     anchors, shared = [anchors[i] for i in kept], shared[np.ix_(kept, kept)]
     often = np.diag(shared)
     spread = np.sqrt(np.maximum(often * (texts - often), 1))
     alike = (shared * texts - np.outer(often, often)) / np.outer(spread, spread)
-    heads = [int(np.argmax(often))]
-    while len(heads) < min(KINDS, len(kept)):
-        heads.append(int(np.argmax(often * (1 - alike[:, heads].max(axis=1)) ** 2)))
-    group = np.argmax(alike[:, heads], axis=1)
-    for _ in range(10):
-        members = np.eye(len(heads))[group] * often[:, None]
-        group = np.argmax(alike @ (members / np.maximum(members.sum(axis=0), 1)), axis=1)
-    return dict(zip(anchors, (group + 1).tolist(), strict=True))
+    values, vectors = np.linalg.eigh(alike)
+    main = vectors[:, -DIMENSIONS:] * np.sqrt(np.maximum(values[-DIMENSIONS:], 0))
+    size = np.sqrt((main**2).sum(axis=1))
+    clear = size > CLEAR
+    main = main / np.maximum(size, 1e-9)[:, None]
+    if not clear.any():
+        return {}
+    heads = [int(np.argmax(np.where(clear, often, -1)))]
+    while len(heads) < min(KINDS, clear.sum()):
+        near = (main @ main[heads].T).max(axis=1)
+        heads.append(int(np.argmax(np.where(clear, np.sqrt(often) * (1 - near), -1))))
+    middles = main[heads]
+    for _ in range(20):
+        group = np.argmax(main @ middles.T, axis=1)
+        sums = (np.eye(len(heads))[group] * (often * clear)[:, None]).T @ main
+        length = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        middles = np.where(length > 0, sums / np.maximum(length, 1e-9), middles)
+    return {w: int(g) + 1 for w, g, ok in zip(anchors, group, clear, strict=True) if ok}
 
 
 class Words(NamedTuple):
@@ -336,15 +412,15 @@ def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _seen(total: np.ndarray) -> np.ndarray:
     """0 for nothing, 1 for one, 2 for two or three, 3 for four to seven, ..."""
-    return np.minimum(np.log2(total + 1.0) + 1e-6, SEEN - 1).astype(np.int64)
+    return np.minimum(np.log2(total + np.float32(1)) + np.float32(1e-6), SEEN - 1).astype(np.uint8)
 
 
 def _gate(place: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    return place * SEEN + seen
+    return place.astype(np.int32) * SEEN + seen
 
 
 def _step(logit: np.ndarray) -> np.ndarray:
-    return np.rint((np.clip(logit, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
+    return np.rint((np.clip(logit, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int32)
 
 
 def _learn(shared, code: Code):
@@ -386,7 +462,7 @@ def _learn(shared, code: Code):
 
 
 class Model(NamedTuple):
-    """What scoring needs of the corpus; of a fixed size."""
+    """What scoring needs of the corpus; of a fixed size. ``weights`` are by context and gate."""
 
     code: Code
     odds: np.ndarray
@@ -396,12 +472,12 @@ class Model(NamedTuple):
 
     def log_probabilities(self, d: Decisions, units: int) -> np.ndarray:
         """The natural log probability of each unit."""
-        gate = _gate(d.place, self.seen[d.slots[SURE]])
-        logit = np.zeros(len(gate))
+        gate = _gate(d.place, np.take(self.seen, d.slots[SURE]))
+        logit = np.zeros(len(gate), dtype=np.float32)
         for k in range(CONTEXTS):
-            logit += self.weights[gate, k] * self.odds[d.slots[k]]
+            logit += np.take(self.weights[k], gate) * np.take(self.odds, d.slots[k])
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        p = np.clip((p + self.refined[gate * STEPS + _step(logit)]) / 2, 1e-7, 1 - 1e-7)
+        p = np.clip((p + np.take(self.refined, gate * STEPS + _step(logit))) / 2, 1e-7, 1 - 1e-7)
         return np.bincount(d.unit, weights=np.log(np.where(d.bit, p, 1 - p)), minlength=units)
 
 
@@ -432,7 +508,7 @@ def train(units: DataFrame, workers: int, slot_bits: int = SLOT_BITS) -> Model:
         elif r["weight"]:
             weights.flat[r["at"]] = r["mean"] / r["weight"]
     refined = (ones + 4 * np.tile(middle, GATES)) / (all_ + 4)
-    return Model(code, _odds(table[::2], table[1::2]), _seen(table[::2] + table[1::2]).astype(np.uint8), weights, refined)
+    return Model(code, _odds(table[::2], table[1::2]), _seen(table[::2] + table[1::2]), np.ascontiguousarray(weights.T, dtype=np.float32), refined.astype(np.float32))
 
 
 def document_scores(lp: np.ndarray, earlier: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -465,25 +541,23 @@ def document_scores(lp: np.ndarray, earlier: np.ndarray, n: np.ndarray) -> np.nd
     return out
 
 
-class _Held:
-    """Words met by a task, numbered, with their counts and, by kind of text, log probabilities; emptied when there are many."""
+class _Held(Vocabulary):
+    """Words met, with their counts where they are frequent and, by kind of text, log probabilities."""
 
-    def __init__(self, model: Model, frequent: dict[bytes, int]):
+    def __init__(self, model: Model, frequent: dict[bytes, int], groups: dict[bytes, int]):
         self.model, self.frequent = model, frequent
         self.keys, self.firsts = np.zeros(0, dtype=np.int64), np.zeros(0)
-        self.clear()
+        super().__init__(groups)
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        super().clear()
         self.lp, self.count = np.zeros((0, KINDS + 1), dtype=np.float32), np.zeros(0, dtype=np.int64)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known, before = self.known, len(self.known)
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
-        fresh = list(known)[before:]
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        ids, fresh = super().ids(words)
         self.lp = np.concatenate([self.lp, np.full((len(fresh), KINDS + 1), np.nan, dtype=np.float32)])
-        self.count = np.concatenate([self.count, np.fromiter((self.frequent.get(w, -1) for w in fresh), dtype=np.int64, count=len(fresh))])
-        return ids
+        self.count = np.concatenate([self.count, np.fromiter(map(self.frequent.get, fresh, repeat(-1)), dtype=np.int64, count=len(fresh))])
+        return ids, fresh
 
     def rest(self, words: list[bytes], ids: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Log probabilities of all but the first bytes."""
@@ -506,7 +580,6 @@ class _Held:
 
 
 _ROWS = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:string,n:long>>"
-_RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
 
 def _score(model, frequent, groups: dict[bytes, int], ends: int, base_of):
@@ -515,12 +588,12 @@ def _score(model, frequent, groups: dict[bytes, int], ends: int, base_of):
     def one(batch: pa.RecordBatch, held: _Held) -> pa.RecordBatch:
         texts = batch.column(2).cast(pa.binary()).to_pylist()
         words, n, keys, is_word = tokens(texts)
-        kinds = kinds_before(words, n, groups)
-        ids = held.ids(words)
+        ids, _ = held.ids(words)
+        kinds = kinds_before(held.group[ids], n)
         lp = held.first(kinds << 24 | keys)
         lp[is_word] += held.rest(words, ids, kinds[is_word])
         text = np.repeat(np.arange(len(texts)), n)
-        order = np.lexsort((ids, text))  # stable: equal words of a text stay in their order
+        order = np.argsort(text * (len(held.known) + 1) + ids, kind="stable")  # equal words of a text stay in their order
         new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (text[order][1:] != text[order][:-1])]) if len(ids) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         sizes = np.diff(np.concatenate([head, [len(ids)]]))
@@ -534,16 +607,17 @@ def _score(model, frequent, groups: dict[bytes, int], ends: int, base_of):
         base = np.bincount(text[common], weights=base_of(count[common]), minlength=len(texts)) + base_of(ends)
         known = np.bincount(text[common], minlength=len(texts)) + (ends > 0)
         rare = head[held.count[ids[order[head]]] < 0]
-        lists: list[list] = [[] for _ in texts]
-        for t, i, size in zip(text[order[rare]].tolist(), order[rare].tolist(), sizes[np.searchsorted(head, rare)].tolist(), strict=True):
-            lists[t].append({"word": words[i].decode("utf-8", "replace"), "n": size})
+        at = order[rare]  # by text
+        offsets = np.searchsorted(text[at], np.arange(len(texts) + 1)).astype(np.int32)
+        listed = pa.StructArray.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()).cast(pa.string()), pa.array(sizes[np.searchsorted(head, rare)], pa.int64())], names=["word", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), listed)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(lists, _RARE)],
+            [batch.column(0), batch.column(1), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array([len(t or b"") for t in texts], pa.int64()), lists],
             names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rare"],
         )
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(model.value, dict(frequent.value))
+        held = _Held(model.value, dict(frequent.value), groups)
         for batch in batches:
             if batch.num_rows:
                 yield one(batch, held)
@@ -568,16 +642,16 @@ def language_scores(docs: DataFrame, folds: int = 5, held: int = 1, slot_bits: i
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     out_of = F.coalesce(fold == held, F.lit(False))
     learned = docs.filter(~out_of)
-    counted = materialise(_counted(learned, _count_words))
-    of = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # two rows
-    ends = of[ENDS]["n"] if ENDS in of else 0
-    total, distinct = ends + (of[WORD]["n"] if WORD in of else 0), (ends > 0) + (of[WORD]["v"] if WORD in of else 0)
+    groups = word_groups(learned, frequent_words(learned))
+    units = materialise(unit_counts(learned, groups))
+    words = units.filter(F.col("kind") == WORD).groupBy(F.expr("substring(unit, 2)").cast("string").alias("word")).agg(F.sum("n").alias("c"))
+    words = materialise(words)
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = units.filter(F.col("kind") == ENDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     smooth = total + 0.5 * (distinct + 1)
-    words = counted.filter(F.col("kind") == WORD).select(F.col("unit").cast("string").alias("word"), F.col("n").alias("c"))
     limit = max(1, total // FREQUENT)
     frequent = [(r["word"].encode(), r["c"]) for r in words.filter(F.col("c") > limit).collect()]  # at most FREQUENT
-    groups = word_groups(learned, [w for w, _ in sorted(frequent, key=lambda x: (-x[1], x[0]))[:FREQUENT_WORDS]], ends)
-    units = materialise(_counted(learned, _count_units(groups)))
     model = train(units, partitions_for(units.count(), WORKER_UNITS), slot_bits)
     shared = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(frequent)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")

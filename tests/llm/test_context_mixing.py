@@ -58,9 +58,8 @@ def test_base_columns_equal_brute_force(spark, monkeypatch, frequent):
 
 def _model(spark, texts):
     docs = table(spark, texts)
-    counted = cm._counted(docs, cm._count_words).filter(f"kind = {cm.WORD}").collect()
-    groups = cm.word_groups(docs, [bytes(r["unit"]) for r in counted], len(texts))
-    units = materialise(cm._counted(docs, cm._count_units(groups)))
+    groups = cm.word_groups(docs, cm.frequent_words(docs))
+    units = materialise(cm.unit_counts(docs, groups))
     return cm.train(units, 2, BITS), groups, units
 
 
@@ -87,10 +86,11 @@ def test_scores_equal_one_token_after_another(spark):
                 for k, c in enumerate(cs):
                     m = ((c + k + 1) * cm._BASE) % 2**64
                     m ^= m >> 29
-                    node = (int(model.code.node[j]) + 1) * 0xD6E8FEB86659FD93 % 2**64
-                    slots.append(((m ^ node) * 0xC2B2AE3D27D4EB4F % 2**64) >> (64 - BITS))
+                    node = int(model.code.node[j])
+                    place_ = (m ^ (node >> 4) * 0xD6E8FEB86659FD93 % 2**64) * 0xC2B2AE3D27D4EB4F % 2**64 >> (68 - BITS)
+                    slots.append(place_ << 4 | (node ^ m) & 15)
                 gate = p * cm.SEEN + int(model.seen[slots[cm.SURE]])
-                logit = sum(model.weights[gate, k] * float(model.odds[s]) for k, s in enumerate(slots))
+                logit = sum(model.weights[k, gate] * float(model.odds[s]) for k, s in enumerate(slots))
                 q = 1 / (1 + math.exp(-max(-30, min(30, logit))))
                 q = (q + model.refined[gate * cm.STEPS + round((max(-8, min(8, logit)) + 8) * 2)]) / 2
                 q = min(max(q, 1e-7), 1 - 1e-7)
@@ -106,7 +106,7 @@ def test_scores_equal_one_token_after_another(spark):
             symbol, kk = (word[0] if word else cm.END), (kind + 1) << 48
             last, other = (before[-1] if before else 0), (before[-2] if len(before) > 1 else 0)
             pair = other << 8 | last
-            first = [last | kk, last, 0, pair, pair | kk, kk, other | kk, pair & 0xE0E0 | kk]
+            first = [last | kk, last, pair, kk, pair | kk, other | kk]
             lp = bits([[c | 1 << 40 for c in first]], [symbol], [0])
             if word:
                 contexts, symbols, places = [], [], []
@@ -115,7 +115,7 @@ def test_scores_equal_one_token_after_another(spark):
                     at = lambda d: so_far[-d] << 8 * (d - 1) if len(so_far) >= d else 0  # noqa: B023, E731
                     two = at(1) | at(2)
                     whole = sum((c + 1) * pow(cm._BASE, j, 2**64) for j, c in enumerate(so_far)) % 2**64
-                    contexts.append([at(1) | kk, two | kk, two | at(3), two | at(3) | at(4), (whole + kk) % 2**64, whole, two | at(3) | kk, min(i, 15) | kk])
+                    contexts.append([at(1) | kk, two | kk, two | at(3) | kk, two | at(3) | at(4), (whole + kk) % 2**64, whole])
                     symbols.append(b)
                     places.append(min(i, cm.PLACES - 1))
                 lp += bits(contexts, symbols, places)
@@ -139,16 +139,15 @@ def test_words_are_counted_whole_however_often_a_task_empties_its_table(monkeypa
     monkeypatch.setattr(cm, "HELD_WORDS", 50)
     texts = [prose(i, 200, 60) for i in range(30)]
     groups = {b"w1": 1, b"w2": 2}
-    for of in (cm._count_words, cm._count_units(groups)):
-        counts = []
-        for size in (1, 30):
-            found = collections.Counter()
-            for i in range(0, 30, size):
-                for b in of(iter([pa.RecordBatch.from_pydict({"text": texts[i : i + size]})])):
-                    for k, u, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                        found[k, u] += n
-            counts.append(+found)
-        assert counts[0] == counts[1]
+    of, counts = cm._count_units(groups), []
+    for size in (1, 30):
+        found = collections.Counter()
+        for b in of(pa.RecordBatch.from_pydict({"text": texts[i : i + size]}) for i in range(0, 30, size)):
+            for k, u, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found[k, u] += n
+        counts.append(+found)
+    assert counts[0] == counts[1]
+    assert sum(n for (k, _), n in counts[0].items() if k == cm.WORD) == sum(len(t.split()) for t in texts) and counts[0][cm.ENDS, b"\n"] == 30
 
 
 def test_slots_hold_all_counts(spark):
