@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, in_previous_month, nullif_zero, since
@@ -40,18 +40,49 @@ def true_margin(orders: DataFrame, lines: DataFrame, as_of: datetime) -> DataFra
     )
 
 
-def unit_cogs_at(lines: DataFrame, recipe: DataFrame, ingredient: DataFrame) -> DataFrame:
-    """Each line (order_id, line_no, item_id, placed_at) with the cost of its recipe at that time; 0 without one.
+def cost_steps(recipe: DataFrame, ingredient: DataFrame) -> DataFrame:
+    """(item_id, steps): the times at which an item's cost changes, in order, each with the cost from then on.
 
-    The item is an equi key beside the validity range, so the join hashes or sorts by it.
+    A part of a recipe adds its cost at active_from and takes it away at active_to; an item has as many
+    steps as its recipe has such times.
     """
     parts = recipe.join(ingredient.select("ingredient_id", "current_price"), "ingredient_id")
     parts = parts.select("item_id", "active_from", "active_to", (F.col("qty") / F.col("yield_factor") * F.col("current_price")).alias("cost"))
-    valid = (F.col("l.placed_at") >= F.col("p.active_from")) & (F.col("p.active_to").isNull() | (F.col("l.placed_at") < F.col("p.active_to")))
-    moments = lines.select("item_id", "placed_at").distinct()
-    priced = moments.alias("l").join(parts.alias("p"), (F.col("l.item_id") == F.col("p.item_id")) & valid)
-    costs = priced.groupBy(F.col("l.item_id").alias("item_id"), F.col("l.placed_at").alias("placed_at")).agg(F.sum("cost").alias("unit_cogs"))
-    return lines.join(costs, ["item_id", "placed_at"], "left").withColumn("unit_cogs", F.coalesce(F.col("unit_cogs").cast("decimal(24,8)"), F.lit(0).cast("decimal(24,8)")))
+    change = F.array(F.struct(F.col("active_from").alias("at"), F.col("cost").alias("by")), F.struct(F.col("active_to").alias("at"), (-F.col("cost")).alias("by")))
+    changes = parts.filter(F.col("active_to").isNull() | (F.col("active_to") > F.col("active_from"))).select("item_id", F.explode(change).alias("c")).filter("c.at IS NOT NULL")
+    changes = changes.groupBy("item_id", F.col("c.at").alias("at")).agg(F.sum("c.by").cast("decimal(38,8)").alias("by"))
+    ordered = changes.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "by"))).alias("changes"))
+    zero = F.lit(0).cast("decimal(38,8)")
+    empty = F.array().cast("array<struct<at:timestamp_ntz,cost:decimal(38,8)>>")
+    add = lambda done, c: F.concat(done, F.array(F.struct(c["at"].cast("timestamp_ntz").alias("at"), (F.coalesce(F.try_element_at(done, F.lit(-1))["cost"], zero) + c["by"]).cast("decimal(38,8)").alias("cost"))))
+    return ordered.select("item_id", F.aggregate("changes", empty, add).alias("steps"))
+
+
+def step_at(steps: Column, at: Column, most: int = 31) -> Column:
+    """The cost of the last of ``steps`` that is not after ``at``, null before the first; found by halving.
+
+    ``most`` bounds the halvings: arrays of up to 2 ** most steps.
+    """
+    start = F.struct(F.lit(0).alias("low"), F.size(steps).alias("high"))  # the answer's place from 1 is in low..high
+    def halve(x: Column, _: Column) -> Column:
+        middle = F.floor((x["low"] + x["high"] + 1) / 2).cast("int")
+        return F.when(x["low"] >= x["high"], x).when(F.get(steps, middle - 1)["at"] <= at, F.struct(middle.alias("low"), x["high"].alias("high"))).otherwise(F.struct(x["low"].alias("low"), (middle - 1).alias("high")))
+
+    halvings = F.sequence(F.lit(1), F.least(F.lit(most), F.ceil(F.log2(F.size(steps) + F.lit(1))).cast("int")))
+    return F.get(steps, F.aggregate(halvings, start, halve)["low"] - 1)["cost"]
+
+
+def unit_cogs_at(lines: DataFrame, recipe: DataFrame, ingredient: DataFrame) -> DataFrame:
+    """Each line (order_id, line_no, item_id, placed_at) with the cost of its recipe at that time; 0 without one.
+
+    An item's cost is a step function of time, one row, so a line meets one row whatever the versions of its
+    recipe. Lines cross at most one shuffle, on item_id, where adaptive execution splits an item that
+    holds many of them.
+    """
+    steps = cost_steps(recipe, ingredient)
+    found = lines.join(steps, "item_id", "left")
+    cost = F.coalesce(step_at(F.col("steps"), F.col("placed_at").cast("timestamp_ntz")).cast("decimal(24,8)"), F.lit(0).cast("decimal(24,8)"))
+    return found.withColumn("unit_cogs", cost).drop("steps")
 
 
 def _open_parts(menu: DataFrame, recipe: DataFrame, ingredient: DataFrame) -> DataFrame:

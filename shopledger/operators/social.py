@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import caption_length, hashtags, hour_bucket, since
+from ..sources.scratch import materialise
 
 MIN_POSTS, DROP = 3, 0.30
 
@@ -51,10 +52,69 @@ def detect_engagement_drop(windows: DataFrame) -> DataFrame:
     )
 
 
-def expanding_median(posts: DataFrame) -> DataFrame:
-    """Each post's median engagement of its platform so far, itself included."""
-    so_far = Window.partitionBy("platform").orderBy("posted_at", "post_id").rowsBetween(Window.unboundedPreceding, 0)
-    return posts.withColumn("expanding_median", F.percentile("engagement", F.lit(0.5)).over(so_far))
+def _places(rows: DataFrame, chunk: Column) -> DataFrame:
+    """``rows`` (platform, posted_at, post_id) with ``_c``, the part of time they are in, and ``_n``, their number on the platform so far."""
+    dealt = rows.withColumn("_c", chunk)
+    sizes = dealt.groupBy("platform", "_c").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("platform").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part of time
+    inside = F.row_number().over(Window.partitionBy("platform", "_c").orderBy("posted_at", "post_id"))
+    return dealt.join(sizes.select("platform", "_c", F.coalesce(before, F.lit(0)).alias("_before")), ["platform", "_c"]).withColumn("_n", F.col("_before") + inside)
+
+
+def _value_ranges(rows: DataFrame, block: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(platform, _v, _b) and (platform, _block, _first, _last, _below, _above): buckets of values, and those that a block's medians can be in.
+
+    A block adds ``block`` posts, so its medians have ranks of at least half the earlier posts less a block and at
+    most half of all: ``_below`` and ``_above`` count the earlier posts outside the buckets that hold these ranks.
+    """
+    values = rows.groupBy("platform", "_v").agg(F.count("*").alias("_m"))
+    by_value = Window.partitionBy("platform").orderBy("_v")  # a row for each different value
+    share = (F.sum("_m").over(by_value.rowsBetween(Window.unboundedPreceding, -1)) * buckets) / F.sum("_m").over(Window.partitionBy("platform"))
+    values = materialise(values.select("platform", "_v", F.coalesce(F.floor(share), F.lit(0)).cast("int").alias("_b")))
+    held = rows.join(values, ["platform", "_v"]).groupBy("platform", "_block", "_b").agg(F.count("*").alias("_m"))
+    every = rows.groupBy("platform").agg(F.max("_block").alias("_most")).select("platform", F.explode(F.sequence(F.lit(0).cast("long"), "_most")).alias("_block"), "_most")
+    every = every.select("platform", "_block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
+    earlier = Window.partitionBy("platform", "_b").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    before = every.join(held, ["platform", "_block", "_b"], "left").withColumn("_m", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    upward = Window.partitionBy("platform", "_block").orderBy("_b")  # a row for each bucket
+    before = before.withColumns({"_end": F.sum("_m").over(upward), "_all": F.col("_block") * block})
+    low, high = F.expr("_all div 2") - block, F.expr(f"(_all + {block}) div 2") + 1
+    inside = ((F.col("_end") >= low) | (low < 1)) & ((F.col("_end") - F.col("_m") < high) | (high > F.col("_all")))
+    ranges = before.filter(inside).groupBy("platform", "_block").agg(
+        F.min("_b").alias("_first"), F.max("_b").alias("_last"), F.min(F.col("_end") - F.col("_m")).alias("_below"), F.min(F.col("_all") - F.col("_end")).alias("_above")
+    )
+    return values, materialise(ranges)
+
+
+def expanding_median(posts: DataFrame, chunks: int = 24, block: int = 1024, buckets: int = 64) -> DataFrame:
+    """Each post's median engagement of its platform so far, itself included.
+
+    Posts are numbered along time, from counts by part of a day (``chunks`` a day), and cut into blocks. While
+    a block passes, the median can only move by as many ranks as it has posts. So a block gets, from the
+    histogram of all earlier blocks, the values within these ranks with their counts, how many lie below
+    and above them, and works on that and its own posts alone; no task holds a platform. Posts are told
+    apart by post_id.
+    """
+    rows = posts.select("platform", "posted_at", "post_id", F.col("engagement").alias("_v"))
+    placed = _places(rows, F.floor(F.unix_timestamp(F.col("posted_at").cast("timestamp")) * chunks / 86400))
+    placed = materialise(placed.select("platform", "posted_at", "post_id", "_v", F.expr(f"(_n - 1) div {block}").alias("_block")))
+    values, ranges = _value_ranges(placed, block, buckets)
+    wanted = ranges.filter("_block > 0").select("platform", "_block", F.explode(F.sequence("_first", "_last")).alias("_b")).join(values, ["platform", "_b"])
+    asked = placed.groupBy("platform", "_v", "_block").agg(F.count("*").alias("_m")).withColumn("_asks", F.lit(False))
+    asked = asked.unionByName(wanted.select("platform", "_v", "_block", F.lit(0).cast("long").alias("_m"), F.lit(True).alias("_asks")))
+    so_far = Window.partitionBy("platform", "_v").orderBy("_block", F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0)  # two rows a block at most
+    earlier = asked.withColumn("_m", F.sum("_m").over(so_far)).filter("_asks AND _m > 0")
+    far = [F.struct(F.col(c).alias("_m"), F.lit(v).alias("_v")) for c, v in (("_below", float("-inf")), ("_above", float("inf")))]
+    outside = ranges.select("platform", "_block", F.inline(F.array(*far))).filter("_m > 0")
+    own = placed.join(values, ["platform", "_v"]).join(ranges.select("platform", "_block", "_first", "_last"), ["platform", "_block"])
+    near = F.when(F.col("_b") < F.col("_first"), float("-inf")).when(F.col("_b") > F.col("_last"), float("inf")).otherwise(F.col("_v").cast("double"))
+    nothing = {"posted_at": F.lit(None).cast(posts.schema["posted_at"].dataType), "post_id": F.lit(None).cast(posts.schema["post_id"].dataType)}
+    columns = ["platform", "_block", "posted_at", "post_id", "_v", "_m"]
+    weighed = own.withColumns({"_v": near, "_m": F.lit(1).cast("long")}).select(*columns)
+    weighed = weighed.unionByName(earlier.withColumns({**nothing, "_v": F.col("_v").cast("double")}).select(*columns)).unionByName(outside.withColumns(nothing).select(*columns))
+    passing = Window.partitionBy("platform", "_block").orderBy(F.col("post_id").isNotNull(), "posted_at", "post_id").rowsBetween(Window.unboundedPreceding, 0)
+    medians = weighed.withColumn("expanding_median", F.percentile("_v", F.lit(0.5), F.col("_m")).over(passing)).filter(F.col("post_id").isNotNull())
+    return posts.join(medians.select("post_id", "expanding_median"), "post_id")
 
 
 def label_posts(posts: DataFrame, snaps: DataFrame, platforms: list[str] | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.merge import merge_insert, merge_update
+from . import snapshots
 
 
 def as_payload(df: DataFrame, key: str) -> DataFrame:
@@ -30,20 +32,16 @@ def payloads_for(landed: DataFrame, column: str, values: list) -> DataFrame:
 
 
 def swap(df: DataFrame, target: str) -> None:
-    """Replace the table at ``target``: written beside it first, so a reader sees the old or the new.
+    """Replace the table at ``target`` by ``df``, which may read it; readers go through ``read_mirror``.
 
-    Works for a ``df`` that reads ``target`` itself.
+    A reader sees the old table or the new, whole, and one that began with the old ends with it.
     """
-    spark: SparkSession = df.sparkSession
-    staging, old = f"{target}.staging", f"{target}.old"
-    df.write.mode("overwrite").parquet(staging)
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(path(old), True)
-    if files.exists(path(target)):
-        files.rename(path(target), path(old))
-    files.rename(path(staging), path(target))
-    files.delete(path(old), True)
+    snapshots.publish(df, target)
+
+
+def read_mirror(spark: SparkSession, target: str, schema: StructType | str) -> DataFrame:
+    """The table that the last ``swap`` put at ``target``; no rows before the first."""
+    return snapshots.read(spark, target, "rows", schema)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

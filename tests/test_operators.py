@@ -1,7 +1,8 @@
 """Operators with effects or without SQL, on literal rows."""
 
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -374,8 +375,8 @@ def test_landing_and_swap(spark, tmp_path):
     assert [json.loads(r["payload"])["name"] for r in again.collect()] == ["b"]
     target = f"{tmp_path}/share"
     sinks.swap(df, target)
-    sinks.swap(spark.read.parquet(target).union(df), target)
-    assert spark.read.parquet(target).count() == 2
+    sinks.swap(sinks.read_mirror(spark, target, df.schema).union(df), target)
+    assert sinks.read_mirror(spark, target, df.schema).count() == 2
     sinks.export_csv(spark.createDataFrame([("b", T, 1), ("a", T, 2)], "platform string, posted_at timestamp, post_id int"), f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
     caps = spark.createDataFrame([("p", T, "1")], "platform string, captured_at timestamp, payload string")
@@ -385,32 +386,53 @@ def test_landing_and_swap(spark, tmp_path):
 # streaming
 
 
-def test_stream_lands_once_and_restates(spark, tmp_path):
+def test_batch_pull_resumes_with_an_overlap(spark):
     from shopledger.streaming import events as st
 
-    schema = "event_id long, occurred_at timestamp, arrived_at timestamp, event_name string, visitor string, session string, url string"
-    row = lambda i, day, late=0: (i, datetime(2026, 1, day, 10), datetime(2026, 1, day + late, 10, 1), "$pageview", f"v{i}", f"s{i}", "/de/x")
-    seen = []
-
-    def run(rows, check=lambda df: df):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        q = st.run_stream(st.dedupe_events(stream), f"{tmp_path}/landed", f"{tmp_path}/check", check, lambda landed, batch: seen.append({str(r["day"]): r["pageviews"] for r in st.restate_days(landed, batch, F.lit(datetime(2026, 1, 5))).collect()}))
-        q.awaitTermination()
-
-    run([row(1, 1), row(2, 1), row(1, 1)])
-    run([row(3, 2), row(4, 1, late=1)])
-    assert spark.read.parquet(f"{tmp_path}/landed").count() == 4
-    assert {"2026-01-01": 2} in seen and {"2026-01-01": 3, "2026-01-02": 1} in seen
-    landed = spark.read.parquet(f"{tmp_path}/landed")
+    schema = "event_id long, arrived_at timestamp"
+    at = lambda m: datetime(2026, 1, 3, 10, m)
+    landed = spark.createDataFrame([(3, at(1)), (4, at(2))], schema)
     assert st.resume_point(landed).first()["event_id"] == 4
-    more = st.incremental(spark.createDataFrame([row(4, 1, late=1), row(5, 3), row(6, 1)], schema), landed, F.lit(datetime(2026, 1, 3, 10, 2)).cast("timestamp"))
-    assert {r["event_id"] for r in more.collect()} == {4}
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    for name, df, mode in (("counts", st.daily_counts_stream(stream), "complete"), ("touch", st.first_touch_stream(stream), "update")):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-        q.awaitTermination()
-        assert spark.table(name).count() > 0
+    more = st.incremental(spark.createDataFrame([(1, datetime(2026, 1, 3, 9)), (4, at(2)), (5, at(3)), (6, at(5))], schema), landed, F.lit(at(6)).cast("timestamp"))
+    assert {r["event_id"] for r in more.collect()} == {4, 5}
+
+
+STREAMED = "event_id long, occurred_at timestamp, arrived_at timestamp, event_name string, visitor string, session string, url string"
+
+
+def _visits():
+    """Events of some days, in order of arrival: repeats, late ones, sessions over midnight, days' ends in local time."""
+    r, rows = random.Random(3), []
+    for i in range(400):
+        at = datetime(2026, 3, 27) + timedelta(minutes=17 * i + r.randint(0, 20))
+        name = r.choice(["$pageview", "$pageview", "signup", "order", "$click"])
+        rows.append((i, at, at + timedelta(minutes=r.randint(0, 200)), name, f"v{r.randint(0, 9)}", r.choice([None, f"s{i // 9}"]), f"/{r.choice(['de', 'en', 'x'])}/a?utm_source={r.choice('ab')}"))
+    rows.sort(key=lambda x: x[2])
+    return rows[:60] + rows[50:60] + rows[60:]
+
+
+def test_streamed_summaries_equal_the_batch_tables_across_restarts(spark, tmp_path):
+    from shopledger.operators import web
+    from shopledger.streaming import events as st
+
+    rows = _visits()
+    far = (9999, datetime(2026, 6, 1), datetime(2026, 6, 1), "$end", None, None, None)
+    views = (9998, datetime(2026, 6, 1), datetime(2026, 6, 1), "$pageview", "last", "last", "/en")
+    made = {"traffic": st.traffic_stream, "events": st.events_stream, "touch": st.first_touch_stream, "acquired": st.acquisition_stream}
+    for part in (rows[:150], rows[150:280], rows[280:], [far, views, (9997, datetime(2026, 6, 1), datetime(2026, 6, 1), "own", "last", None, None)], [(10_000, datetime(2026, 9, 1), datetime(2026, 9, 1), "$pageview", None, "later", None), (10_001, datetime(2026, 9, 1), datetime(2026, 9, 1), "own", None, None, None)]):
+        spark.createDataFrame(part, STREAMED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name, of in made.items():  # a query that ends and starts again from its checkpoint
+            stream = spark.readStream.schema(STREAMED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            of(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/check-{name}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    whole = spark.createDataFrame(rows, STREAMED)
+    once = whole.dropDuplicates(["event_id"])
+    before = lambda df: sorted(map(tuple, df.filter("day < DATE '2026-05-01'").collect()), key=str)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert before(read("traffic")) == before(web.web_traffic_daily(whole)) and len(before(read("traffic"))) > 9
+    assert before(read("events")) == before(web.web_event_daily(whole))
+    first = lambda df: sorted((x["session"], x["event_id"], x["occurred_at"]) for x in df.collect() if x["occurred_at"] < datetime(2026, 5, 1))
+    assert first(read("touch")) == first(web.first_touch(once))
+    assert before(st.acquisition_of(read("acquired"))) == before(web.web_acquisition_daily(once))
 
 
 # learning
