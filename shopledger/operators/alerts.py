@@ -13,6 +13,9 @@ from .margin import delivered_zero_cogs
 VERDICT = ("agent", "alert_key", "triggered", "severity", "title", "detail")
 
 
+# The titles and details of alerts are fixed values: readers and tests go by them.
+
+
 def _verdict(df: DataFrame, agent: str, key: str, fired, severity: str, title, detail) -> DataFrame:
     text = lambda x: F.when(fired, x)
     return df.select(F.lit(agent).alias("agent"), F.lit(key).alias("alert_key"), fired.alias("triggered"), text(F.lit(severity)).alias("severity"), text(title).alias("title"), text(detail).alias("detail"))

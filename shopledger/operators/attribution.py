@@ -27,10 +27,14 @@ def build_channels(links: DataFrame, channels: DataFrame) -> DataFrame:
     """Channels (slug, name, platform, created_at, and kind if given) with one for each platform that has none.
 
     A new channel has its platform as slug, its title as name, the time of its first link, and the kind
-    that this link's medium stands for.
+    that this link's medium stands for. A slug that another platform's channel has already is an error, which
+    names it: without a channel the platform's links would be lost.
     """
     first = links.groupBy(F.col("source").alias("platform")).agg(F.min_by(F.struct("created_at", *(["medium"] if "medium" in links.columns else [])), F.struct("created_at", "link_id")).alias("first"))
-    missing = first.join(channels.select("platform"), "platform", "left_anti").withColumn("slug", F.col("platform")).join(channels.select("slug"), "slug", "left_anti")
+    missing = first.join(channels.select("platform"), "platform", "left_anti")
+    taken = channels.select(F.col("slug").alias("platform"), F.lit(True).alias("_taken")).distinct()
+    refused = F.raise_error(F.concat(F.lit("the channel slug "), F.col("platform"), F.lit(" belongs to another platform"))).cast("string")
+    missing = missing.join(taken, "platform", "left").withColumn("slug", F.when(F.col("_taken"), refused).otherwise(F.col("platform")))
     made = {"name": channel_name(F.col("slug")), "created_at": F.col("first.created_at")}
     if "kind" in channels.columns:
         made["kind"] = F.try_element_at(F.create_map(*[F.lit(x) for pair in KIND_OF_MEDIUM.items() for x in pair]), F.col("first.medium"))

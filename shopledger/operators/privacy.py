@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..functions.exprs import pseudonym, scrub_url
 
@@ -36,6 +37,7 @@ DROPPED_PATTERNS = (
     r"(?i)(^|[$_])(gclid|gad_source|gclsrc|dclid|gbraid|wbraid|fbclid|msclkid|twclid|li_fat_id|mc_cid|igshid|ttclid|rdt_cid|epik|qclid|sccid|kx|irclid|fbc|fbp)$",
 )
 URL_NAME = r"(?i)(url|referrer|href)$"
+# Lengths that names and values are cut to, and the mark of a reviewed name whose value is no plain one.
 NAME_LENGTH, VALUE_LENGTH = 200, 500
 NESTED = " (not a plain value)"
 
@@ -54,29 +56,48 @@ class LeakFound(ValueError):
     """A payload still holds personal data; the message has kinds and counts, never values."""
 
 
+def typed_properties(payload: Column) -> Column:
+    """The properties of a JSON object as a map of variants: text, numbers, objects and lists stay what they are.
+
+    A payload that is no JSON object has none.
+    """
+    return F.from_json(payload, "map<string,variant>")
+
+
 def _nested(value: Column) -> Column:
-    return F.coalesce(value.rlike(r"^\s*[\[{]"), F.lit(False))
+    """Whether a variant is an object or a list; a text that looks like one is not."""
+    return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
 
-def scrub_properties(properties: Column, salt: bytes) -> Column:
-    """Reviewed keys of a map of strings: kept, hashed, or scrubbed if named like a URL, and cut to length.
+def _typed(events: DataFrame) -> bool:
+    return isinstance(events.schema["properties"].dataType.valueType, VariantType)
 
-    A value that is itself an object or a list is dropped, as are an empty identifier and the copy of
-    the visitor among the properties. A null map stays null.
+
+def scrub_properties(properties: Column, salt: bytes, typed: bool) -> Column:
+    """Reviewed keys of a map: kept, hashed, or scrubbed if named like a URL, and cut to length; a map of strings.
+
+    ``typed``: the values are variants, of which objects and lists are dropped; else they are strings, each
+    a plain value. An empty identifier and the copy of the visitor among the properties are dropped too.
+    A null map stays null.
     """
-    known = lambda k, v: k.isin(*KEPT) & ~_nested(v) | k.isin(*HASHED) & (k != "distinct_id") & ~_nested(v) & (v != "")
+    nested = _nested if typed else lambda v: F.lit(False)
+    known = lambda k, v: k.isin(*KEPT) & ~nested(v) | k.isin(*HASHED) & (k != "distinct_id") & ~nested(v) & (v.cast("string") != "")
     allowed = F.map_filter(properties, lambda k, v: F.coalesce(known(k, v), F.lit(False)))
 
     def one(k: Column, v: Column) -> Column:
+        v = v.cast("string")
         return F.when(k.isin(*HASHED), pseudonym(v, salt)).otherwise(F.substring(F.when(k.rlike(URL_NAME), scrub_url(v)).otherwise(v), 1, VALUE_LENGTH))
 
     return F.transform_values(allowed, one)
 
 
 def scrub_events(events: DataFrame, salt: bytes) -> DataFrame:
-    """Events (event_name, visitor, properties) with names cut, visitors hashed and properties scrubbed."""
+    """Events (event_name, visitor, properties) with names cut, visitors hashed and properties scrubbed.
+
+    ``properties``: a map of variants, as ``typed_properties`` gives, or of strings.
+    """
     visitor = F.when(F.col("visitor").cast("string") != "", pseudonym(F.col("visitor"), salt))
-    return events.withColumns({"event_name": F.substring("event_name", 1, NAME_LENGTH), "visitor": visitor, "properties": scrub_properties(F.col("properties"), salt)})
+    return events.withColumns({"event_name": F.substring("event_name", 1, NAME_LENGTH), "visitor": visitor, "properties": scrub_properties(F.col("properties"), salt, _typed(events))})
 
 
 def classify_keys(events: DataFrame) -> DataFrame:
@@ -86,7 +107,8 @@ def classify_keys(events: DataFrame) -> DataFrame:
     """
     allowed = F.col("name").isin(*KEPT, *HASHED)
     pairs = events.select(F.explode("properties").alias("name", "value"))
-    named = F.when(allowed & (F.col("name") != "distinct_id") & _nested(F.col("value")), F.concat("name", F.lit(NESTED))).otherwise(F.col("name"))
+    nested = _nested(F.col("value")) if _typed(events) else F.lit(False)
+    named = F.when(allowed & (F.col("name") != "distinct_id") & nested, F.concat("name", F.lit(NESTED))).otherwise(F.col("name"))
     keys = pairs.select(named.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     dropped = F.col("name").isin(*DROPPED)
     for pattern in DROPPED_PATTERNS:

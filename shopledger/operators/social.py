@@ -44,6 +44,7 @@ def detect_engagement_drop(windows: DataFrame) -> DataFrame:
     drop = (F.col("prior_avg_engagement") - F.col("recent_avg_engagement")) / F.when(F.col("prior_avg_engagement") > 0, F.col("prior_avg_engagement"))
     enough = (F.col("recent_post_count") >= MIN_POSTS) & (F.col("prior_post_count") >= MIN_POSTS)
     fired = F.coalesce(enough & (drop >= DROP), F.lit(False))
+    # The alert's sentences.
     title = F.format_string("%s engagement down %d%% vs. the prior 2 weeks", F.initcap("platform"), F.round(drop * 100).cast("long"))
     detail = F.format_string("Avg engagement/post: %.1f (last 14d, %d posts) vs %.1f (prior 14d, %d posts).", "recent_avg_engagement", "recent_post_count", "prior_avg_engagement", "prior_post_count")
     return by.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import berlin_day, locale_of, normalize_path, path_of, query_value
 
 PAGEVIEW = "$pageview"
-ADMIN = r"^(/[a-z]{2})?/admin(/|$)"
+ADMIN = r"^/admin(/|$)"
 UTM = ("utm_source", "utm_medium", "utm_campaign", "utm_content")
 
 
@@ -75,8 +75,11 @@ def web_acquisition_daily(events: DataFrame, from_day: str | None = None) -> Dat
 
 
 def drop_admin(events: DataFrame) -> DataFrame:
-    """Without the owner's own visits, judged by the path."""
-    return events.filter(~F.coalesce(path_of(F.col("url")).rlike(ADMIN), F.lit(False)))
+    """Without the owner's own visits, judged by ``pathname`` where events have one, else by the URL's path."""
+    path = path_of(F.col("url"))
+    if "pathname" in events.columns:
+        path = F.when(F.col("pathname") != "", F.col("pathname")).otherwise(path)
+    return events.filter(~F.coalesce(path.rlike(ADMIN), F.lit(False)))
 
 
 def rebuild_floor(raw: DataFrame, days: int, as_of, horizon: int = 396) -> DataFrame:

@@ -266,7 +266,7 @@ def unknown_items(s: Store) -> DataFrame:
 
 @query
 def posts_without_snapshot(s: Store) -> DataFrame:
-    return quality.orphans(s.f_post.select("post_id", "platform"), s.f_snapshot, "post_id")
+    return quality.orphans(s.f_post.select("post_id", "platform"), s.f_snapshot.filter("post_id % 5 <> 2"), "post_id")
 
 
 @query
@@ -528,8 +528,10 @@ def text_leaks(s: Store) -> DataFrame:
 
 @query
 def admin_dropped(s: Store) -> DataFrame:
-    rows = s.f_event.withColumn("url", F.when(F.col("k") % 9 == 0, F.concat(F.lit("/de/admin/"), F.col("k"))).otherwise(F.col("url")))
-    return web.drop_admin(rows).select("event_id")
+    k = F.col("k") % 9
+    url = F.when(k == 0, F.concat(F.lit("/admin/"), F.col("k"))).when(k == 1, F.concat(F.lit("/de/admin/"), F.col("k"))).when(k == 2, "/admin?x=1").otherwise(F.col("url"))
+    shown = F.when(k == 2, "/shown").when(k == 3, "/admin").when(k == 4, "/administration").otherwise("")
+    return web.drop_admin(s.f_event.withColumns({"url": url, "pathname": shown})).select("event_id")
 
 
 @query
@@ -589,12 +591,14 @@ def _properties(s: Store) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     pairs = {
         "$pathname": x.path_of(F.col("url")), "$current_url": F.concat(F.lit("https://u:p@shop.example"), F.col("url")), "distinct_id": text("visitor"), "$user_id": text("visitor"),
-        "title": F.repeat(F.col("url"), F.lit(60)), "$geoip_country_code": F.lit("DE"), "$geoip_city_name": F.lit("Bonn"), "$session_entry_fbclid": F.lit("f"),
-        "$os": F.when(F.col("event_id") % 4 == 0, F.lit('{"a": 1}')).otherwise("linux"), "date": F.lit("2024-01-01"),
+        "title": F.concat(F.lit("[Sale] "), F.repeat(F.col("url"), F.lit(60))), "$geoip_country_code": F.lit("DE"), "$geoip_city_name": F.lit("Bonn"), "$session_entry_fbclid": F.lit("f"),
+        "$os": F.lit("linux"), "date": F.lit("2024-01-01"),
     }
     fixed = F.create_map(*[v for k, c in pairs.items() for v in (F.lit(k), c)])
     odd = F.create_map(F.concat(F.lit("new_"), F.col("event_id") % 3), F.lit("v"))
-    return s.f_event.select("event_id", "event_name", "visitor", "url", F.map_concat(fixed, odd).alias("properties"))
+    sent = F.to_json(F.map_concat(fixed, odd))
+    nested = F.when(F.col("event_id") % 4 == 0, F.replace(sent, F.lit('"linux"'), F.lit('{"a": [1]}'))).otherwise(sent)
+    return s.f_event.select("event_id", "event_name", "visitor", "url", privacy.typed_properties(nested).alias("properties"))
 
 
 @query

@@ -29,6 +29,7 @@ _VARIANTS = f"""
       row_number() OVER (PARTITION BY source, link_id % 10 ORDER BY link_id) AS rk FROM ({_LINKS})) WHERE rk = 1"""
 _UTM_EVENTS = f"SELECT event_id, utm_source, CASE WHEN utm_source IS NOT NULL THEN CAST(k % 10 AS VARCHAR) END AS utm_content FROM (SELECT event_id, k, {_UTM('utm_source')} AS utm_source FROM f_event)"
 _SCORES = "SELECT d.source AS platform, l.quality AS label, ((d.doc_id * 37) % 1009) / 1009.0 AS p FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+# The kinds of leak and their patterns.
 _LEAK = {
     "customer_id": r"(?i)\bcus?t?_\w",
     "url_token": r"(?i)[?&#](token|code|access_token)=",
@@ -155,9 +156,9 @@ SELECT ingredient_id, CAST(current_price * CASE WHEN ingredient_id % 4 = 0 THEN
     "erased_customers": "SELECT order_id, CASE WHEN customer_id % 10 = 3 AND customer_id IN (SELECT c_custkey FROM customer) THEN NULL ELSE customer_id END AS customer_id FROM f_orders",
     "placeholder_prices": "SELECT ingredient_id, slug FROM f_ingredient WHERE ingredient_id % 3 = 0",
     "unknown_items": "SELECT DISTINCT item_id FROM f_order_line WHERE item_id NOT IN (SELECT item_id FROM f_menu_item WHERE item_id % 2 = 0)",
-    "posts_without_snapshot": "SELECT post_id, platform FROM f_post WHERE post_id NOT IN (SELECT post_id FROM f_snapshot)",
+    "posts_without_snapshot": "SELECT post_id, platform FROM f_post WHERE post_id NOT IN (SELECT post_id FROM f_snapshot WHERE post_id % 5 <> 2)",
     "known_posts_only": "SELECT event_id, post_id * 2 AS post_id, likes FROM f_snapshot WHERE post_id * 2 IN (SELECT post_id FROM f_post)",
-    "web_traffic_daily": f"SELECT {_DAY} AS day, {_LOCALE} AS locale, count(*) AS pageviews, count(DISTINCT session) AS sessions, count(DISTINCT visitor) AS visitors FROM f_event WHERE event_name = '$pageview' AND NOT regexp_matches({_PATH}, '^(/[a-z]{{2}})?/admin(/|$)') GROUP BY ALL",
+    "web_traffic_daily": f"SELECT {_DAY} AS day, {_LOCALE} AS locale, count(*) AS pageviews, count(DISTINCT session) AS sessions, count(DISTINCT visitor) AS visitors FROM f_event WHERE event_name = '$pageview' AND NOT regexp_matches({_PATH}, '^/admin(/|$)') GROUP BY ALL",
     "web_page_daily": f"SELECT {_DAY} AS day, {_LOCALE} AS locale, {_NORM} AS path, count(*) AS pageviews, count(DISTINCT session) AS sessions, count(DISTINCT visitor) AS visitors FROM f_event WHERE event_name = '$pageview' GROUP BY ALL",
     "web_event_daily": f"SELECT {_DAY} AS day, event_name, count(*) AS events, count(DISTINCT session) AS sessions, count(DISTINCT visitor) AS visitors FROM f_event WHERE event_name NOT LIKE '$%' GROUP BY ALL",
     "web_acquisition_daily": f"""
@@ -238,7 +239,11 @@ SELECT unnest(['status_known', 'gross_not_negative', 'delivered_has_time', 'deli
     "orphan_lines": "SELECT order_id, line_no FROM f_order_line WHERE order_id NOT IN (SELECT order_id FROM f_orders WHERE order_id % 3 > 0)",
     "overlapping_windows": "SELECT item_id, ingredient_id, version FROM f_recipe WHERE version = 2 AND item_id % 2 = 0",
     "text_leaks": " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (regexp_matches(text, '{p}')) AS n FROM documents" for k, p in _LEAK.items()),
-    "admin_dropped": f"SELECT event_id FROM (SELECT event_id, CASE WHEN k % 9 = 0 THEN '/de/admin/' || CAST(k AS VARCHAR) ELSE url END AS url FROM f_event) WHERE NOT regexp_matches({_PATH}, '^(/[a-z]{{2}})?/admin(/|$)')",
+    "admin_dropped": f"""
+SELECT event_id FROM (
+  SELECT event_id, CASE k % 9 WHEN 2 THEN '/shown' WHEN 3 THEN '/admin' WHEN 4 THEN '/administration' ELSE '' END AS shown,
+    CASE k % 9 WHEN 0 THEN '/admin/' || CAST(k AS VARCHAR) WHEN 1 THEN '/de/admin/' || CAST(k AS VARCHAR) WHEN 2 THEN '/admin?x=1' ELSE url END AS url FROM f_event)
+WHERE NOT regexp_matches(CASE WHEN shown <> '' THEN shown ELSE {_PATH} END, '^/admin(/|$)')""",
     "property_classes": """
 SELECT name, CASE WHEN name IN ('$pathname', 'distinct_id') THEN 'allowed' WHEN name = '$geoip_city_name' THEN 'dropped' ELSE 'unreviewed' END AS kind, count(*) AS n
 FROM (SELECT unnest(['$pathname', '$geoip_city_name', 'new_' || CAST(event_id % 3 AS VARCHAR), 'distinct_id']) AS name FROM events) GROUP BY ALL""",
@@ -270,7 +275,7 @@ FROM ({_UTM_EVENTS}) e LEFT JOIN (SELECT DISTINCT source, content, channel, camp
     "scrubbed_events": rf"""
 SELECT event_id, {_HASHED} AS visitor, CAST(CASE WHEN event_id % 4 = 0 THEN 6 ELSE 7 END AS BIGINT) AS n_kept,
   'https://shop.example' || regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS current_url,
-  {_HASHED} AS user_hash, substr(repeat(url, 60), 1, 500) AS title, CASE WHEN event_id % 4 <> 0 THEN 'linux' END AS os
+  {_HASHED} AS user_hash, substr('[Sale] ' || repeat(url, 60), 1, 500) AS title, CASE WHEN event_id % 4 <> 0 THEN 'linux' END AS os
 FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^utm_(source|medium|campaign|content|term)=')) AS kept FROM f_event)""",
     "unreviewed_properties": "SELECT 'new_' || CAST(event_id % 3 AS VARCHAR) AS name, count(*) AS n FROM f_event GROUP BY 1 UNION ALL SELECT '$os (not a plain value)', count(*) FROM f_event WHERE event_id % 4 = 0",
     "event_leaks": " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER (regexp_matches(payload, '{p}')) AS n FROM ({_PLANTED})" for k, p in _LEAK.items()),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopledger.functions import exprs
-from shopledger.operators import alerts, learning, margin, merge, payloads, privacy, quality, reports, social, web
+from shopledger.operators import alerts, attribution, learning, margin, merge, payloads, privacy, quality, reports, social, web
 from shopledger.sources import readers, sinks
 from shopledger.sources.views import Store
 
@@ -212,12 +212,27 @@ def test_scrub_keeps_nothing_unreviewed(spark):
         "$pathname": "/x", "email": "a@b.org", "$current_url": "https://u:p@s.de/x?token=5&UTM_Source=a&utm_x=1#t", "distinct_id": "me", "$user_id": "me", "$anon_distinct_id": "", "odd": "1", "date": '{"a":1}', "title": "t" * 600,
         "$device_id": "d", "$session_entry_fbclid": "c", "$web_vitals_LCP_event": "{}", "$sdk_debug_x": "1", "$heatmaps_enabled_server_side": "true", "$web_vitals_LCP_value": "3", "$geoip_country_name": "Germany",
     }
-    ev = spark.createDataFrame([("e" * 300, "me", props), ("e", "", None)], "event_name string, visitor string, properties map<string,string>")
+    sent = json.dumps(props | {"date": {"a": 1}, "kind": [1], "status": "[Sale] shoes", "reason": '{"looks": "nested"}', "itemCount": 3})
+    ev = spark.createDataFrame([("e" * 300, "me", sent), ("e", "", None)], "event_name string, visitor string, sent string")
+    ev = ev.select("event_name", "visitor", privacy.typed_properties(F.col("sent")).alias("properties"))
     r, none = privacy.scrub_events(ev, b"salt").orderBy(F.length("event_name").desc()).collect()
-    assert set(r["properties"]) == {"$pathname", "$current_url", "$user_id", "title", "$web_vitals_LCP_value", "$geoip_country_name"}
+    assert set(r["properties"]) == {"$pathname", "$current_url", "$user_id", "title", "$web_vitals_LCP_value", "$geoip_country_name", "status", "reason", "itemCount"}
+    assert (r["properties"]["status"], r["properties"]["reason"], r["properties"]["itemCount"]) == ("[Sale] shoes", '{"looks": "nested"}', "3")
     assert r["properties"]["$current_url"] == "https://s.de/x?UTM_Source=a" and r["properties"]["$user_id"] == r["visitor"] and r["visitor"].startswith("ph_")
     assert len(r["event_name"]) == 200 and len(r["properties"]["title"]) == 500 and none["visitor"] is None and none["properties"] is None
-    assert {x["name"] for x in privacy.unreviewed_properties(ev).collect()} == {"email", "odd", "date (not a plain value)"}
+    assert {x["name"] for x in privacy.unreviewed_properties(ev).collect()} == {"email", "odd", "date (not a plain value)", "kind (not a plain value)"}
+    strings = spark.createDataFrame([("e", "me", {"title": "[Sale] shoes", "email": "x"})], "event_name string, visitor string, properties map<string,string>")
+    assert privacy.scrub_events(strings, b"salt").first()["properties"] == {"title": "[Sale] shoes"}
+
+
+def test_a_slug_of_another_platform_is_refused(spark):
+    channels = spark.createDataFrame([("shop", "Shop", "mail", 1)], "slug string, name string, platform string, created_at long")
+    links = spark.createDataFrame([(1, "shop", 5), (2, "mail", 6)], "link_id long, source string, created_at long")
+    with pytest.raises(Exception, match="slug shop belongs to another platform"):
+        attribution.build_channels(links, channels).collect()
+    with pytest.raises(Exception, match="slug shop belongs"):
+        attribution.chained(links.withColumns({"campaign": F.lit("c"), "content": F.lit("x")}), attribution.build_channels(links, channels)).collect()
+    assert attribution.build_channels(links.filter("source = 'mail'"), channels).count() == 1
 
 
 @pytest.mark.parametrize(
