@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,38 +12,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise, scratch_dir
+
+__all__ = ["ascii_lower", "documents", "importable", "materialise", "numbered_within", "partitions_for", "runs_to_index", "scratch_dir", "table", "unused", "whole_partition"]
+
 #: White space of the word contracts: space and the five ASCII controls from tab to return.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 DEFAULT_BATCH, TEXT_BATCH = "10000", "1000"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset, as in tests, a temporary folder of this machine is set once; on a cluster,
-    whose machines do not share it, that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            base = tempfile.mkdtemp(prefix="shopledger-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Cuts lineage so that a lost executor costs one read, not a recomputation, and
-    fixes the outcome of steps whose order may differ between two runs.
-    """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def importable(spark: SparkSession) -> None:

@@ -139,6 +139,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFram
     return found.withColumn("contaminated", F.col("n_hit") > 0).select("doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage; all columns stay, whatever their names."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    return decontaminate(whole, benchmark, "whole").filter(~F.col("contaminated")).select("whole.*")
+
+
 #: The contract in SQL. Candidates are found by whole windows.
 ORACLE_SQL = r"""
 WITH d AS (

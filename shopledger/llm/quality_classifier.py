@@ -156,7 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
     The fold is crc32 of the doc_id as text; a null doc_id is not held out and has no label. Only the
     sample's doc_ids, which are bounded, go to the texts, so no text is shuffled to find its label. Of
-    several labels of a doc_id the highest counts, of several texts each; a null label teaches
+    several labels of a doc_id the highest counts, of several texts the first in order; a null label teaches
     nothing; a score equal to the threshold is 1; an empty or null text has the score of the constant;
     without labels all scores are 0.5; an empty table gives no rows; texts of any length are read
     whole, other columns left out.
@@ -164,6 +164,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).filter(fold != held)
     known = materialise(sample(known.groupBy("doc_id").agg(F.max("label").alias("label"))))
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "worker", "turn").agg(F.min("text").alias("text"))
     scored = score(docs, train(texts))
     return scored.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", "predicted")

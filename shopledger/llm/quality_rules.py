@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
 #: A line is common in a host if more than so many of its texts hold it; in the verdicts' SQL, more than both.
-LINE_TEXTS, LINE_SHARE = 20, 0.08
+LINE_TEXTS = 20
 #: A document is depleted below both: words that remain, and their share of its words.
 LEAST_WORDS, LEAST_SHARE = 10, 0.3
 #: Common lines, and texts with lines to cut, go to all tasks up to so many; beyond, the join shuffles.
@@ -111,19 +111,11 @@ def _profiled(docs: DataFrame, host: str) -> DataFrame:
     return materialise(rows.mapInArrow(_profile, f"uid long, doc_id long, host string, copy long, {BASE}, lines array<struct<line:long,n:long>>"))
 
 
-def _common(profiled: DataFrame, share: float = 0.0) -> DataFrame:
-    """(host, line, texts) of the lines that are common in their host.
-
-    Over LINE_TEXTS of the host's distinct texts hold them and, for the digest of ``quality_verdicts``,
-    over ``share`` of these.
-    """
+def _common(profiled: DataFrame) -> DataFrame:
+    """(host, line, texts) of the lines that are common in their host: over LINE_TEXTS of its distinct texts hold them."""
     texts = profiled.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
     lines = texts.select("host", F.explode("lines").alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count("*").alias("texts"))
-    common = lines.filter(F.col("texts") > LINE_TEXTS)
-    if share:
-        hosts = texts.groupBy("host").agg(F.count("*").alias("of"))
-        common = common.join(hosts, "host").filter(F.col("texts") > share * F.col("of"))
-    return materialise(common.select("host", "line", "texts"))
+    return materialise(lines.filter(F.col("texts") > LINE_TEXTS).select("host", "line", "texts"))
 
 
 def _holding(lines: DataFrame, common: DataFrame) -> DataFrame:
@@ -162,11 +154,10 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
     A null text has no words and fails; a null host is a host of its own; a null doc_id is judged like
     any other; repeated rows get repeated results, and their text counts once; an empty table gives no
-    rows; a line at a limit is not above it; other columns, whatever their names, are left out. As in its SQL, a line
-    is common here only above LINE_SHARE of its host's texts too, which what cuts lines does not ask.
+    rows; a line at a limit is not above it; other columns, whatever their names, are left out.
     """
     profiled = _profiled(docs, host)
-    return _verdicts(profiled, _common(profiled, LINE_SHARE)).drop("host", "copy")
+    return _verdicts(profiled, _common(profiled)).drop("host", "copy")
 
 
 def cut_lines(text: str, common: set[int]) -> str:
@@ -180,10 +171,12 @@ def cut_lines(text: str, common: set[int]) -> str:
 
 def _cut(docs: DataFrame, profiled: DataFrame, common: DataFrame, host: str) -> DataFrame:
     texts = profiled.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
+    own, cut = unused(docs, "of"), unused(docs, "cut")
     held = _holding(texts.select("host", "copy", F.explode("lines.line").alias("line")), common)
-    held = materialise(held.groupBy(F.col("host").alias("_host"), F.col("copy").alias("_copy")).agg(F.collect_list("line").alias("_cut")))
+    held = materialise(held.groupBy(F.struct("host", "copy").alias(own)).agg(F.collect_list("line").alias(cut)))
     few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.withColumns({"_host": _host(host), "_copy": F.xxhash64("text")}).join(F.broadcast(held) if few else held, ["_host", "_copy"], "left")
+    key = F.col(own)
+    rows = docs.join(F.broadcast(held) if few else held, (_host(host) == key["host"]) & (F.xxhash64("text") == key["copy"]), "left")
     columns = docs.columns
     text_at, cut_at = columns.index("text"), len(columns)
 
@@ -198,14 +191,15 @@ def _cut(docs: DataFrame, profiled: DataFrame, common: DataFrame, host: str) ->
                 arrays[columns.index("n_chars")] = pa.array([len(t) if lines else n for t, lines, n in zip(new, own, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "_cut").mapInArrow(of, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], cut).mapInArrow(of, docs.schema)
 
 
 def without_common_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """``docs`` with the lines that are common in their host cut out of ``text``; ``n_chars`` follows.
 
     Other lines keep their bytes and order; a null text stays; repeated rows stay repeated and count
-    once; an empty table stays empty.
+    once; a null host is a host of its own; other columns stay, whatever their names; an empty table stays
+    empty.
     """
     profiled = _profiled(docs, host)
     return _cut(docs, profiled, _common(profiled), host)
@@ -215,13 +209,15 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` whose verdict is to keep, without their host's common lines.
 
     The verdict follows from host and text, so rows of one doc_id are judged one by one, and rows
-    without a doc_id like any others; repeated rows stay repeated; all columns stay as they are.
+    without a doc_id like any others; repeated rows stay repeated; a null host is a host of its own; all
+    other columns stay as they are, whatever their names; an empty table stays empty.
     """
     profiled = _profiled(docs, host)
     common = _common(profiled)
-    rejected = materialise(_verdicts(profiled, common).filter(~F.col("kept")).select(F.col("host").alias("_host"), F.col("copy").alias("_copy")).distinct())
+    rejected = materialise(_verdicts(profiled, common).filter(~F.col("kept")).select(F.struct("host", "copy").alias(unused(docs, "of"))).distinct())
     few = rejected.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    good = docs.join(F.broadcast(rejected) if few else rejected, (_host(host) == F.col("_host")) & (F.xxhash64("text") == F.col("_copy")), "left_anti")
+    key = F.col(rejected.columns[0])
+    good = docs.join(F.broadcast(rejected) if few else rejected, (_host(host) == key["host"]) & (F.xxhash64("text") == key["copy"]), "left_anti")
     return _cut(good, profiled, common, host)
 
 
@@ -238,12 +234,11 @@ dup AS (
   SELECT r, sum(k - 1) AS n FROM (
     SELECT r, line, count(*) AS k FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY r),
 t AS (SELECT DISTINCT host, text FROM d),
-h AS (SELECT host, count(*) AS n FROM t GROUP BY host),
 l AS (
   SELECT host, text, regexp_replace(array_to_string(x, ' '), '[0-9]+', '0', 'g') AS line, sum(len(x)) AS words FROM (
     SELECT host, text, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS x FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS line FROM t))
   WHERE len(x) > 0 GROUP BY ALL),
-c AS (SELECT l.host, line FROM l JOIN h ON h.host = l.host GROUP BY l.host, line, h.n HAVING count(*) > LINE_TEXTS AND count(*) > LINE_SHARE * h.n),
+c AS (SELECT host, line FROM l GROUP BY host, line HAVING count(*) > LINE_TEXTS),
 lost AS (SELECT l.host, l.text, sum(words) AS n FROM l SEMI JOIN c ON l.host = c.host AND l.line = c.line GROUP BY ALL),
 f AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -253,4 +248,4 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND rest >= LEAST_WORDS AND rest >= LEAST_SHARE * n_words AS kept
 FROM f
-""".replace("LINE_TEXTS", str(LINE_TEXTS)).replace("LINE_SHARE", str(LINE_SHARE)).replace("LEAST_WORDS", str(LEAST_WORDS)).replace("LEAST_SHARE", str(LEAST_SHARE))
+""".replace("LINE_TEXTS", str(LINE_TEXTS)).replace("LEAST_WORDS", str(LEAST_WORDS)).replace("LEAST_SHARE", str(LEAST_SHARE))
