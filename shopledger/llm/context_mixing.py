@@ -46,10 +46,12 @@ BLOCK_BITS = 13
 #: A worker learns from about so many distinct words.
 WORKER_UNITS = 500_000
 #: Words of over 1 / ``FREQUENT`` of all training tokens, fewer than that many, are looked up in place.
-FREQUENT = 400_000
+FREQUENT = 1_000_000
 #: Distinct words that a task holds at a time.
 HELD_WORDS = 450_000
 RATE, FIRST_WEIGHT = 0.1, 0.3
+#: Log odds are kept in a byte, in steps of this, up to 127 of them.
+ODDS_STEP = 0.1
 OWN_SHARE, OWN_WEIGHT, BLOCK = 0.1, 20.0, 32
 END, SPACE = 0x0A, 0x20
 _BASE = 0x9E3779B97F4A7C15
@@ -105,14 +107,18 @@ def _decide(code: Code, contexts: list[np.ndarray], symbols: np.ndarray, unit: n
     of = np.repeat(np.arange(len(symbols)), n)
     flat = runs_to_index(code.first[symbols], n)
     node = code.node[flat]
-    part, low = (node >> _U(4)) * _U(0xD6E8FEB86659FD93), node & _U(15)
+    part, low = node >> _U(4), node & _U(15)
+    odd = np.flatnonzero(part != _U(15))  # all but the first steps of a byte, or so
+    place_of = lambda c, p: ((c ^ p * _U(0xD6E8FEB86659FD93)) * _U(0xC2B2AE3D27D4EB4F)) >> _U(68 - code.slot_bits) << _U(4) | c & _U(15)
     slots = []
     with np.errstate(over="ignore"):
         for k, c in enumerate(contexts):  # a context's nodes lie side by side, sixteen at a time
             mixed = (c + _U(k + 1)) * _U(_BASE)
-            mixed = (mixed ^ mixed >> _U(29))[of]
-            place_ = ((mixed ^ part) * _U(0xC2B2AE3D27D4EB4F)) >> _U(68 - code.slot_bits)
-            slots.append((place_ << _U(4) | (low ^ mixed & _U(15))).astype(np.int64))
+            mixed ^= mixed >> _U(29)
+            at = place_of(mixed, _U(15))[of]
+            at[odd] = place_of(mixed[of[odd]], part[odd])
+            at ^= low
+            slots.append(at.view(np.int64))
     return Decisions(unit[of], code.bit[flat], slots, place[of])
 
 
@@ -146,19 +152,10 @@ def first_decisions(keys: np.ndarray, code: Code) -> Decisions:
     return _decide(code, contexts, keys & 0xFF, np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64))
 
 
-def tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(all words, words a text, key of each token's first byte, whether it is a word) of the texts; ends are tokens."""
+def tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """All words of the texts, and how many each has."""
     split = [(t or b"").lower().split() for t in texts]
-    n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    raw = np.frombuffer(b"".join(b" ".join([*ws, b"\n"]) for ws in split), dtype=np.uint8)
-    fresh = np.flatnonzero(np.concatenate([[True], (raw[:-1] == SPACE) | (raw[:-1] == END)])) if len(raw) else np.zeros(0, np.int64)
-    padded = np.concatenate([np.full(3, END, dtype=np.uint8), raw])  # padded[p] is raw[p - 3]
-    inside = padded[fresh + 2] == SPACE  # a word of the same text stands before
-    last = np.where(inside, padded[fresh + 1], 0).astype(np.int64)
-    other = np.where(inside, padded[fresh], 0).astype(np.int64)
-    other[(other == SPACE) | (other == END)] = 0
-    first = raw[fresh].astype(np.int64)
-    return [w for ws in split for w in ws], n, other << 16 | last << 8 | first, first != END
+    return [w for ws in split for w in ws], np.fromiter(map(len, split), dtype=np.int64, count=len(split))
 
 
 def kinds_before(group: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,6 +199,7 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.known, self.group = Numbered(), np.zeros(0, dtype=np.int8)
+        self.first_byte, self.last_bytes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of the words, and the words that are new."""
@@ -209,8 +207,20 @@ class Vocabulary:
         ids = self.known.of(words)
         fresh = list(islice(self.known, before, None))
         self.group = np.concatenate([self.group, np.fromiter(map(self.groups.get, fresh, repeat(0)), dtype=np.int8, count=len(fresh))])
+        self.first_byte = np.concatenate([self.first_byte, np.fromiter((w[0] for w in fresh), dtype=np.int64, count=len(fresh))])
+        self.last_bytes = np.concatenate([self.last_bytes, np.fromiter((w[-1] if len(w) == 1 else w[-1] | w[-2] << 8 for w in fresh), dtype=np.int64, count=len(fresh))])
         return ids, fresh
 
+    def keys(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token, ends included, its first byte after the last two of the word before, and whether it is a word."""
+        ends = np.cumsum(n + 1) - 1
+        is_word = np.ones(len(ids) + len(n), dtype=bool)
+        is_word[ends] = False
+        keys, before = np.full(len(is_word), END, dtype=np.int64), np.zeros(len(is_word) + 1, dtype=np.int64)
+        keys[is_word] = self.first_byte[ids]
+        before[1:][is_word] = self.last_bytes[ids]  # an end leaves nothing to the next text
+        return before[:-1] << 8 | keys, is_word
+
 
 _UNITS = "kind int, unit binary, n long"
 WORD, FIRST, ENDS = 0, 1, 2
@@ -260,8 +270,9 @@ def _count_units(groups: dict[bytes, int]):
             return {bytes([g]) + words[i]: n for i, g, n in zip(id_.tolist(), kind.tolist(), counts[id_, kind].tolist(), strict=True)}
 
         for batch in batches:
-            flat, n, keys, is_word = tokens(batch.column(0).cast(pa.binary()).to_pylist())
+            flat, n = tokens(batch.column(0).cast(pa.binary()).to_pylist())
             ids, fresh = met.ids(flat)
+            keys, is_word = met.keys(ids, n)
             kinds = kinds_before(met.group[ids], n)
             counts = np.concatenate([counts, np.zeros((len(fresh), KINDS + 1), dtype=np.int64)])
             np.add.at(counts.reshape(-1), ids * (KINDS + 1) + kinds[is_word], 1)
@@ -462,7 +473,7 @@ def _learn(shared, code: Code):
 
 
 class Model(NamedTuple):
-    """What scoring needs of the corpus; of a fixed size. ``weights`` are by context and gate."""
+    """What scoring needs of the corpus; of a fixed size. ``odds`` are in steps; ``weights`` are by context and gate, for a step."""
 
     code: Code
     odds: np.ndarray
@@ -475,7 +486,7 @@ class Model(NamedTuple):
         gate = _gate(d.place, np.take(self.seen, d.slots[SURE]))
         logit = np.zeros(len(gate), dtype=np.float32)
         for k in range(CONTEXTS):
-            logit += np.take(self.weights[k], gate) * np.take(self.odds, d.slots[k])
+            logit += np.take(self.weights[k], gate) * np.take(self.odds, d.slots[k])  # in steps of ODDS_STEP, as the weights are
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         p = np.clip((p + np.take(self.refined, gate * STEPS + _step(logit))) / 2, 1e-7, 1 - 1e-7)
         return np.bincount(d.unit, weights=np.log(np.where(d.bit, p, 1 - p)), minlength=units)
@@ -508,7 +519,8 @@ def train(units: DataFrame, workers: int, slot_bits: int = SLOT_BITS) -> Model:
         elif r["weight"]:
             weights.flat[r["at"]] = r["mean"] / r["weight"]
     refined = (ones + 4 * np.tile(middle, GATES)) / (all_ + 4)
-    return Model(code, _odds(table[::2], table[1::2]), _seen(table[::2] + table[1::2]), np.ascontiguousarray(weights.T, dtype=np.float32), refined.astype(np.float32))
+    steps = np.clip(np.rint(_odds(table[::2], table[1::2]) / ODDS_STEP), -127, 127).astype(np.int8)
+    return Model(code, steps, _seen(table[::2] + table[1::2]), np.ascontiguousarray(weights.T * ODDS_STEP, dtype=np.float32), refined.astype(np.float32))
 
 
 def document_scores(lp: np.ndarray, earlier: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -546,7 +558,7 @@ class _Held(Vocabulary):
 
     def __init__(self, model: Model, frequent: dict[bytes, int], groups: dict[bytes, int]):
         self.model, self.frequent = model, frequent
-        self.keys, self.firsts = np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.heads, self.firsts = np.zeros(0, dtype=np.int64), np.zeros(0)
         super().__init__(groups)
 
     def clear(self) -> None:
@@ -571,12 +583,12 @@ class _Held(Vocabulary):
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         every, place = np.unique(keys, return_inverse=True)
-        new = np.setdiff1d(every, self.keys, assume_unique=True)
+        new = np.setdiff1d(every, self.heads, assume_unique=True)
         if len(new):
-            at = np.searchsorted(self.keys, new)
-            self.keys = np.insert(self.keys, at, new)
+            at = np.searchsorted(self.heads, new)
+            self.heads = np.insert(self.heads, at, new)
             self.firsts = np.insert(self.firsts, at, self.model.log_probabilities(first_decisions(new, self.model.code), len(new)))
-        return self.firsts[np.searchsorted(self.keys, every)][place]
+        return self.firsts[np.searchsorted(self.heads, every)][place]
 
 
 _ROWS = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:string,n:long>>"
@@ -587,8 +599,9 @@ def _score(model, frequent, groups: dict[bytes, int], ends: int, base_of):
 
     def one(batch: pa.RecordBatch, held: _Held) -> pa.RecordBatch:
         texts = batch.column(2).cast(pa.binary()).to_pylist()
-        words, n, keys, is_word = tokens(texts)
+        words, n = tokens(texts)
         ids, _ = held.ids(words)
+        keys, is_word = held.keys(ids, n)
         kinds = kinds_before(held.group[ids], n)
         lp = held.first(kinds << 24 | keys)
         lp[is_word] += held.rest(words, ids, kinds[is_word])
