@@ -57,6 +57,18 @@ CALLING_2 = (
 )
 #: Characters that are permuted as one number.
 AT_ONCE = 64
+# Words that are no part of a person's name beside others: articles and the like, bodies, places, roles.
+NO_NAMES = frozenset(
+    "the a an this that these those every each all some any no our my your his her their its one two many most few another such what which when where while if but and or so as at in on of for to from with by "
+    "der die das ein eine dieser diese jeder alle kein unser mein im am le la les un une ce cette chaque tous notre el los las una este esta cada todos nuestro lo i we you he she it they "
+    "government ministry minister council court parliament senate congress police army church company corporation committee commission agency department office bureau board party union club team staff people child children "
+    "customer customers service services support sir madam friends colleagues members everyone "
+    "river street road avenue lane park square university college school hospital airport station bridge island islands mountain mountains valley lake beach bay city county state states republic kingdom cathedral museum institute "
+    "foundation inc ltd llc gmbh corp group bank award prize cup day week month year bible gospel hotel hall house center centre library california texas florida germany france spain england america africa europe asia "
+    "software hardware engineer manager director developer analyst officer consultant architect designer administrator product project vice president data scientist research sales marketing account executive associate technical "
+    "lead systems network security access excel word windows".split()
+)
+BEFORE_PLACES = frozenset("san santa santo são saint st sankt mount lake new port fort cape los las rio north south east west".split())
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "la", "le", "da", "dos", "di", "al", "bin", "ter", "zu")
 
 _POOLS = {pool: tuple(sorted(n.casefold() for n in names)) for pool, names in GIVEN.items()}
@@ -64,9 +76,9 @@ _KNOWN = {n: pool for pool, names in _POOLS.items() for n in names}
 _TITLE_WORDS = frozenset(TITLES)
 #: Entities with digits or an at sign, the more particular first.
 NUMERIC = re.compile(
-    r"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)"""
+    r"""(?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+)"""
     r"""|(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?)(?P<secret>[\w+/-]{8,}={0,2})"""
-    r"""|(?P<hex>(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))"""
+    r"""|(?P<hex>(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z]))"""
     r"""|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"""
     r"""|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d))"""
     r"""|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))"""
@@ -75,20 +87,24 @@ NUMERIC = re.compile(
 )
 HINT = re.compile(r"[0-9@]")
 _UPPER = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ]"
-_CAP = rf"{_UPPER}[^\W\d_]+(?:-[^\W\d_]+|['’]{_UPPER}[^\W\d_]+)*"
+#: A capitalised word, from where a word begins to where it ends: each is tried once, and nothing of it is given back.
+_CAP = rf"(?<![^\W\d_])(?<![^\W\d_][-'’]){_UPPER}[^\W\d_]++(?:-[^\W\d_]++|['’]{_UPPER}[^\W\d_]++)*+"
 #: Capitalised words in a row, particles between them.
 CAPITALISED = re.compile(rf"{_CAP}(?:[ ](?:(?:{'|'.join(PARTICLES)})[ ]){{0,2}}{_CAP})*")
 WORD = re.compile(rf"[^\W\d_]+(?:-[^\W\d_]+|['’]{_UPPER}[^\W\d_]+)*")
 TITLE_BEFORE = re.compile(rf"(?:^|[^\w])(?:{'|'.join(TITLES)})\.?[ ]$")
-#: What stands before or behind the full name of a person, and before a given name alone.
+#: What stands before or behind the full name of a person, and before a given name alone. The weak ones stand
+#: before and behind bodies and places too; only both for one name make it a person's.
 CUE_BEFORE = re.compile(
-    r"(?:\b(?:name|author|signed|from|to|cc|attn|contact|dear|regards|sincerely|gezeichnet|auteur|autor|firmado)\s*[:,]\s*"
-    r"|\b(?:signed by|written by|contact|wrote to|spoke with|met with|called|emailed|dear|liebe|lieber|cher|chère|querido|querida)[ ]"
+    r"(?:\b(?:name|author|signed|attn|contact|regards|sincerely|gezeichnet|auteur|autor|firmado)\s*[:,]\s*"
+    r"|\b(?:signed by|written by|dear|liebe|lieber|cher|chère|querido|querida)[ ]"
     r"|\b(?:my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ ])$",
     re.IGNORECASE,
 )
 NAMED_BEFORE = re.compile(r"\b(?:my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ ]$", re.IGNORECASE)
-CUE_AFTER = re.compile(r"[ ](?:wrote|said|says|called|emailed|replied|asked|told|signed|lives|was born|schrieb|sagte|rief|wohnt|a écrit|a dit|habite|escribió|dijo|vive|написал|написала|сказал|сказала)\b|[ ]?<[\w.+%-]+@")
+WEAK_BEFORE = re.compile(r"\b(?:(?:from|to|cc)\s*:\s*|(?:contact|wrote to|spoke with|met with|called|emailed)[ ])$", re.IGNORECASE)
+ADDRESS_AFTER = re.compile(r"[ ]?<[\w.+%-]++@")
+WEAK_AFTER = re.compile(r"[ ](?:wrote|said|says|called|emailed|replied|asked|told|signed|lives|was born|schrieb|sagte|rief|wohnt|a écrit|a dit|habite|escribió|dijo|vive|написал|написала|сказал|сказала)\b")
 SURNAME_FIRST = re.compile(rf"({_CAP}), ({_CAP})")
 
 Entity = tuple[int, int, str, str]
@@ -119,29 +135,40 @@ def _numeric(text: str) -> Iterator[Entity]:
         yield (*m.span(kind), "secret" if kind == "hex" else kind, norm)
 
 
-def _full_name(m: re.Match, text: str) -> tuple[int, int, str] | None:
-    """(start, end, form) of a person in a row of capitalised words: 'gf' given and family name, 'f', 'g'."""
+def _plain(name: str) -> bool:
+    return name.casefold() in NO_NAMES
+
+
+def _full_name(m: re.Match, text: str) -> tuple[int, int, str, int] | None:
+    """(start, end, form, cue) of a person in a row of capitalised words: 'gf' given and family name, 'f', 'g'.
+
+    The cue is 0 where it is enough, 1 for a weak one before, 2 for one behind, 3 for both.
+    """
     words = [w for w in WORD.finditer(m[0]) if not w[0].islower()]
     names = [w[0] for w in words]
     span = lambda i, j: (m.start() + words[i].start(), m.start() + words[j].end())
     # a second given name takes the family name behind it
     last = lambda i: i + 2 if i + 2 < len(names) and names[i + 1].casefold() in _KNOWN else i + 1
+    ends = lambda j: j + 1 == len(names) or not _plain(names[j + 1])  # noqa: E731  "... Street" makes it a place
     before = text[max(0, m.start() - 24) : m.start()]
     titled = 0 if TITLE_BEFORE.search(before) else next((i + 1 for i, n in enumerate(names) if n in _TITLE_WORDS), None)
-    if titled is not None and titled < len(names):
+    if titled is not None and titled < len(names) and not _plain(names[titled]):
+        junior = titled > 0 and names[titled - 1] == "Sr" or before.rstrip(" .").endswith("Sr")
         if len(names) - titled == 1:
-            return (*span(titled, titled), "f")
-        return (*span(titled, last(titled)), "gf")
+            return (*span(titled, titled), "f", 0)
+        if not junior or names[titled].casefold() in _KNOWN:
+            return (*span(titled, last(titled)), "gf", 0)
     for i, n in enumerate(names[:-1]):
-        if n.casefold() in _KNOWN:
-            return (*span(i, last(i)), "gf")
-    if len(names) > 1 and CUE_BEFORE.search(before):
-        return (*span(0, last(0)), "gf")
-    if len(names) > 1 and CUE_AFTER.match(text, m.end()):
-        return (*span(len(names) - 2, len(names) - 1), "gf")
-    if len(names) == 1 and NAMED_BEFORE.search(before):
-        return (*span(0, 0), "g")
-    return None
+        if n.casefold() in _KNOWN and not any(map(_plain, names[i + 1 : last(i) + 1])) and ends(last(i)) and not (i and names[i - 1].casefold() in BEFORE_PLACES):
+            return (*span(i, last(i)), "gf", 0)
+    if len(names) == 1 and NAMED_BEFORE.search(before) and not _plain(names[0]):
+        return (*span(0, 0), "g", 0)
+    if not 1 < len(names) < 4 or any(map(_plain, names)) or names[0].casefold() in BEFORE_PLACES:
+        return None
+    if CUE_BEFORE.search(before) or ADDRESS_AFTER.match(text, m.end()):
+        return (*span(0, len(names) - 1), "gf", 0)
+    weak = bool(WEAK_BEFORE.search(before)) + 2 * bool(WEAK_AFTER.match(text, m.end()))
+    return (*span(0, len(names) - 1), "gf", weak) if weak else None
 
 
 def name_parts(name: str, form: str) -> list[tuple[int, int, str, str]]:
@@ -152,30 +179,43 @@ def name_parts(name: str, form: str) -> list[tuple[int, int, str, str]]:
 
 
 def _persons(text: str) -> Iterator[Entity]:
-    """Full names and titled ones, then every other mention of a name that these hold."""
+    """Full names and titled ones, then every other mention of a name that these hold.
+
+    A name that only weak cues speak for needs one before it and one behind it, not by one mention alone,
+    and its parts are not looked for elsewhere; nor are names that the text also writes as common words.
+    """
     found: list[Entity] = []
+    weak: dict[str, int] = {}
+    doubted: list[tuple[int, int, str]] = []
+    covered = bytearray(len(text))
     for m in SURNAME_FIRST.finditer(text):
         before = text[max(0, m.start() - 24) : m.start()]
-        if m[2].casefold() in _KNOWN and (m[0].isupper() or re.search(r"\bname:\s*$", before, re.IGNORECASE)):
+        if m[2].casefold() in _KNOWN and not _plain(m[1]) and (m[0].isupper() or re.search(r"\bname:\s*$", before, re.IGNORECASE)):
             found.append((*m.span(), "person fg", m[0].casefold()))
-    taken = [(s, e) for s, e, _, _ in found]
+            covered[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     for m in CAPITALISED.finditer(text):
         at = _full_name(m, text)
-        if at and not any(at[0] < e and s < at[1] for s, e in taken):
-            found.append((at[0], at[1], f"person {at[2]}", text[at[0] : at[1]].casefold()))
-    if not found:
-        return
+        if at and not (covered[at[0]] or covered[at[1] - 1]):
+            name = text[at[0] : at[1]].casefold()
+            if at[3]:
+                weak[name] = weak.get(name, 0) | at[3]
+                doubted.append((at[0], at[1], name))
+            else:
+                found.append((at[0], at[1], f"person {at[2]}", name))
     families, givens = set(), set()
     for s, e, kind, _ in found:
         for _, _, part, norm in name_parts(text[s:e], kind.split(" ")[1]):
             (families if part == "family" else givens).add(norm)
-    covered = bytearray(len(text))
+    found += [(s, e, "person gf", name) for s, e, name in doubted if weak[name] == 3]
+    if not found:
+        return
     for s, e, _, _ in found:
         covered[s:e] = b"\x01" * (e - s)
     yield from found
+    common = {w[0] for w in WORD.finditer(text) if w[0].islower()} & (families | givens)
     for w in WORD.finditer(text):
         norm = w[0].casefold()
-        if not w[0].islower() and not covered[w.start()] and (norm in families or norm in givens):
+        if not w[0].islower() and norm not in common and not covered[w.start()] and (norm in families or norm in givens):
             yield (*w.span(), "person f" if norm in families else "person g", norm)
 
 
