@@ -68,6 +68,7 @@ NO_NAMES = frozenset(
     "software hardware engineer manager director developer analyst officer consultant architect designer administrator product project vice president data scientist research sales marketing account executive associate technical "
     "lead systems network security access excel word windows".split()
 )
+GREETINGS = frozenset("dear liebe lieber cher chère querido querida".split())
 BEFORE_PLACES = frozenset("san santa santo são saint st sankt mount lake new port fort cape los las rio north south east west".split())
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "la", "le", "da", "dos", "di", "al", "bin", "ter", "zu")
 
@@ -97,7 +98,7 @@ TITLE_BEFORE = re.compile(rf"(?:^|[^\w])(?:{'|'.join(TITLES)})\.?[ ]$")
 #: before and behind bodies and places too; only both for one name make it a person's.
 CUE_BEFORE = re.compile(
     r"(?:\b(?:name|author|signed|attn|contact|regards|sincerely|gezeichnet|auteur|autor|firmado)\s*[:,]\s*"
-    r"|\b(?:signed by|written by|dear|liebe|lieber|cher|chère|querido|querida)[ ]"
+    rf"|\b(?:signed by|written by|{'|'.join(sorted(GREETINGS))})[ ]"
     r"|\b(?:my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε)[ ])$",
     re.IGNORECASE,
 )
@@ -163,12 +164,17 @@ def _full_name(m: re.Match, text: str) -> tuple[int, int, str, int] | None:
             return (*span(i, last(i)), "gf", 0)
     if len(names) == 1 and NAMED_BEFORE.search(before) and not _plain(names[0]):
         return (*span(0, 0), "g", 0)
-    if not 1 < len(names) < 4 or any(map(_plain, names)) or names[0].casefold() in BEFORE_PLACES:
+    greeted = names[0].casefold() in GREETINGS
+    if not 1 < len(names) - greeted < 4 or any(map(_plain, names)) or names[greeted].casefold() in BEFORE_PLACES:
         return None
+    if greeted:
+        return (*span(1, len(names) - 1), "gf", 0)
     if CUE_BEFORE.search(before) or ADDRESS_AFTER.match(text, m.end()):
         return (*span(0, len(names) - 1), "gf", 0)
-    weak = bool(WEAK_BEFORE.search(before)) + 2 * bool(WEAK_AFTER.match(text, m.end()))
-    return (*span(0, len(names) - 1), "gf", weak) if weak else None
+    told, telling = bool(WEAK_BEFORE.search(before)), bool(WEAK_AFTER.match(text, m.end()))
+    if telling:  # "Later Tunde Bakare said"
+        return (*span(len(names) - 2, len(names) - 1), "gf", 3 if told and len(names) == 2 else 2)
+    return (*span(0, 1), "gf", 1) if told else None
 
 
 def name_parts(name: str, form: str) -> list[tuple[int, int, str, str]]:
