@@ -355,6 +355,21 @@ def resolved_attribution(s: Store) -> DataFrame:
     return attribution.resolve_attribution(_utm_events(s).select("event_id", "utm_source", "utm_content"), _variants(s))
 
 
+@query
+def landed_events(s: Store) -> DataFrame:
+    """Behavioural events as their source sends them, with names from a taxonomy and their campaigns."""
+    text = lambda c: F.col(c).cast("string")
+    rows = _utm_events(s).join(s.events.select("event_id", "event_type", "ts"), "event_id")
+    sent = F.map_filter(F.create_map(F.lit("utm_source"), F.col("utm_source"), F.lit("utm_content"), F.col("utm_content"), F.lit("source_order_id"), F.lit("old")), lambda k, v: v.isNotNull())
+    raw = rows.select(
+        text("event_id").alias("external_id"), F.col("event_type").alias("event_name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"), F.lit("web").alias("source"), text("visitor").alias("anonymous_id"),
+        F.col("session").alias("session_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c"), text("visitor"))).otherwise("").alias("customer_id"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("o"), text("event_id"))).alias("order_id"), sent.alias("properties"),
+    )
+    got = payloads.normalize_events(raw, s.events.select(F.col("event_type").alias("event_name")).distinct(), _variants(s))
+    at = lambda n: F.get_json_object("properties", f"$.{n}")
+    return got.select(F.col("external_id").cast("long").alias("event_id"), "event_name", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "channel", "campaign", "variant", "customer_id", at("source_customer_id").alias("source_customer"), at("source_order_id").alias("source_order"))
+
+
 @query
 def late_attribution(s: Store) -> DataFrame:
     labelled = _utm_events(s).select("event_id", "utm_source", "utm_content", F.when(F.col("event_id") % 2 == 0, "old").alias("channel"), F.lit(None).cast("string").alias("campaign"), F.lit(None).cast("string").alias("variant"))

@@ -187,6 +187,10 @@ SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THE
     "resolved_attribution": f"""
 SELECT e.event_id, e.utm_source, e.utm_content, v.channel, v.campaign, v.variant FROM ({_UTM_EVENTS}) e
 LEFT JOIN ({_VARIANTS}) v ON v.source = nullif(e.utm_source, '') AND v.content = nullif(e.utm_content, '')""",
+    "landed_events": f"""
+SELECT e.event_id, o.event_type AS event_name, date_trunc('second', o.ts) AS occurred_at, v.channel, v.campaign, v.variant, CAST(NULL AS VARCHAR) AS customer_id,
+  CASE WHEN e.event_id % 3 = 0 THEN 'c' || CAST(o.user_id AS VARCHAR) END AS source_customer, CASE WHEN e.event_id % 4 = 0 THEN 'o' || CAST(e.event_id AS VARCHAR) END AS source_order
+FROM ({_UTM_EVENTS}) e JOIN events o ON o.event_id = e.event_id LEFT JOIN ({_VARIANTS}) v ON v.source = nullif(e.utm_source, '') AND v.content = nullif(e.utm_content, '')""",
     "late_attribution": f"""
 SELECT e.event_id, CASE WHEN e.event_id % 2 = 0 THEN 'old' ELSE v.channel END AS channel, CASE WHEN e.event_id % 2 = 1 THEN v.campaign END AS campaign, CASE WHEN e.event_id % 2 = 1 THEN v.variant END AS variant
 FROM ({_UTM_EVENTS}) e LEFT JOIN ({_VARIANTS}) v ON v.source = e.utm_source AND v.content = e.utm_content""",

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -383,6 +384,27 @@ def test_nesting(spark):
     assert got == {1: ["a", "b"], 2: []}
 
 
+def test_payloads_are_read_by_a_declared_schema(spark, tmp_path):
+    spark.createDataFrame([("1", '{"a": 1, "b": {"c": ["x"]}}'), ("2", "broken"), ("3", None)], "external_id string, payload string").write.parquet(f"{tmp_path}/raw")
+    got = {r["external_id"]: r["data"] for r in readers.read_payloads(spark, f"{tmp_path}/raw", "a int, b struct<c:array<string>>").collect()}
+    assert got["1"]["a"] == 1 and got["1"]["b"]["c"] == ["x"] and got["3"] is None and (got["2"] is None or got["2"]["a"] is None)
+
+
+def test_what_a_run_landed_is_read_back(spark):
+    landed = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "external_id string, n int")
+    assert sorted(r["n"] for r in sinks.payloads_for(landed, "external_id", ["a", "c", "z"]).collect()) == [1, 3]
+    assert sinks.payloads_for(landed, "external_id", []).count() == 0
+
+
+def test_reference_rows_converge_and_keep_what_people_own(spark):
+    base = spark.createDataFrame([("a", "Old", 5), ("b", "Stays", 6)], "slug string, name string, price int")
+    rows = spark.createDataFrame([("a", "New", 1), ("c", "Made", 7)], "slug string, name string, price int")
+    once = payloads.converge_reference(base, rows, ["name"])
+    want = [("a", "New", 5), ("b", "Stays", 6), ("c", "Made", 7)]
+    assert sorted(map(tuple, once.collect())) == want
+    assert sorted(map(tuple, payloads.converge_reference(once, rows, ["name"]).collect())) == want
+
+
 def test_landing_and_swap(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", datetime(2026, 1, 1))], "id int, name string, at timestamp")
     base = sinks.as_payload(df, "id")
@@ -497,16 +519,50 @@ def test_search_report_and_refit(spark, tmp_path):
     got = learning.report(pipeline, df.filter("post_id < 96"), df.filter("post_id >= 96"), 0.5, 2)
     assert got["passes"] == (got["test"] >= 0.6) and {r["platform"] for r in got["metrics"].collect()} == {"p0", "p1", None}
     learning.refit(pipeline, df, str(tmp_path), 0.4)
-    from pyspark.ml import PipelineModel
+    again, threshold = learning.load_model(spark, str(tmp_path))
+    assert learning.with_probability(again, df).count() == 120 and threshold == 0.4
+
 
-    again = learning.with_probability(PipelineModel.load(f"{tmp_path}/model"), df)
-    assert again.count() == 120 and spark.read.json(f"{tmp_path}/threshold").first()["threshold"] == 0.4
+def test_search_at_once_finds_what_a_loop_finds(spark):
+    rows = [(i, f"p{i % 3}", datetime(2026, 1, 1 + i // 24, i % 24), "video" if i % 3 else None, "#a " * (i % 5), i % 2 if i % 7 else 1 - i % 2) for i in range(180)]
+    posts = spark.createDataFrame(rows, "post_id long, platform string, posted_at timestamp, content_type string, caption string, label int")
+    df = social.expanding_folds(social.build_features(posts), 3).cache()
+    tried = learning.candidates("logistic", 4, 100)
+    loop = [(own, learning.accuracy(learning.oof_predict(pipeline, df, 3))) for own, pipeline in tried]
+    own, _, best = learning.search(tried, df, 3)
+    assert best == pytest.approx(max(a for _, a in loop)) and own == max(loop, key=lambda x: x[1])[0]
+
+
+def test_a_loaded_model_fills_categories_as_in_training(spark, tmp_path):
+    import subprocess
+    import sys
+
+    rows = [(i, "a" if i % 4 else None, "video", "Monday", "noon", 1.0, 20.0 + i % 5, float(i % 3), i % 2) for i in range(80)] + [(99, "b", "photo", "Friday", "night", 0.0, 3.0, 0.0, 1)]
+    schema = "post_id long, platform string, content_type string, day_of_week string, hour_bucket string, is_video double, caption_length double, hashtag_count double, label int"
+    df = spark.createDataFrame(rows, schema)
+    learning.refit(learning.logistic(1.0, 81), df, str(tmp_path), 0.4)
+    df.write.parquet(f"{tmp_path}/rows")
+    code = f"""
+from pyspark.sql import SparkSession
+from shopledger.operators import learning
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
+model, t = learning.load_model(spark, {str(tmp_path)!r})
+df = spark.read.parquet({str(tmp_path)!r} + '/rows').filter('post_id IN (8, 9)').drop('platform')
+from pyspark.sql import functions as F
+none = learning.score_with_reasons(model, df.withColumn('platform', F.lit(None).cast('string')), t).orderBy('post_id').collect()
+mode = learning.score_with_reasons(model, df.withColumn('platform', F.lit('a')), t).orderBy('post_id').collect()
+assert [(r['p'], r['reasons']) for r in none] == [(r['p'], r['reasons']) for r in mode]
+assert {{r['name'] for r in none[0]['reasons']}} and t == 0.4
+print('same')
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(Path(__file__).resolve().parents[1]), timeout=300)
+    assert "same" in done.stdout, done.stderr[-2000:]
 
 
 def test_missing_categories_take_the_mode_of_training(spark):
     train = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "platform string")
-    got = learning.with_modes(spark.createDataFrame([(None,), ("z",)], "platform string"), train, ["platform"])
-    assert [r["platform"] for r in got.collect()] == ["b", "z"]
+    model = learning.ModeFiller(["platform"]).fit(train)
+    assert [r["platform"] for r in model.transform(spark.createDataFrame([(None,), ("z",)], "platform string")).collect()] == ["b", "z"]
 
 
 def test_area_under_the_curve(spark):
