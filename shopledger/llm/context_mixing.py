@@ -27,6 +27,7 @@ from itertools import islice, repeat
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,14 +223,9 @@ class Vocabulary:
         return before[:-1] << 8 | keys, is_word
 
 
+#: ``kind`` is for words that of the text before them, from 0 to ``KINDS``.
 _UNITS = "kind int, unit binary, n long"
-WORD, FIRST, ENDS = 0, 1, 2
-
-
-def _units(words: dict, firsts: dict, ends: int) -> pa.RecordBatch:
-    units = [*words, *(k.to_bytes(4, "big") for k in firsts), b"\n"]
-    kinds = np.repeat(np.array([WORD, FIRST, ENDS], dtype=np.int32), [len(words), len(firsts), 1])
-    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(units, pa.binary()), pa.array([*words.values(), *firsts.values(), ends], pa.int64())], names=["kind", "unit", "n"])
+FIRST, ENDS = 100, 101
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +260,13 @@ def _count_units(groups: dict[bytes, int]):
         firsts: Counter[int] = Counter()
         ends = 0
 
-        def named() -> dict[bytes, int]:
+        def units() -> pa.RecordBatch:
             id_, kind = np.nonzero(counts)
-            words = list(met.known)
-            return {bytes([g]) + words[i]: n for i, g, n in zip(id_.tolist(), kind.tolist(), counts[id_, kind].tolist(), strict=True)}
+            other = [k.to_bytes(4, "big") for k in firsts] + [b"\n"]
+            kinds = np.concatenate([kind, np.repeat([FIRST, ENDS], [len(firsts), 1])]).astype(np.int32)
+            named = pa.concat_arrays([pa.array(list(met.known), pa.binary()).take(pa.array(id_)), pa.array(other, pa.binary())])
+            n = np.concatenate([counts[id_, kind], np.fromiter(firsts.values(), dtype=np.int64, count=len(firsts)), [ends]])
+            return pa.RecordBatch.from_arrays([pa.array(kinds), named, pa.array(n)], names=["kind", "unit", "n"])
 
         for batch in batches:
             flat, n = tokens(batch.column(0).cast(pa.binary()).to_pylist())
@@ -276,15 +275,16 @@ def _count_units(groups: dict[bytes, int]):
             kinds = kinds_before(met.group[ids], n)
             counts = np.concatenate([counts, np.zeros((len(fresh), KINDS + 1), dtype=np.int64)])
             np.add.at(counts.reshape(-1), ids * (KINDS + 1) + kinds[is_word], 1)
-            firsts.update(dict(zip(*(x.tolist() for x in np.unique(kinds << 24 | keys, return_counts=True)), strict=True)))
+            codes, every = pd.factorize(kinds << 24 | keys)
+            firsts.update(dict(zip(every.tolist(), np.bincount(codes).tolist(), strict=True)))
             ends += len(n)
             if len(met.known) > HELD_WORDS:
-                yield _units(named(), firsts, ends)
+                yield units()
                 met.clear()
                 firsts.clear()
                 counts, ends = counts[:0], 0
         if ends:
-            yield _units(named(), firsts, ends)
+            yield units()
 
     return of
 
@@ -359,10 +359,9 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[Words | np.ndarray, np.ndarr
     """The words, then the first bytes of a batch of units, each with counts."""
     kinds = np.asarray(batch.column(0))
     units, n = batch.column(1).to_pylist(), np.asarray(batch.column(2)).astype(float)
-    at = np.flatnonzero(kinds == WORD)
+    at = np.flatnonzero(kinds <= KINDS)
     if len(at):
-        some = [units[i] for i in at.tolist()]
-        yield Words([u[1:] for u in some], np.array([u[0] for u in some])), n[at]
+        yield Words([units[i] for i in at.tolist()], kinds[at]), n[at]
     at = np.flatnonzero(kinds == FIRST)
     if len(at):
         yield np.array([int.from_bytes(units[i], "big") for i in at.tolist()], dtype=np.int64), n[at]
@@ -582,7 +581,7 @@ class _Held(Vocabulary):
         return self.lp[ids, kinds]
 
     def first(self, keys: np.ndarray) -> np.ndarray:
-        every, place = np.unique(keys, return_inverse=True)
+        place, every = pd.factorize(keys)
         new = np.setdiff1d(every, self.heads, assume_unique=True)
         if len(new):
             at = np.searchsorted(self.heads, new)
@@ -657,7 +656,7 @@ def language_scores(docs: DataFrame, folds: int = 5, held: int = 1, slot_bits: i
     learned = docs.filter(~out_of)
     groups = word_groups(learned, frequent_words(learned))
     units = materialise(unit_counts(learned, groups))
-    words = units.filter(F.col("kind") == WORD).groupBy(F.expr("substring(unit, 2)").cast("string").alias("word")).agg(F.sum("n").alias("c"))
+    words = units.filter(F.col("kind") <= KINDS).groupBy(F.col("unit").cast("string").alias("word")).agg(F.sum("n").alias("c"))
     words = materialise(words)
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = units.filter(F.col("kind") == ENDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
