@@ -582,7 +582,7 @@ class _Held(Vocabulary):
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         place, every = pd.factorize(keys)
-        new = np.setdiff1d(every, self.heads, assume_unique=True)
+        new = np.sort(np.setdiff1d(every, self.heads, assume_unique=True))
         if len(new):
             at = np.searchsorted(self.heads, new)
             self.heads = np.insert(self.heads, at, new)
