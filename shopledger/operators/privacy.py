@@ -106,7 +106,8 @@ def classify_keys(events: DataFrame) -> DataFrame:
     An allowed name whose value is an object or a list counts as unreviewed, marked as such.
     """
     allowed = F.col("name").isin(*KEPT, *HASHED)
-    pairs = events.select(F.explode("properties").alias("name", "value"))
+    # not a plain explode: of that the optimiser makes a filter on the map's size, which parses every payload again
+    pairs = events.select(F.explode_outer("properties").alias("name", "value")).filter("name IS NOT NULL")
     nested = _nested(F.col("value")) if _typed(events) else F.lit(False)
     named = F.when(allowed & (F.col("name") != "distinct_id") & nested, F.concat("name", F.lit(NESTED))).otherwise(F.col("name"))
     keys = pairs.select(named.alias("name")).groupBy("name").agg(F.count("*").alias("n"))

@@ -1,6 +1,9 @@
 """Plans and steps whose work must not grow faster than their tables."""
 
 import pytest
+from pyspark.sql import functions as F
+
+from shopledger.operators import privacy
 from shopledger.plans import catalogue
 from shopledger.sources.views import VIEWS, Store
 
@@ -25,3 +28,9 @@ def test_events_are_those_of_the_shared_text(spark, tmp_path):
     s.events.write.parquet(f"{tmp_path}/events.parquet")
     s.pages.limit(0).write.parquet(f"{tmp_path}/pages.parquet")
     assert Store(spark, str(tmp_path)).f_event.count() == 0
+
+def test_names_are_counted_from_payloads_parsed_once(spark):
+    raw = spark.createDataFrame([(1, '{"zzz": 1, "$ip": "x"}'), (2, "{}"), (3, None), (4, "no object"), (5, '{"zzz": null}')], "id int, payload string")
+    got = privacy.classify_keys(raw.select(privacy.typed_properties(F.col("payload")).alias("properties")))
+    assert plan_of(got).count("from_json") == 1
+    assert sorted(map(tuple, got.collect())) == [("$ip", "dropped", 1), ("zzz", "unreviewed", 2)]
