@@ -79,8 +79,11 @@ def unit_cogs_at(lines: DataFrame, recipe: DataFrame, ingredient: DataFrame) ->
     recipe. Lines cross at most one shuffle, on item_id, where adaptive execution splits an item that
     holds many of them.
     """
-    steps = cost_steps(recipe, ingredient)
-    found = lines.join(steps, "item_id", "left")
+    return with_unit_cogs(lines.join(cost_steps(recipe, ingredient), "item_id", "left"))
+
+
+def with_unit_cogs(found: DataFrame) -> DataFrame:
+    """Lines (placed_at, steps) with the cost of their steps at that time in place of these; 0 without one."""
     cost = F.coalesce(step_at(F.col("steps"), F.col("placed_at").cast("timestamp_ntz")).cast("decimal(24,8)"), F.lit(0).cast("decimal(24,8)"))
     return found.withColumn("unit_cogs", cost).drop("steps")
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cents, count_or_null, duration_seconds, iso_ts, promised_at
-from .margin import unit_cogs_at
+from ..sources.scratch import materialise
+from .margin import cost_steps, with_unit_cogs
 from .quality import require_known
 
 PHOTO = "media_type string, media_product_type string, permalink string, timestamp string, caption string, insights struct<impressions:long,reach:long,likes:long,comments:long,shares:long,saved:long,clicks:long>"
@@ -161,11 +162,12 @@ def normalize_followers(raw: DataFrame) -> DataFrame:
 def normalize_orders(raw: DataFrame, menu: DataFrame, recipe: DataFrame, ingredient: DataFrame, channel: str = "direct") -> tuple[DataFrame, DataFrame]:
     """(orders, lines) of landed orders (external_id, payload).
 
-    Each line's cost is that of its dish's recipe when the order was placed, found by one join for
-    all lines. An unknown sku raises.
+    Each line's cost is that of its dish's recipe when the order was placed. The menu is priced first,
+    so that lines cross one join, on their sku. An unknown sku raises. Payloads are read and parsed once
+    and written as typed columns, of which the check of skus reads only these.
     """
     d = F.col("d")
-    parsed = raw.withColumn("d", F.from_json("payload", ORDER)).withColumn("placed_at", iso_ts(d["created_at"]))
+    parsed = materialise(raw.select("external_id", F.from_json("payload", ORDER).alias("d")).withColumn("placed_at", iso_ts(d["created_at"])))
     euros = lambda x: (x.cast("decimal(14,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(12,2)")
     nothing = F.lit(0).cast("decimal(12,2)")
     orders = parsed.select(
@@ -175,8 +177,8 @@ def normalize_orders(raw: DataFrame, menu: DataFrame, recipe: DataFrame, ingredi
     )
     lines = parsed.select(F.col("external_id").alias("order_id"), "placed_at", F.posexplode("d.items").alias("at", "item"))
     lines = lines.select("order_id", "placed_at", (F.col("at") + 1).alias("line_no"), F.col("item.sku").alias("slug"), F.col("item.quantity").cast("decimal(10,3)").alias("qty"), euros(F.col("item.unit_price_cents")).alias("unit_price"))
-    known = require_known(lines, menu, "slug").join(menu.select("slug", "item_id"), "slug")
-    priced = unit_cogs_at(known, recipe, ingredient)
+    dishes = menu.select("slug", "item_id").join(cost_steps(recipe, ingredient), "item_id", "left")
+    priced = with_unit_cogs(require_known(lines, menu, "slug").join(dishes, "slug"))
     return orders, priced.select("order_id", "line_no", "item_id", "qty", "unit_price", F.col("unit_cogs").cast("decimal(14,4)").alias("unit_cogs_at_time"))
 
 

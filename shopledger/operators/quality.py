@@ -34,8 +34,11 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | Non
 
 
 def require_known(df: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
-    """``df`` itself if ``dim`` knows all its values; else raises and names some."""
-    unknown = orphans(df, dim, key, dim_key).select(key).distinct().orderBy(key).limit(10).collect()
+    """``df`` itself if ``dim`` knows all its values; else raises and names some.
+
+    Only distinct values are looked up, so rows that repeat them do not cross a shuffle.
+    """
+    unknown = orphans(df.select(key).distinct(), dim, key, dim_key).orderBy(key).limit(10).collect()
     if unknown:
         raise UnknownValues(f"unknown {key}: {[r[0] for r in unknown]}")
     return df

@@ -34,3 +34,17 @@ def test_names_are_counted_from_payloads_parsed_once(spark):
     got = privacy.classify_keys(raw.select(privacy.typed_properties(F.col("payload")).alias("properties")))
     assert plan_of(got).count("from_json") == 1
     assert sorted(map(tuple, got.collect())) == [("$ip", "dropped", 1), ("zzz", "unreviewed", 2)]
+
+
+def test_lines_by_order_cross_one_shuffle(spark):
+    s = Store(spark, FOLDER)
+    plan = plan_of(s.f_order_line.groupBy("order_id").agg(F.collect_list("item_id").alias("items")))
+    assert plan.count("Exchange hashpartitioning") == 1
+    same = spark.sql(VIEWS["f_order_line"], lineitem=s.lineitem)
+    assert s.f_order_line.schema == same.schema and s.f_order_line.exceptAll(same).count() == same.exceptAll(s.f_order_line).count() == 0
+
+
+@pytest.mark.parametrize("name", ["landed_orders", "landed_order_lines"])
+def test_landed_payloads_are_parsed_once(spark, name):
+    plan = plan_of(catalogue.queries()[name](spark, FOLDER))
+    assert "from_json" not in plan and "to_json" not in plan  # the check of skus has had them parsed and written
