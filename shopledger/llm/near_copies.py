@@ -1,9 +1,11 @@
 """Near-copies of whole texts: groups by the Jaccard similarity of their word shingles.
 
-Texts at a similarity of 0.8 differ in about ten of 64 fingerprint bits, where no cell of pivot
-coordinates is sure; so candidates come from bands of least shingle hashes, and the fingerprints'
-distances to pivots only discard. Those of 25 bands of five least hashes find a pair at 0.8 but for
-about 0.67 ** 25, one in 20,000. The exact similarity of the shingle sets decides.
+Texts that stay are sought in two steps. First the fingerprints are linked by their pivot distance
+table, as in ``simhash``: it loses none within two bits. Texts at a similarity of 0.8 differ in about
+ten of 64 bits, where no cell of pivot coordinates is sure; so what lies beyond comes from bands of
+least shingle hashes, of which the distances to pivots discard. Those of 25 bands of five least hashes
+find a pair at 0.8 but for about 0.67 ** 25, one in 20,000. The exact similarity of the shingle sets
+decides in both.
 
 Small buckets of a band are paired. In the large ones every text is compared with one other of each;
 the texts of buckets that still hold several groups are joined on their rarest shingles, first by one
@@ -24,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, unused
-from .simhash import bit_counts, components, coordinates, distance, shingle_hashes
+from .simhash import bit_counts, components, coordinates, distance, fingerprint_links, shingle_hashes
 
 #: Permutations of the sketch; bands and their least hashes; pairs made of a bucket's texts up to so
 #: many; bits within which fingerprints of similar texts stay (about 10 expected, deviation 3).
 SKETCH, BANDS, ROWS, PAIR_UP_TO, SIMILAR_BITS = 128, 25, 5, 8, 22
+#: Bits within which the pivot distance table finds every pair of fingerprints.
+PIVOT_BITS = 2
 #: The sketch only discards: pairs whose estimate is four standard errors below the similarity.
 ERRORS = 4
 #: Rows of up to 16 bytes that go to all tasks at most; beyond, the join shuffles.
@@ -285,18 +289,37 @@ def _hub_pairs(left: DataFrame, turn: int) -> DataFrame:
     return some.unionByName(least).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _pivot_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes whose fingerprints the pivot distance table links, written.
+
+    Nodes of one fingerprint meet the first of them, which stands for them in links to others.
+    """
+    rows = nodes.filter("node <> 0").select("fp", "node", "rank")
+    firsts = materialise(rows.groupBy("fp").agg(F.min(F.struct("rank", "node")).alias("at")).select("fp", F.col("at.node").alias("hub")))
+    same = rows.join(firsts, "fp").filter("node <> hub").select("node", "hub")
+    links = fingerprint_links(firsts.select("fp"), PIVOT_BITS)
+    for side in "ab":
+        links = links.join(firsts.select(F.col("fp").alias(side), F.col("hub").alias(f"hub_{side}")), side)
+    pairs = same.unionByName(links.select(F.col("hub_a").alias("node"), F.col("hub_b").alias("hub")))
+    return materialise(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+
+
 def _represented(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """doc_id, copy (a hash of the text) and ``keeper`` (struct of both) of each row."""
     rows = materialise(_profiles(docs, size))
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "copy")
     nodes = rows.groupBy("node").agg(F.min(own).alias("first"), *[F.first(c).alias(c) for c in ("copy", "fp", "bands", "sketch")])
     nodes = materialise(nodes.withColumn("rank", F.coalesce("first.doc_id", F.lit((1 << 63) - 1))))
-    tried, large = _bucket_pairs(nodes)
-    large = materialise(large)
-    none = nodes.select("node", F.col("node").alias("keeper")).limit(0)
-    tried = materialise(tried.unionByName(_hub_pairs(_left_in_buckets(large, nodes, none), 0)).distinct())
+    tried = _pivot_pairs(nodes)
     links = _alike(tried, nodes, docs, size, similarity)
     gone = representatives(links, nodes)
+    beyond, large = _bucket_pairs(nodes)
+    large = materialise(large)
+    beyond = beyond.unionByName(_hub_pairs(_left_in_buckets(large, nodes, gone), 0)).distinct()
+    beyond = materialise(beyond.join(tried, ["a", "b"], "left_anti"))
+    tried = materialise(tried.unionByName(beyond))
+    links = materialise(links.unionByName(_alike(beyond, nodes, docs, size, similarity)))
+    gone = representatives(links, nodes)
     prefixes, placed, turn = None, None, 1
     while True:
         left = _left_in_buckets(large, nodes, gone)

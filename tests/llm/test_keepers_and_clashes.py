@@ -63,6 +63,34 @@ def test_large_groups_of_copies_leave_one(spark):
     assert stay == [0]
 
 
+def test_the_search_begins_with_the_pivot_distance_table(spark, monkeypatch):
+    class Reached(Exception):
+        pass
+
+    def links(fps, radius):
+        raise Reached(radius)
+
+    monkeypatch.setattr(near_copies, "fingerprint_links", links)
+    with pytest.raises(Reached, match="2"):
+        near_copies.drop_near_duplicates(table(spark, [prose(k, 30) for k in range(4)]))
+
+
+def test_pivot_pairs_join_what_lies_within_two_bits(spark):
+    texts = [" ".join([*_long(f"t{k}", 1500), f"end{i}"]) for k in range(6) for i in range(4)]
+    bits = [near_copies.profile(t, 5)[1] for t in texts]
+    root = list(range(len(texts)))
+    near = [(j, i) for i in range(len(texts)) for j in range(i) if ((bits[i] ^ bits[j]) & (2**64 - 1)).bit_count() <= 2]
+
+    def joined(pairs):
+        of = root.copy()
+        for a, b in pairs:
+            of = [of[a] if x == of[b] else x for x in of]
+        return sorted(sorted(i for i, x in enumerate(of) if x == y) for y in set(of))
+
+    got = near_copies._pivot_pairs(spark.createDataFrame([(i + 1, b, i) for i, b in enumerate(bits)], "node long, fp long, rank long"))
+    assert len(near) > 10 and joined(near) == joined([(r["a"] - 1, r["b"] - 1) for r in got.collect()])
+
+
 def test_representatives_equal_greedy_choice(spark):
     r = random.Random(4)
     for n, m in ((30, 40), (60, 300), (40, 15)):
