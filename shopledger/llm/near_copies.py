@@ -1,11 +1,11 @@
 """Near-copies of whole texts: groups by the Jaccard similarity of their word shingles.
 
-Texts that stay are sought in two steps. First the fingerprints are linked by their pivot distance
-table, as in ``simhash``: it loses none within two bits. Texts at a similarity of 0.8 differ in about
-ten of 64 bits, where no cell of pivot coordinates is sure; so what lies beyond comes from bands of
-least shingle hashes, of which the distances to pivots discard. Those of 25 bands of five least hashes
-find a pair at 0.8 but for about 0.67 ** 25, one in 20,000. The exact similarity of the shingle sets
-decides in both.
+Candidates come from two searches. The fingerprints are linked by their pivot distance table, as in
+``simhash``: it loses none within two bits. Texts at a similarity of 0.8 differ in about ten of 64
+bits, where no cell of pivot coordinates is sure; so what lies beyond comes from bands of least shingle
+hashes, of which the distances to pivots discard. Those of 25 bands of five least hashes find a pair at
+0.8 but for about 0.67 ** 25, one in 20,000. The exact similarity of the shingle sets decides, for both
+in one pass.
 
 Small buckets of a band are paired. In the large ones every text is compared with one other of each;
 the texts of buckets that still hold several groups are joined on their rarest shingles, first by one
@@ -266,16 +266,16 @@ def representatives(links: DataFrame, ranks: DataFrame) -> DataFrame:
             break
         went = materialise(open_.join(stays, "v").groupBy("u").agg(F.min("v_at").alias("at")).select("u", F.col("at.id").alias("keeper")))
         gone = went if gone is None else gone.unionByName(went)
-        decided = materialise(stays.unionByName(went.select(F.col("u").alias("v"))))
+        decided = stays.unionByName(went.select(F.col("u").alias("v")))
         open_ = materialise(open_.join(decided, "v", "left_anti").join(decided.withColumnRenamed("v", "u"), "u", "left_anti"))
     if gone is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("keeper")).limit(0)
     return materialise(gone.withColumnRenamed("u", "node"))
 
 
-def _left_in_buckets(large: DataFrame, nodes: DataFrame, gone: DataFrame) -> DataFrame:
+def _left_in_buckets(large: DataFrame, nodes: DataFrame, gone: DataFrame | None) -> DataFrame:
     """key, node, at (rank and node), and of its bucket n and the first ``at``: those that stay, of buckets where several do."""
-    rows = large.join(gone.select("node"), "node", "left_anti").join(nodes.select("node", F.struct("rank", "node").alias("at")), "node")
+    rows = (large if gone is None else large.join(gone.select("node"), "node", "left_anti")).join(nodes.select("node", F.struct("rank", "node").alias("at")), "node")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("least")).filter("n > 1")
     return materialise(rows.join(sizes, "key"))
 
@@ -290,7 +290,7 @@ def _hub_pairs(left: DataFrame, turn: int) -> DataFrame:
 
 
 def _pivot_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes whose fingerprints the pivot distance table links, written.
+    """Pairs a < b of nodes whose fingerprints the pivot distance table links.
 
     Nodes of one fingerprint meet the first of them, which stands for them in links to others.
     """
@@ -301,7 +301,7 @@ def _pivot_pairs(nodes: DataFrame) -> DataFrame:
     for side in "ab":
         links = links.join(firsts.select(F.col("fp").alias(side), F.col("hub").alias(f"hub_{side}")), side)
     pairs = same.unionByName(links.select(F.col("hub_a").alias("node"), F.col("hub_b").alias("hub")))
-    return materialise(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _represented(docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -310,15 +310,11 @@ def _represented(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "copy")
     nodes = rows.groupBy("node").agg(F.min(own).alias("first"), *[F.first(c).alias(c) for c in ("copy", "fp", "bands", "sketch")])
     nodes = materialise(nodes.withColumn("rank", F.coalesce("first.doc_id", F.lit((1 << 63) - 1))))
-    tried = _pivot_pairs(nodes)
-    links = _alike(tried, nodes, docs, size, similarity)
-    gone = representatives(links, nodes)
     beyond, large = _bucket_pairs(nodes)
     large = materialise(large)
-    beyond = beyond.unionByName(_hub_pairs(_left_in_buckets(large, nodes, gone), 0)).distinct()
-    beyond = materialise(beyond.join(tried, ["a", "b"], "left_anti"))
-    tried = materialise(tried.unionByName(beyond))
-    links = materialise(links.unionByName(_alike(beyond, nodes, docs, size, similarity)))
+    hubs = _hub_pairs(_left_in_buckets(large, nodes, None), 0)
+    tried = materialise(_pivot_pairs(nodes).unionByName(beyond).unionByName(hubs).distinct())  # judged at once: each pass is some twenty jobs
+    links = _alike(tried, nodes, docs, size, similarity)
     gone = representatives(links, nodes)
     prefixes, placed, turn = None, None, 1
     while True:

@@ -143,3 +143,18 @@ def test_a_repeated_document_does_not_swell_the_sample(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     rows = quality_classifier.quality_scores(docs, labels).collect()
     assert len(rows) == 80 and len({r["score"] for r in rows}) <= 2
+
+
+def test_candidates_of_both_searches_are_judged_in_one_pass(spark, monkeypatch):
+    seen, alike = [], near_copies._alike
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    base = [_long(f"p{k}", 1500) for k in range(3)]
+    texts = [" ".join([*words, f"end{i}"]) for words in base for i in range(2)]  # few bits apart
+    texts += [" ".join([*_long(f"b{k}", 200), *(["more"] * 12 if i else [])]) for k in range(3) for i in range(2)]
+    keeper = dict(near_copies.kept_copies(table(spark, texts)).collect())
+    assert sorted(set(keeper.values())) == list(range(0, 12, 2)) and len(seen) == 1 and seen[0] >= 6
