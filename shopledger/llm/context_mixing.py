@@ -50,6 +50,8 @@ WORKER_UNITS = 500_000
 FREQUENT = 1_000_000
 #: Distinct words that a task holds at a time.
 HELD_WORDS = 450_000
+#: Steps of words that are decided at a time.
+AT_ONCE = 100_000
 RATE, FIRST_WEIGHT = 0.1, 0.3
 #: Log odds are kept in a byte, in steps of this, up to 127 of them.
 ODDS_STEP = 0.1
@@ -123,8 +125,42 @@ def _decide(code: Code, contexts: list[np.ndarray], symbols: np.ndarray, unit: n
     return Decisions(unit[of], code.bit[flat], slots, place[of])
 
 
-def word_decisions(words: list[bytes], kinds: np.ndarray, code: Code) -> Decisions:
-    """All of each word but its first byte, and the space that ends it; ``kinds`` tells of the text before it."""
+class Steps(NamedTuple):
+    """The distinct steps of some words from a beginning to its next byte, and the word and the step of each byte."""
+
+    contexts: list[np.ndarray]
+    symbols: np.ndarray
+    place: np.ndarray
+    word: np.ndarray
+    step: np.ndarray
+
+    def decisions(self, code: Code, part: slice = slice(None)) -> Decisions:
+        """Those of some of the steps, which are the units."""
+        symbols = self.symbols[part]
+        return _decide(code, [c[part] for c in self.contexts], symbols, np.arange(len(symbols)), self.place[part])
+
+
+def _alike_steps(key: np.ndarray, symbols: np.ndarray, place: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's step, and a byte of each step: ``key`` is a hash of what makes a step, ``heads`` has it for first bytes.
+
+    Should one hash ever stand for several steps, which the steps before and the bytes show, none are shared.
+    """
+    step, every = pd.factorize(key)
+    some = np.empty(len(every), dtype=np.int64)
+    some[step[::-1]] = np.arange(len(key) - 1, -1, -1)  # the first byte of each
+    before = np.concatenate([[0], step[:-1]])
+    before = np.where(place == 1, heads, before)
+    first = some[step]
+    if ((before == before[first]) & (symbols == symbols[first]) & (place == place[first])).all():
+        return step, some
+    return np.arange(len(key)), np.arange(len(key))
+
+
+def word_steps(words: list[bytes], kinds: np.ndarray) -> Steps:
+    """All of each word but its first byte, and the space that ends it; ``kinds`` tells of the text before it.
+
+    Words that begin alike share the steps of their common beginning, as all contexts lie in it.
+    """
     raw = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -135,13 +171,15 @@ def word_decisions(words: list[bytes], kinds: np.ndarray, code: Code) -> Decisio
         powers = np.cumprod(np.full(len(raw), _BASE, dtype=np.uint64))
         back = np.cumprod(np.full(len(raw), _INVERSE, dtype=np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + _U(1)) * powers)])
-        whole = (sums[at] - sums[starts[unit]]) * back[starts[unit]]  # of the word so far
-        kind = (kinds[unit].astype(np.uint64) + _U(1)) << _U(48)
+        begun, shift, kind = sums[starts][unit], back[starts][unit], ((kinds.astype(np.uint64) + _U(1)) << _U(48))[unit]
+        step, some = _alike_steps((sums[at + 1] - begun) * shift + kind, raw[at], place, (raw[starts].astype(np.int64) << 8 | kinds)[unit])
+        at, place, kind = at[some], place[some], kind[some]
+        whole = (sums[at] - begun[some]) * shift[some]  # of the word so far
         before = [np.where(place >= d, raw[np.maximum(at - d, 0)], 0).astype(np.uint64) << _U(8 * (d - 1)) for d in range(1, 5)]
         two = before[0] | before[1]
         three = two | before[2]
         contexts = [before[0] | kind, two | kind, three | kind, three | before[3], whole + kind, whole]
-    return _decide(code, contexts, raw[at], unit, np.minimum(place, PLACES - 1))
+    return Steps(contexts, raw[at], np.minimum(place, PLACES - 1), unit, step)
 
 
 def first_decisions(keys: np.ndarray, code: Code) -> Decisions:
@@ -159,6 +197,12 @@ def tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     return [w for ws in split for w in ws], np.fromiter(map(len, split), dtype=np.int64, count=len(split))
 
 
+def distinct(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words as they are met, and the place of each word among them."""
+    found = pa.array(words, pa.binary()).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+
+
 def kinds_before(group: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each token, ends included, the group of frequent words met most before it in its text; 0 if none was.
 
@@ -188,7 +232,8 @@ class Numbered(dict):
         return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        every, at = distinct(words)
+        return np.fromiter(map(self.__getitem__, every), dtype=np.int64, count=len(every))[at]
 
 
 class Vocabulary:
@@ -237,8 +282,8 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            words.update((text or b"").lower().split())
+        every, at = distinct(tokens(batch.column(0).cast(pa.binary()).to_pylist())[0])
+        words.update(dict(zip(every, np.bincount(at, minlength=len(every)).tolist(), strict=True)))
         if len(words) > HELD_WORDS:
             yield most()
             words.clear()
@@ -311,8 +356,10 @@ def word_groups(docs: DataFrame, anchors: list[bytes]) -> dict[bytes, int]:
         for batch in batches:
             found = np.zeros((batch.num_rows, len(at) + 1))
             found[:, -1] = 1
-            for i, text in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
-                found[i, [at[w] for w in at.keys() & set((text or b"").lower().split())]] = 1
+            words, n = tokens(batch.column(0).cast(pa.binary()).to_pylist())
+            every, place = distinct(words)
+            anchor = np.fromiter(map(at.get, every, repeat(-1)), dtype=np.int64, count=len(every))[place]
+            found[np.repeat(np.arange(len(n)), n)[anchor >= 0], anchor[anchor >= 0]] = 1
             shared += (found.T @ found).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(shared.size)), pa.array(shared.reshape(-1))], names=["pair", "n"])
 
@@ -381,8 +428,29 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
 
-def _decisions(units: Words | np.ndarray, code: Code) -> Decisions:
-    return word_decisions(*units, code) if isinstance(units, Words) else first_decisions(units, code)
+def _weighed(units: Words | np.ndarray, n: np.ndarray, code: Code) -> Iterator[tuple[Decisions, np.ndarray]]:
+    """The units' decisions, ``AT_ONCE`` steps of words or so at a time, each with its count."""
+    if not isinstance(units, Words):
+        d = first_decisions(units, code)
+        yield d, n[d.unit]
+        return
+    steps = word_steps(*units)
+    counts = np.bincount(steps.step, weights=n[steps.word], minlength=len(steps.symbols))
+    for at in range(0, len(counts), AT_ONCE):
+        d = steps.decisions(code, slice(at, at + AT_ONCE))
+        yield d, counts[at : at + AT_ONCE][d.unit]
+
+
+def _together(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The batches, some joined to about ``rows``: more words that begin alike."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(map(len, some)) >= rows:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
 
 
 def _fill(code: Code):
@@ -390,12 +458,11 @@ def _fill(code: Code):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 << code.slot_bits)
-        for batch in batches:
+        for batch in _together(batches):
             for units, n in _parts(batch):
-                d = _decisions(units, code)
-                weight = n[d.unit]
-                for slots in d.slots:
-                    np.add.at(table, slots * 2 + d.bit, weight)
+                for d, weight in _weighed(units, n, code):
+                    for slots in d.slots:
+                        np.add.at(table, slots * 2 + d.bit, weight)
         blocks = table.reshape(-1, 1 << BLOCK_BITS)
         for at in range(0, len(blocks), 64):
             some = [(b, np.flatnonzero(blocks[b])) for b in range(at, min(at + 64, len(blocks)))]
@@ -444,27 +511,26 @@ def _learn(shared, code: Code):
         ones, all_ = np.zeros(GATES * STEPS), np.zeros(GATES * STEPS)
         for batch in batches:
             for units, n in _parts(batch):
-                d = _decisions(units, code)
-                own = d.bit.astype(np.float32)
-                x, total = [], None
-                for slots in d.slots:  # without the occurrence that is predicted
-                    zeros, one = np.maximum(table[slots * 2] - (1 - own), 0), np.maximum(table[slots * 2 + 1] - own, 0)
-                    x.append(_odds(zeros, one))
-                    if len(x) == SURE + 1:
-                        total = zeros + one
-                gate = _gate(d.place, _seen(total))
-                logit = sum(w[gate, k] * x[k] for k in range(CONTEXTS))
-                weight = n[d.unit]
-                step = gate * STEPS + _step(logit)
-                ones += np.bincount(step, weights=weight * own, minlength=len(ones))
-                all_ += np.bincount(step, weights=weight, minlength=len(ones))
-                error = weight * (own - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-                size = np.bincount(gate, weights=weight, minlength=GATES)
-                for k in range(CONTEXTS):
-                    g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(size, 1)
-                    squares[:, k] += g * g
-                    w[:, k] += RATE * g / np.sqrt(squares[:, k] + 1e-4)
-                mass += size
+                for d, weight in _weighed(units, n, code):
+                    own = d.bit.astype(np.float32)
+                    x, total = [], None
+                    for slots in d.slots:  # without the occurrence that is predicted
+                        zeros, one = np.maximum(table[slots * 2] - (1 - own), 0), np.maximum(table[slots * 2 + 1] - own, 0)
+                        x.append(_odds(zeros, one))
+                        if len(x) == SURE + 1:
+                            total = zeros + one
+                    gate = _gate(d.place, _seen(total))
+                    logit = sum(w[gate, k] * x[k] for k in range(CONTEXTS))
+                    step = gate * STEPS + _step(logit)
+                    ones += np.bincount(step, weights=weight * own, minlength=len(ones))
+                    all_ += np.bincount(step, weights=weight, minlength=len(ones))
+                    error = weight * (own - 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+                    size = np.bincount(gate, weights=weight, minlength=GATES)
+                    for k in range(CONTEXTS):
+                        g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(size, 1)
+                        squares[:, k] += g * g
+                        w[:, k] += RATE * g / np.sqrt(squares[:, k] + 1e-4)
+                    mass += size
         out = [(0, i, float(w.flat[i]), float(mass[i // CONTEXTS])) for i in range(w.size)] + [(1, i, float(ones[i]), float(all_[i])) for i in range(len(ones)) if all_[i]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["what", "at", "value", "weight"])
 
@@ -575,9 +641,13 @@ class _Held(Vocabulary):
         missing = np.flatnonzero(np.isnan(self.lp[ids, kinds]))
         _, some = np.unique(ids[missing] * (KINDS + 1) + kinds[missing], return_index=True)
         missing = missing[some]
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            self.lp[ids[some], kinds[some]] = self.model.log_probabilities(word_decisions([words[i] for i in some.tolist()], kinds[some], self.model.code), len(some))
+        for at in range(0, len(missing), 50_000):
+            some = missing[at : at + 50_000]
+            steps = word_steps([words[i] for i in some.tolist()], kinds[some])
+            lp = np.zeros(len(steps.symbols))
+            for a in range(0, len(lp), AT_ONCE):
+                lp[a : a + AT_ONCE] = self.model.log_probabilities(steps.decisions(self.model.code, slice(a, a + AT_ONCE)), len(lp[a : a + AT_ONCE]))
+            self.lp[ids[some], kinds[some]] = np.bincount(steps.word, weights=lp[steps.step], minlength=len(some))
         return self.lp[ids, kinds]
 
     def first(self, keys: np.ndarray) -> np.ndarray:

@@ -187,3 +187,28 @@ def test_nothing_nulls_and_repeats(spark):
     assert sorted((r["doc_id"] is None, r["held_out"], r["n_tokens"]) for r in rows) == [(False, held, 3), (False, held, 3), (True, False, 1)]
     only_held = table(spark, ["a b c"] * 40).filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in cm.language_scores(only_held, slot_bits=BITS).collect()} == {(0, 0, 0.0)}
+
+
+def test_words_that_begin_alike_share_steps(monkeypatch):
+    words = [b"abcd", b"abce", b"abcd", b"ab", b"b", b"abcd"]
+    kinds = np.array([0, 0, 1, 0, 2, 0])
+    code = cm.prefix_code(np.ones(256), BITS)
+    steps = cm.word_steps(words, kinds)
+    # of kind 0: b, c, d, e, the ends of ab, abcd, abce; of kind 1: b, c, d, end; of kind 2: the end of b
+    assert len(steps.symbols) == 12 and len(steps.step) == sum(map(len, words))
+    apart = [cm.word_steps([w], kinds[i : i + 1]) for i, w in enumerate(words)]
+    for i, one in enumerate(apart):
+        mine = steps.step[steps.word == i]
+        assert all((c[mine] == o).all() for c, o in zip(steps.contexts, one.contexts, strict=True))
+        assert (steps.symbols[mine] == one.symbols).all() and (steps.place[mine] == one.place).all()
+    weighed = [(d, n) for d, n in cm._weighed(cm.Words(words, kinds), np.arange(1.0, 7.0), code)]
+    assert sum(len(d.bit) for d, _ in weighed) == 12 * 8 and sum(n.sum() for _, n in weighed) == 8 * sum(n * len(w) for n, w in enumerate(words, 1))
+
+
+def test_steps_of_one_hash_stay_apart():
+    symbols, place = np.frombuffer(b"abab", dtype=np.uint8), np.array([1, 2, 1, 2])
+    heads = np.array([5, 5, 6, 6])
+    step, some = cm._alike_steps(np.array([1, 2, 3, 2], dtype=np.uint64), symbols, place, heads)  # the same byte after different ones
+    assert step.tolist() == some.tolist() == [0, 1, 2, 3]
+    step, some = cm._alike_steps(np.array([1, 2, 1, 2], dtype=np.uint64), symbols, place, np.array([5, 5, 5, 5]))
+    assert step.tolist() == [0, 1, 0, 1] and some.tolist() == [0, 1]
