@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +141,12 @@ class Steps(NamedTuple):
         return _decide(code, [c[part] for c in self.contexts], symbols, np.arange(len(symbols)), self.place[part])
 
 
+def _laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the words, each ended by a space, where each word starts, and its length."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8), np.cumsum(lengths + 1) - lengths - 1, lengths
+
+
 def _alike_steps(key: np.ndarray, symbols: np.ndarray, place: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each byte's step, and a byte of each step: ``key`` is a hash of what makes a step, ``heads`` has it for first bytes.
 
@@ -161,9 +168,7 @@ def word_steps(words: list[bytes], kinds: np.ndarray) -> Steps:
 
     Words that begin alike share the steps of their common beginning, as all contexts lie in it.
     """
-    raw = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    starts = np.cumsum(lengths + 1) - lengths - 1
+    raw, starts, lengths = _laid(words)
     at = runs_to_index(starts + 1, lengths)
     unit = np.repeat(np.arange(len(words)), lengths)
     place = at - starts[unit]
@@ -191,16 +196,21 @@ def first_decisions(keys: np.ndarray, code: Code) -> Decisions:
     return _decide(code, contexts, keys & 0xFF, np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64))
 
 
-def tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
-    """All words of the texts, and how many each has."""
-    split = [(t or b"").lower().split() for t in texts]
-    return [w for ws in split for w in ws], np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of the texts, by their place among the distinct ones, and how many each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    split = pc.ascii_split_whitespace(trimmed)
+    blank = pc.equal(pc.binary_length(trimmed), 0)  # such a text is split into one empty word
+    words, n = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    if pc.any(blank).as_py():
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+        n -= blank.to_numpy(zero_copy_only=False)
+    return words.dictionary_encode(), n
 
 
-def distinct(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words as they are met, and the place of each word among them."""
-    found = pa.array(words, pa.binary()).dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+def listed(words: pa.Array) -> list[bytes]:
+    """Words as bytes; several times as fast as ``to_pylist``."""
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def kinds_before(group: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -232,8 +242,7 @@ class Numbered(dict):
         return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        every, at = distinct(words)
-        return np.fromiter(map(self.__getitem__, every), dtype=np.int64, count=len(every))[at]
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 class Vocabulary:
@@ -247,14 +256,17 @@ class Vocabulary:
         self.known, self.group = Numbered(), np.zeros(0, dtype=np.int8)
         self.first_byte, self.last_bytes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    def ids(self, words: pa.DictionaryArray) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of the words, and the words that are new."""
         before = len(self.known)
-        ids = self.known.of(words)
+        ids = np.take(self.known.of(listed(words.dictionary)), words.indices.to_numpy())
         fresh = list(islice(self.known, before, None))
+        raw, starts, lengths = _laid(fresh)
+        ends = starts + lengths
+        last_bytes = raw[ends - 1] | np.where(lengths > 1, raw[ends - 2], 0).astype(np.int64) << 8
         self.group = np.concatenate([self.group, np.fromiter(map(self.groups.get, fresh, repeat(0)), dtype=np.int8, count=len(fresh))])
-        self.first_byte = np.concatenate([self.first_byte, np.fromiter((w[0] for w in fresh), dtype=np.int64, count=len(fresh))])
-        self.last_bytes = np.concatenate([self.last_bytes, np.fromiter((w[-1] if len(w) == 1 else w[-1] | w[-2] << 8 for w in fresh), dtype=np.int64, count=len(fresh))])
+        self.first_byte = np.concatenate([self.first_byte, raw[starts]])
+        self.last_bytes = np.concatenate([self.last_bytes, last_bytes])
         return ids, fresh
 
     def keys(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +294,8 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        every, at = distinct(tokens(batch.column(0).cast(pa.binary()).to_pylist())[0])
-        words.update(dict(zip(every, np.bincount(at, minlength=len(every)).tolist(), strict=True)))
+        found, _ = tokens(batch.column(0))
+        words.update(dict(zip(listed(found.dictionary), np.bincount(found.indices, minlength=len(found.dictionary)).tolist(), strict=True)))
         if len(words) > HELD_WORDS:
             yield most()
             words.clear()
@@ -314,8 +326,8 @@ def _count_units(groups: dict[bytes, int]):
             return pa.RecordBatch.from_arrays([pa.array(kinds), named, pa.array(n)], names=["kind", "unit", "n"])
 
         for batch in batches:
-            flat, n = tokens(batch.column(0).cast(pa.binary()).to_pylist())
-            ids, fresh = met.ids(flat)
+            words, n = tokens(batch.column(0))
+            ids, fresh = met.ids(words)
             keys, is_word = met.keys(ids, n)
             kinds = kinds_before(met.group[ids], n)
             counts = np.concatenate([counts, np.zeros((len(fresh), KINDS + 1), dtype=np.int64)])
@@ -356,9 +368,9 @@ def word_groups(docs: DataFrame, anchors: list[bytes]) -> dict[bytes, int]:
         for batch in batches:
             found = np.zeros((batch.num_rows, len(at) + 1))
             found[:, -1] = 1
-            words, n = tokens(batch.column(0).cast(pa.binary()).to_pylist())
-            every, place = distinct(words)
-            anchor = np.fromiter(map(at.get, every, repeat(-1)), dtype=np.int64, count=len(every))[place]
+            words, n = tokens(batch.column(0))
+            every = listed(words.dictionary)
+            anchor = np.fromiter(map(at.get, every, repeat(-1)), dtype=np.int64, count=len(every))[words.indices.to_numpy()]
             found[np.repeat(np.arange(len(n)), n)[anchor >= 0], anchor[anchor >= 0]] = 1
             shared += (found.T @ found).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(shared.size)), pa.array(shared.reshape(-1))], names=["pair", "n"])
@@ -405,7 +417,7 @@ class Words(NamedTuple):
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[Words | np.ndarray, np.ndarray]]:
     """The words, then the first bytes of a batch of units, each with counts."""
     kinds = np.asarray(batch.column(0))
-    units, n = batch.column(1).to_pylist(), np.asarray(batch.column(2)).astype(float)
+    units, n = listed(batch.column(1)), np.asarray(batch.column(2)).astype(float)
     at = np.flatnonzero(kinds <= KINDS)
     if len(at):
         yield Words([units[i] for i in at.tolist()], kinds[at]), n[at]
@@ -419,9 +431,7 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for units, n in _parts(batch):
             if isinstance(units, Words):
-                raw = np.frombuffer(b" ".join(units.words) + b" ", dtype=np.uint8)
-                lengths = np.fromiter(map(len, units.words), dtype=np.int64, count=len(units.words))
-                starts = np.cumsum(lengths + 1) - lengths - 1
+                raw, starts, lengths = _laid(units.words)
                 total += np.bincount(raw[runs_to_index(starts + 1, lengths)], weights=np.repeat(n, lengths), minlength=256)
             else:
                 total += np.bincount(units & 0xFF, weights=n, minlength=256)
@@ -630,25 +640,32 @@ class _Held(Vocabulary):
         super().clear()
         self.lp, self.count = np.zeros((0, KINDS + 1), dtype=np.float32), np.zeros(0, dtype=np.int64)
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    def ids(self, words: pa.DictionaryArray) -> tuple[np.ndarray, list[bytes]]:
         ids, fresh = super().ids(words)
         self.lp = np.concatenate([self.lp, np.full((len(fresh), KINDS + 1), np.nan, dtype=np.float32)])
         self.count = np.concatenate([self.count, np.fromiter(map(self.frequent.get, fresh, repeat(-1)), dtype=np.int64, count=len(fresh))])
         return ids, fresh
 
-    def rest(self, words: list[bytes], ids: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    def rest(self, words: pa.DictionaryArray, ids: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Log probabilities of all but the first bytes."""
-        missing = np.flatnonzero(np.isnan(self.lp[ids, kinds]))
-        _, some = np.unique(ids[missing] * (KINDS + 1) + kinds[missing], return_index=True)
-        missing = missing[some]
-        for at in range(0, len(missing), 50_000):
-            some = missing[at : at + 50_000]
-            steps = word_steps([words[i] for i in some.tolist()], kinds[some])
-            lp = np.zeros(len(steps.symbols))
-            for a in range(0, len(lp), AT_ONCE):
-                lp[a : a + AT_ONCE] = self.model.log_probabilities(steps.decisions(self.model.code, slice(a, a + AT_ONCE)), len(lp[a : a + AT_ONCE]))
-            self.lp[ids[some], kinds[some]] = np.bincount(steps.word, weights=lp[steps.step], minlength=len(some))
-        return self.lp[ids, kinds]
+        held, at = self.lp.reshape(-1), ids * (KINDS + 1) + kinds
+        lp = np.take(held, at)
+        missing = np.flatnonzero(np.isnan(lp))
+        if len(missing):
+            _, some = np.unique(at[missing], return_index=True)
+            missing = missing[some]
+            for a in range(0, len(missing), 50_000):
+                some = missing[a : a + 50_000]
+                held[at[some]] = self.decided(listed(words.dictionary.take(words.indices.take(pa.array(some)))), kinds[some])
+            lp = np.take(held, at)
+        return lp
+
+    def decided(self, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
+        steps = word_steps(words, kinds)
+        lp = np.zeros(len(steps.symbols))
+        for a in range(0, len(lp), AT_ONCE):
+            lp[a : a + AT_ONCE] = self.model.log_probabilities(steps.decisions(self.model.code, slice(a, a + AT_ONCE)), len(lp[a : a + AT_ONCE]))
+        return np.bincount(steps.word, weights=lp[steps.step], minlength=len(words))
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         place, every = pd.factorize(keys)
@@ -667,7 +684,7 @@ def _score(model, frequent, groups: dict[bytes, int], ends: int, base_of):
     """The result rows of texts but for the words that are not frequent, which come along with their counts."""
 
     def one(batch: pa.RecordBatch, held: _Held) -> pa.RecordBatch:
-        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        texts = batch.column(2)
         words, n = tokens(texts)
         ids, _ = held.ids(words)
         keys, is_word = held.keys(ids, n)
@@ -691,10 +708,11 @@ def _score(model, frequent, groups: dict[bytes, int], ends: int, base_of):
         rare = head[held.count[ids[order[head]]] < 0]
         at = order[rare]  # by text
         offsets = np.searchsorted(text[at], np.arange(len(texts) + 1)).astype(np.int32)
-        listed = pa.StructArray.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()).cast(pa.string()), pa.array(sizes[np.searchsorted(head, rare)], pa.int64())], names=["word", "n"])
-        lists = pa.ListArray.from_arrays(pa.array(offsets), listed)
+        uncommon = words.dictionary.take(words.indices.take(pa.array(at))).cast(pa.string())
+        counted = pa.StructArray.from_arrays([uncommon, pa.array(sizes[np.searchsorted(head, rare)], pa.int64())], names=["word", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), counted)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), pa.array([len(t or b"") for t in texts], pa.int64()), lists],
+            [batch.column(0), batch.column(1), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), lists],
             names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rare"],
         )
 

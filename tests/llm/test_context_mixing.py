@@ -212,3 +212,34 @@ def test_steps_of_one_hash_stay_apart():
     assert step.tolist() == some.tolist() == [0, 1, 2, 3]
     step, some = cm._alike_steps(np.array([1, 2, 1, 2], dtype=np.uint64), symbols, place, np.array([5, 5, 5, 5]))
     assert step.tolist() == [0, 1, 0, 1] and some.tolist() == [0, 1]
+
+
+def _arrow(texts):
+    """Texts as Spark hands them over, which need not be valid UTF-8."""
+    import pyarrow as pa
+
+    raw = pa.array(texts, pa.binary())
+    return pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())
+
+
+def test_tokens_split_at_the_six_spaces_only():
+    texts = [None, b"", b" \t\n", b"a", b" A  b\x0b\x0cC\x1c\x1fd \r", "ÉA\x85b\xa0c".encode(), b"\xff A\x80b ", b"a\x00B a"]
+    for some in (texts, texts[:2], [None], []):
+        words, n = cm.tokens(_arrow(some))
+        split = [(t or b"").lower().split() for t in some]
+        assert n.tolist() == [len(s) for s in split]
+        assert [cm.listed(words.dictionary)[i] for i in words.indices.to_pylist()] == [w for s in split for w in s]
+
+
+def test_passes_make_no_object_for_each_word():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([_arrow([b"Some words " * 250_000, b"words"])], names=["text"])
+    tracemalloc.start()
+    (found,) = cm._often(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)) == {b"some": 250_000, b"words": 250_001}
+    assert peak < 24 * 500_000  # numbers of half a million words take 12 bytes each, objects in a list took 60
