@@ -51,8 +51,8 @@ WORKER_UNITS = 500_000
 FREQUENT = 1_000_000
 #: Distinct words that a task holds at a time.
 HELD_WORDS = 450_000
-#: Steps of words that are decided at a time.
-AT_ONCE = 100_000
+#: Steps of words that are decided at a time; while texts are scored, so few that what is known of them stays in a core's cache.
+AT_ONCE, SCORED_AT_ONCE = 100_000, 20_000
 RATE, FIRST_WEIGHT = 0.1, 0.3
 #: Log odds are kept in a byte, in steps of this, up to 127 of them.
 ODDS_STEP = 0.1
@@ -113,14 +113,16 @@ def _decide(code: Code, contexts: list[np.ndarray], symbols: np.ndarray, unit: n
     node = code.node[flat]
     part, low = node >> _U(4), node & _U(15)
     odd = np.flatnonzero(part != _U(15))  # all but the first steps of a byte, or so
-    place_of = lambda c, p: ((c ^ p * _U(0xD6E8FEB86659FD93)) * _U(0xC2B2AE3D27D4EB4F)) >> _U(68 - code.slot_bits) << _U(4) | c & _U(15)
+    of_odd = of[odd]
+    place_of = lambda c, p: ((c ^ p) * _U(0xC2B2AE3D27D4EB4F)) >> _U(68 - code.slot_bits) << _U(4) | c & _U(15)
     slots = []
     with np.errstate(over="ignore"):
+        most, others = _U(15) * _U(0xD6E8FEB86659FD93), part[odd] * _U(0xD6E8FEB86659FD93)
         for k, c in enumerate(contexts):  # a context's nodes lie side by side, sixteen at a time
             mixed = (c + _U(k + 1)) * _U(_BASE)
             mixed ^= mixed >> _U(29)
-            at = place_of(mixed, _U(15))[of]
-            at[odd] = place_of(mixed[of[odd]], part[odd])
+            at = np.take(place_of(mixed, most), of)
+            at[odd] = place_of(np.take(mixed, of_odd), others)
             at ^= low
             slots.append(at.view(np.int64))
     return Decisions(unit[of], code.bit[flat], slots, place[of])
@@ -663,8 +665,9 @@ class _Held(Vocabulary):
     def decided(self, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
         steps = word_steps(words, kinds)
         lp = np.zeros(len(steps.symbols))
-        for a in range(0, len(lp), AT_ONCE):
-            lp[a : a + AT_ONCE] = self.model.log_probabilities(steps.decisions(self.model.code, slice(a, a + AT_ONCE)), len(lp[a : a + AT_ONCE]))
+        for a in range(0, len(lp), SCORED_AT_ONCE):
+            some = slice(a, a + SCORED_AT_ONCE)
+            lp[some] = self.model.log_probabilities(steps.decisions(self.model.code, some), len(lp[some]))
         return np.bincount(steps.word, weights=lp[steps.step], minlength=len(words))
 
     def first(self, keys: np.ndarray) -> np.ndarray:
