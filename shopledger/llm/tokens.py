@@ -27,7 +27,7 @@ UNUSUAL_SPACE = (
 _UNUSUAL_ARROW = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNUSUAL_SPACE) + "]"
 _UNUSUAL = re.compile("[" + "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in UNUSUAL_SPACE) + "]")
 #: Texts that are encoded at once: more cost memory, fewer time.
-TEXTS_AT_ONCE = 500
+TEXTS_AT_ONCE = 200
 #: A text with either is cut by Python, not by Arrow.
 NOT_PLAIN = r"[ \t\n\r\v\f][ \t\n\r\v\f]|" + _UNUSUAL_ARROW
 PIECE = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
@@ -106,14 +106,22 @@ class CachedEncoder:
             return [AS_IS + text]
         return [p[1:] if p[0] == " " and p[1:2] != "\n" else AS_IS + p for p in PIECE.findall(text)]
 
+    def _places(self, pieces: pa.Array, first: int) -> np.ndarray:
+        """Each distinct piece's place among the known ones from ``first`` on, else -1; the known ones are looked up in the pieces, of which fewer need a hash table."""
+        found = pc.index_in(self.known.slice(first), value_set=pieces)
+        places = np.full(len(pieces), -1, dtype=np.int64)
+        places[found.drop_null().to_numpy()] = first + np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        return places
+
     def _codes(self, pieces: pa.Array) -> np.ndarray:
         """Each piece's place among the known ones, after learning those that are new."""
         own = pieces.dictionary_encode()
-        at = pc.index_in(own.dictionary, value_set=self.known)
-        if at.null_count:
-            self._learn(own.dictionary.filter(pc.is_null(at)))
-            at = pc.index_in(own.dictionary, value_set=self.known)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)[own.indices.to_numpy(zero_copy_only=False)]
+        at = self._places(own.dictionary, 0)
+        if (at < 0).any():
+            first = len(self.known)
+            self._learn(own.dictionary.filter(pa.array(at < 0)))
+            at = np.maximum(at, self._places(own.dictionary, first))
+        return at[own.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array | list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, their count by text); ``end_id`` ends each text if given."""
@@ -128,6 +136,7 @@ class CachedEncoder:
         lists = pc.split_pattern(even, " ")
         cut = [self._cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         codes = self._codes(_concat(lists.flatten(), pa.array([p for c in cut for p in c], pa.large_string())))
+        del plain, even  # the ids are about to take as much
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         counts[odd] = [len(c) for c in cut]
